@@ -261,8 +261,6 @@ STRICT = (
 
 
 def parent_of(p: str) -> str:
-    clean = f"CASE WHEN len({p}) > 1 THEN '/' || ltrim(rtrim({p}, '/'), '/') ELSE {p} END"
-    del clean
     kept = f"rtrim({p}, '/')"
     return (
         f"CASE WHEN NOT contains({kept}, '/') THEN CASE WHEN {p} LIKE '/%' THEN '/' ELSE '' END"
@@ -383,14 +381,15 @@ ORACLE: dict[str, str] = {
     "exclude_default": _with(
         DOCS, select=f"SELECT bundle_id, path FROM doc_files WHERE NOT ({default_hit('path')})"
     ),
-    # The custom rules from the last to the first; the first that hits decides.
+    # The custom rules from the last to the first; the first that hits decides. A folder rule with a
+    # slash inside is taken literally, star and all.
     "exclude_custom": _with(
         DOCS,
         select=f"""SELECT bundle_id, path FROM doc_files WHERE NOT CASE
         WHEN starts_with(path, 'src2/') THEN false
-        WHEN regexp_matches(path, '^src[^/]*/target/de/') AND false THEN true
+        WHEN path = 'src*/target/de' OR starts_with(path, 'src*/target/de/') THEN true
         WHEN path LIKE '%.md' THEN false
-        WHEN regexp_matches(path, '^src[^/]/src/(.*/)?[^/]*1[^/]*$') AND regexp_matches(path, '^src[^/]/src/(.*/)?1[^/]*$') THEN true
+        WHEN regexp_matches(path, '^src[^/]/src/(.*/)?1[^/]*$') THEN true
         WHEN regexp_matches(path, '(^|/)fr/[^/]*[.]txt$') THEN true
         WHEN starts_with(path, 'src1/logs/') THEN true
         WHEN path LIKE '%.log' THEN true
@@ -432,10 +431,13 @@ ORACLE: dict[str, str] = {
         DOCS, BYTES, DECODED,
         select="SELECT doc_id, md5(out) AS text_md5, CAST(len(out) AS INT) AS chars, encoding FROM decoded",
     ),
+    # What passes for two-byte text is read as such, even if it was made otherwise.
     "decode_wide": _with(
         *SNIFFED, DECODED,
         select="""SELECT doc_id, md5(t) AS text_md5, CAST(len(t) AS INT) AS chars, e AS encoding FROM (
-        SELECT doc_id, CASE WHEN reason IN ('utf16', 'utf32') THEN d.text ELSE out END AS t,
+        SELECT d.doc_id, CASE reason WHEN 'utf32' THEN d.text WHEN 'utf16' THEN array_to_string(list_transform(
+            regexp_extract_all(d.hx, '..(..)?'), lambda u: chr(CAST('0x' || CASE WHEN le16 > be16 THEN u[3:4] || u[1:2] ELSE u END AS INT))), '')
+            ELSE out END AS t,
           CASE WHEN reason = 'utf16' THEN CASE WHEN le16 > be16 THEN 'UTF-16LE' ELSE 'UTF-16BE' END
             WHEN reason = 'utf32' THEN CASE WHEN le32 > be32 THEN 'UTF-32LE' ELSE 'UTF-32BE' END ELSE encoding END AS e
         FROM decoded d JOIN (SELECT doc_id, reason, le16, be16, le32, be32 FROM reasons) r USING (doc_id))""",

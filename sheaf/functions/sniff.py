@@ -1,8 +1,8 @@
 """Is this text? Expressions over the first 8,192 bytes of a file.
 
-Byte patterns are looked at as hex digits: one regex pass over whole units turns the units that
-count into their remaining digits and all others into nothing, so a length gives the count and no
-array is built. Only content with a zero byte can be wide text, so other files skip that part.
+Bytes are looked at as the characters of the same numbers: one regex pass takes runs of whole units,
+keeps those that count and drops the others, so a length gives the count and no array is built. Only
+content with a zero byte can be wide text, so other files skip that part.
 """
 
 from __future__ import annotations
@@ -34,19 +34,25 @@ def has_nul(head: Column) -> Column:
     return F.contains(head, F.unhex(F.lit("00")))
 
 
-def _count(digits: Column, unit: str, other: str) -> Column:
-    """How many whole units of ``digits`` match ``unit``, whose one group is two digits long."""
-    return (F.length(F.regexp_replace(digits, f"{unit}|{other}", "$1")) / 2).cast("int")
+def _latin(data: Column) -> Column:
+    return F.decode(data, "ISO-8859-1")
+
+
+def _count(data: Column, unit: str, width: int) -> Column:
+    """How many units of ``width`` bytes match the regex ``unit``."""
+    other = f"(?:(?!{unit}).{{{width}}})++"
+    kept = F.regexp_replace(_latin(data), f"(?s)((?:{unit})++)|{other}|.", "$1")
+    return (F.char_length(kept) / width).cast("int")
 
 
 def utf16_scores(head: Column) -> tuple[Column, Column]:
     """Units that look like a Latin character, read low byte first and high byte first."""
-    window = F.hex(F.substring(head, 1, UTF16_UNITS * 2))
-    return _count(window, "(?!00)(..)00", ".{1,4}"), _count(window, "00(?!00)(..)", ".{1,4}")
+    window = F.substring(head, 1, UTF16_UNITS * 2)
+    return _count(window, r"[^\x00]\x00", 2), _count(window, r"\x00[^\x00]", 2)
 
 
 # Bytes that print in ASCII, its white space included.
-_PRINTABLE = "2[1-9A-F]|[3-6].|7[0-9A-E]|20|09|0A|0C|0D"
+_PRINTABLE = r"[!-~ \t\n\f\r]"
 
 
 def looks_utf16(head: Column) -> Column:
@@ -54,18 +60,18 @@ def looks_utf16(head: Column) -> Column:
     size = F.octet_length(head)
     units = F.least((size / 2).cast("int"), F.lit(UTF16_UNITS))
     enough = F.floor(F.least(size, F.lit(PRINTABLE_BYTES)) / 4)
-    start = F.hex(F.substring(head, 1, PRINTABLE_BYTES))
+    start = F.substring(head, 1, PRINTABLE_BYTES)
 
-    # A whole pair is swallowed first, so what is left of the surrogates stands alone.
-    def clean(pair: str, lone: str) -> Column:
-        return F.regexp_replace(F.hex(head), f"{pair}|{lone}|.{{1,4}}", "$1") == ""
+    # Plain units and whole surrogate pairs go first, so a surrogate that is kept stands alone.
+    def clean(plain: str, pair: str, lone: str) -> Column:
+        return F.regexp_replace(_latin(head), f"(?s)(?:{plain})++|{pair}|({lone})|.", "$1") == ""
 
-    little = clean("..D[89AB]..D[C-F]", "..(D[89A-F])") & (
-        _count(start, f"({_PRINTABLE})..", ".{1,4}") > enough
-    )
-    big = clean("D[89AB]..D[C-F]..", "(D[89A-F])..") & (
-        _count(start, f"..({_PRINTABLE})", ".{1,4}") > enough
-    )
+    little = clean(
+        r".[^\xD8-\xDF]", r".[\xD8-\xDB].[\xDC-\xDF]", r".[\xD8-\xDF]"
+    ) & (_count(start, f"{_PRINTABLE}.", 2) > enough)
+    big = clean(
+        r"[^\xD8-\xDF].", r"[\xD8-\xDB].[\xDC-\xDF].", r"[\xD8-\xDF]."
+    ) & (_count(start, f".{_PRINTABLE}", 2) > enough)
 
     def verdict(s: Column) -> Column:
         leads = F.when(s["le"] > s["be"] * 5, little).when(s["be"] > s["le"] * 5, big)
@@ -77,11 +83,8 @@ def looks_utf16(head: Column) -> Column:
 
 
 def utf32_scores(head: Column) -> tuple[Column, Column]:
-    digits = F.hex(head)
-    return (
-        _count(digits, "(?!00)(..)000000", ".{1,8}"),
-        _count(digits, "000000(?!00)(..)", ".{1,8}"),
-    )
+    window = F.substring(head, 1, UTF32_UNITS * 4)
+    return _count(window, r"[^\x00]\x00{3}", 4), _count(window, r"\x00{3}[^\x00]", 4)
 
 
 def looks_utf32(head: Column) -> Column:
@@ -97,17 +100,15 @@ def looks_utf32(head: Column) -> Column:
     return F.when((size >= 8) & (size % 4 == 0), let(scores, verdict)).otherwise(False)
 
 
-# Code points that do not occur in meaningful text. The noncharacters at the end of
-# every plane follow a rule.
-BAD_CLASS = (
-    "[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F-\\x9F\\uFDD0-\\uFDEF\\uFFFD-\\uFFFF"
-    + "".join(f"\\x{{{p:X}FFFE}}\\x{{{p:X}FFFF}}" for p in range(1, 17))
-    + "]"
-)
+# Code points of meaningful text. Left out are controls but TAB, LF, FF and CR, the
+# replacement character, and noncharacters; those at the end of every plane follow a rule.
+GOOD_BASIC = r"[\t\n\f\r -~\xA0-\uFDCF\uFDF0-\uFFFC]"
+GOOD_PLANES = "[" + "".join(f"\\x{{{p:X}0000}}-\\x{{{p:X}FFFD}}" for p in range(1, 17)) + "]"
 
 
 def bad_chars(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(BAD_CLASS))
+    """Characters left when runs of good ones are taken out, a whole text in one match as a rule."""
+    return F.char_length(F.regexp_replace(text, f"{GOOD_BASIC}++|{GOOD_PLANES}++", ""))
 
 
 def is_meaningful(text: Column) -> Column:

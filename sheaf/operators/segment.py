@@ -20,10 +20,17 @@ PART_ROWS = 1 << 17
 
 
 def segment_by_heading(stream: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add seg_no (0 before the first heading), seg_seq (position of the heading) and is_heading."""
+    """Add seg_no (0 before the first heading) and seg_seq (position of the heading).
+
+    Also is_heading, and has_text for rows with more than line feeds.
+    """
     key = ["bundle_id", "block"]
     rows = stream.withColumns(
-        {"block": F.floor(F.col("seq") / block_rows), "is_heading": is_heading(F.col("style"))}
+        {
+            "block": F.floor(F.col("seq") / block_rows),
+            "is_heading": is_heading(F.col("style")),
+            "has_text": trim_line_feeds(F.coalesce("text", F.lit(""))) != "",
+        }
     )
     heading_seq = F.when(F.col("is_heading"), F.col("seq"))
     before = Window.partitionBy("bundle_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,13 +80,14 @@ def fold_content(segmented: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     folded = rows.groupBy(*key, "part_no").agg(
         F.max(F.when(F.col("is_heading"), F.coalesce("text", F.lit("")))).alias("heading"),
         F.array_join(lines, "\n").alias("content"),
+        F.count(body).alias("body_rows"),
     )
-    # Only segments in several parts have rows here: their heading, and the last part with text.
-    solid = trim_line_feeds(F.coalesce("text", F.lit(""))) != ""
+    # Only segments in several parts have rows here: their heading, and the last part with text. The
+    # flag was set below the window, so this branch moves no text.
     long = (
         rows.filter("part_no > 0")
         .groupBy("bundle_id", "seg_seq")
-        .agg(F.coalesce(F.max(F.when(solid, F.col("part_no"))), F.lit(0)).alias("last_part"))
+        .agg(F.coalesce(F.max(F.when(F.col("has_text"), F.col("part_no"))), F.lit(0)).alias("last_part"))
     )
     headings = segmented.filter("is_heading").select(
         "bundle_id", F.col("seq").alias("seg_seq"), F.col("text").alias("long_heading")
@@ -88,7 +96,7 @@ def fold_content(segmented: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     last = F.coalesce("last_part", F.lit(0))
     return (
         folded.join(long, ["bundle_id", "seg_seq"], "left")
-        .filter(F.col("part_no") <= last)
+        .filter((F.col("part_no") <= last) & ((last == 0) | (F.col("body_rows") > 0)))
         .select(
             *key,
             "part_no",
@@ -120,14 +128,18 @@ def heading_files(stream: DataFrame) -> DataFrame:
     return validate_headings(drop_empty_heading(heads)).drop("heading")
 
 
-def stop_at_first_error(files: DataFrame, order: str = "seg_seq") -> DataFrame:
+def stop_at_first_error(
+    files: DataFrame, decided_on: DataFrame | None = None, order: str = "seg_seq"
+) -> DataFrame:
     """Keep the files of a bundle before its first bad path.
 
-    One number per bundle that has a bad path is found by an aggregate and joined back; the join,
-    not a window, meets the large bundles, and a skewed side can be split.
+    One number per bundle that has a bad path is found by an aggregate (over ``decided_on``, which
+    may hold the names without the content) and joined back; the join, not a window, meets the large
+    bundles, and a skewed side can be split.
     """
+    named = files if decided_on is None else decided_on
     first = (
-        files.filter("error IS NOT NULL").groupBy("bundle_id").agg(F.min(order).alias("first_bad"))
+        named.filter("error IS NOT NULL").groupBy("bundle_id").agg(F.min(order).alias("first_bad"))
     )
     return (
         files.join(first, "bundle_id", "left")
@@ -172,4 +184,4 @@ def stop_at_first_bad_bundle(files: DataFrame, order: str = "seg_seq") -> DataFr
     """Bundles go in the order of ``bundle_ord``; the first with a bad path is the last touched."""
     bad = files.filter("error IS NOT NULL").agg(F.min("bundle_ord").alias("o")).scalar()
     in_time = files.filter(bad.isNull() | (F.col("bundle_ord") <= bad))
-    return stop_at_first_error(in_time, order)
+    return stop_at_first_error(in_time, order=order)

@@ -20,7 +20,8 @@ from sheaf.operators.segment import (
 def _decide(files: DataFrame, names: DataFrame, on_error: str, order: str) -> DataFrame:
     """Bad paths and repeated paths, decided on names, applied to files with content."""
     if on_error == "stop":
-        files, names = stop_at_first_error(files, order), stop_at_first_error(names, order)
+        files = stop_at_first_error(files, names, order)
+        names = stop_at_first_error(names, order=order)
     elif on_error == "skip":
         files, names = files.filter("error IS NULL"), names.filter("error IS NULL")
     else:

@@ -13,17 +13,18 @@ from sheaf.schemas import PARAGRAPHS
 ORDER = ["bundle_id", "source_ord", "path"]
 
 
-def cluster_files(texts: DataFrame) -> DataFrame:
-    """Texts range-partitioned and sorted by (bundle_id, source_ord, path).
+def cluster_files(texts: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+    """Rows brought together by bundle and sorted, in partitions of even size.
 
-    A range, not a hash of the bundle: a bundle that holds a large share of the corpus is spread
-    over as many tasks as its size asks for, and small bundles share one.
+    ``rebalance`` lets Spark merge small partitions and split large ones by what it measures, so a
+    bundle that holds a large share of the corpus is spread over many tasks. Unlike a range, it
+    needs no sampling pass over the files.
     """
-    return texts.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    return texts.hint("rebalance", "bundle_id").sortWithinPartitions(*order)
 
 
 def write_bundle(texts: DataFrame, path: str) -> None:
-    """Write texts as a paragraph table in bundle order, replacing what is there.
+    """Write texts as a paragraph table clustered by bundle, replacing what is there.
 
     Whole files are moved, not their lines, and the lines are exploded after the shuffle. Row groups
     then cover narrow ranges of bundle_id, which is what a reader prunes by; there is no folder per
@@ -39,6 +40,5 @@ def read_bundle(spark: SparkSession, path: str, bundle_ids: Sequence[str] | None
 
 
 def write_unpacked(files: DataFrame, path: str) -> None:
-    """Write unpacked files as a table in the order of their paths."""
-    keys = ["bundle_id", "path"]
-    files.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    """Write unpacked files as a table clustered by bundle."""
+    cluster_files(files, ["bundle_id", "path"]).write.mode("overwrite").parquet(path)
