@@ -121,7 +121,7 @@ def _parsed_rules(spark, sf_dir):
     return rules_parsed(spark, sf_dir).withColumnRenamed("ruleset_id", "bundle_id")
 
 
-def glob_match(spark, sf_dir):
+def glob_cases(spark, sf_dir):
     """Every path against all rules of its source that look at it by regex, hit by hit."""
     regex = globs.rule_regex_column(F.col("pattern"), F.col("directory_only"), F.col("anchored"))
     compiled = _parsed_rules(spark, sf_dir).withColumn("regex", regex)
@@ -544,7 +544,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         files_and_lines, scan_files, scan_sources, sniff_prefix, bundle_roundtrip,
-        rules_parsed, rules_literal, rules_added, ruleset_precedence, glob_match,
+        rules_parsed, rules_literal, rules_added, ruleset_precedence, glob_cases,
         exclude_default, exclude_custom, exclude_join, exclusion_audit, pattern_list,
         sniff_bom, sniff_nul, sniff_utf16, sniff_utf32, meaningful_ratio, classify_files, text_filter,
         decode_ladder, decode_text, decode_wide, encoding_audit,

@@ -41,9 +41,12 @@ ENTITIES = (
 )
 
 
+_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
 def escape_markup(text: Column) -> Column:
     """Drop the control characters markup forbids (TAB, LF and CR stay), then write entities."""
-    text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    text = F.when(text.rlike(_CONTROLS), F.regexp_replace(text, _CONTROLS, "")).otherwise(text)
     for char, entity in ENTITIES:
         text = F.replace(text, F.lit(char), F.lit(entity))
     return text

@@ -59,12 +59,8 @@ def assemble_bundle(paragraphs: DataFrame, max_cell_bytes: int = MAX_CELL_BYTES)
         .groupBy("bundle_id", *place)
         .agg(_joined(["line_no"], "fragment").alias("body"))
     )
-    # Sizes come from a narrow pass: bytes per bundle, summed before they are shuffled.
-    sizes = (
-        render_paragraphs(paragraphs)
-        .groupBy("bundle_id")
-        .agg(F.sum(F.octet_length("fragment")).alias("bytes"))
-    )
+    # Sizes are summed over the same runs (their shuffle is reused) and before they are shuffled.
+    sizes = runs.groupBy("bundle_id").agg(F.sum(F.octet_length("body")).alias("bytes"))
     large = sizes.filter(F.col("bytes") > max_cell_bytes).select("bundle_id", F.lit(True).alias("large"))
     marked = runs.join(large, "bundle_id", "left")
     keys = {c: F.when(F.col("large"), F.col(c)) for c in place}

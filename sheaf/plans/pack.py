@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sheaf.functions.charsets import DEFAULT_ENCODINGS
 from sheaf.functions.globs import Rule, default_rules
@@ -52,7 +53,7 @@ def pack_sources(
     kept = exclude_filter(union_sources(sources), default_rules() if rules is None else rules)
     repeated = duplicate_paths(kept).select("bundle_id", "path")
     suspects = kept.join(repeated, ["bundle_id", "path"], "left_semi")
-    failed = first_duplicate(classify_text(suspects, encodings).filter("is_text"))
+    failed = first_duplicate(classify_text(suspects, encodings), F.col("is_text"))
     failed = failed.selectExpr("bundle_id", "concat('duplicate path: ', path) AS error")
     classified = classify_text(kept, encodings)
     good = classified.filter("is_text").join(failed, "bundle_id", "left_anti")

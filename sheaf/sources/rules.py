@@ -14,7 +14,7 @@ from sheaf.functions.globs import (
     parse_literal_rule,
     parse_rule_line,
 )
-from sheaf.functions.text import split_lines
+from sheaf.functions.text import split_lines, trim_space
 from sheaf.schemas import RULES
 
 _FORMS = {"file": parse_rule_line, "literal": parse_literal_rule, "added": parse_added_rule}
@@ -52,7 +52,7 @@ def default_rules_table(spark: SparkSession, ruleset_id: str = "default") -> Dat
 def resolve_ruleset(offers: DataFrame) -> DataFrame:
     """The rules of every ruleset from what is on offer (ruleset_id, origin, lines).
 
-    Origins: ``text`` (typed in; stands alone, without defaults), ``named`` (a rule file asked for;
+    Origins: ``text`` (typed in; stands alone, or for the built-in rules if blank), ``named`` (a rule file asked for;
     lines are null if it is missing), ``local`` (a rule file found in place, looked at only if none
     was named), ``settings`` (the literal list used when no file counts). All but ``text`` come
     after the built-in rules.
@@ -66,13 +66,15 @@ def resolve_ruleset(offers: DataFrame) -> DataFrame:
         F.count_if(F.col("origin") == "named").alias("asked"),
     )
     local = F.when(F.col("asked") == 0, F.col("local"))
-    rule_file = F.coalesce("text", "named", local)
-    no_rule = F.array().cast("array<struct<pattern:string,negated:boolean,directory_only:boolean,anchored:boolean>>")
-    from_file = F.array_compact(F.transform(rule_file, parse_rule_line))
+    typed_in = F.array_compact(F.transform("text", parse_rule_line))
+    from_file = F.array_compact(F.transform(F.coalesce("named", local), parse_rule_line))
     from_list = F.transform(F.coalesce("settings", F.array().cast("array<string>")), parse_literal_rule)
     built_in = F.transform(F.array(*map(F.lit, DEFAULT_PATTERNS)), parse_literal_rule)
-    rules = F.concat(
-        F.when(F.col("text").isNull(), built_in).otherwise(no_rule), F.coalesce(from_file, from_list)
+    nothing_typed = F.forall("text", lambda line: trim_space(line) == "")
+    rules = (
+        F.when(F.col("text").isNull(), F.concat(built_in, F.coalesce(from_file, from_list)))
+        .when(nothing_typed, built_in)
+        .otherwise(typed_in)
     )
     return (
         per_set.select("ruleset_id", F.posexplode(rules).alias("rule_ord", "rule"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -10,12 +12,16 @@ from sheaf.operators.classify import classify_text
 
 
 def observe_pack(
-    files: DataFrame, rules: list[Rule], encodings: list[str], seen: Observation, sniffed: Observation
+    files: DataFrame,
+    rules: Sequence[Rule],
+    encodings: Sequence[str],
+    seen: Observation | str,
+    sniffed: Observation | str,
 ) -> DataFrame:
     """Classified files that report, as they pass, how many were seen and excluded, kept and skipped.
 
-    The counts ride along with the job, so no second pass is made. With names instead of
-    observations they also show up in the progress of a streaming query.
+    The counts ride along with the job, so no second pass is made. A streaming query takes names
+    instead of observations and shows the counts in its progress.
     """
     marked = files.withColumn("excluded", ~F.col("direct") & is_excluded(F.col("path"), rules))
     marked = marked.observe(

@@ -206,7 +206,7 @@ def test_ruleset_precedence(spark):
         ("named", "named", ["*.n"]), ("named", "local", ["*.l"]), ("named", "settings", ["s/"]),
         ("missing", "named", None), ("missing", "local", ["*.l"]), ("missing", "settings", ["s/"]),
         ("local", "local", ["# only a comment"]), ("local", "settings", ["s/"]),
-        ("bare", "settings", ["s/"]),
+        ("bare", "settings", ["s/"]), ("blank", "text", ["", "  "]), ("blank", "settings", ["s/"]),
     ]
     df = spark.createDataFrame(offers, "ruleset_id string, origin string, lines array<string>")
     got = {}
@@ -216,5 +216,5 @@ def test_ruleset_precedence(spark):
     assert len(defaults) == 54 == default_rules_table(spark).count()
     assert got == {
         "typed": ["*.a"], "named": defaults + ["*.n"], "missing": defaults + ["s/"],
-        "local": defaults, "bare": defaults + ["s/"],
+        "local": defaults, "bare": defaults + ["s/"], "blank": defaults,
     }

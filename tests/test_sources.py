@@ -10,7 +10,8 @@ from sheaf.functions.globs import Rule, default_rules
 from sheaf.plans.pack import pack
 from sheaf.session import shared_dir
 from sheaf.sources.files import read_files, scan_sources, scan_tree, union_sources
-from sheaf.streaming.pack_stream import drain, guard_duplicates, pack_arrivals
+from sheaf.sources.bundles import read_bundle, write_bundle
+from sheaf.streaming.pack_stream import drain, guard_duplicates, pack_arrivals, start_append
 from sheaf.streaming.progress import observe_pack
 
 
@@ -91,3 +92,35 @@ def test_progress_counts(spark, tree):
     run.write.format("noop").mode("overwrite").save()
     assert seen.get == {"total": 8, "excluded": 2}
     assert (sniffed.get["kept"], sniffed.get["skipped"], sniffed.get["kept_bytes"]) == (5, 1, 10)
+
+
+def test_progress_of_a_stream(spark, tree):
+    root, _ = tree
+    table = shared_dir(spark, "files")
+    scan_tree(spark, str(root)).write.parquet(table)
+    arriving = spark.readStream.schema(read_files(spark, table).schema).parquet(table)
+    run = observe_pack(arriving, default_rules(), [], "seen", "sniffed")
+    query = start_append(run, shared_dir(spark, "out"), shared_dir(spark, "state"))
+    query.awaitTermination()
+    metrics = [p["observedMetrics"] for p in query.recentProgress if p["observedMetrics"]]
+    assert sum(m["seen"]["total"] for m in metrics) == 8
+    assert sum(m["sniffed"]["kept"] for m in metrics) == 5
+
+
+def test_a_large_bundle_is_spread_over_tasks(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("hot").alias("bundle_id"),
+        F.lit(0).alias("source_ord"),
+        F.concat(F.lit("f"), "id").alias("path"),
+        F.sha2(F.col("id").cast("string"), 512).alias("text"),
+    )
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "64k")
+    try:
+        write_bundle(rows, str(tmp_path / "table"))
+    finally:
+        spark.conf.unset(key)
+    table = read_bundle(spark, str(tmp_path / "table"))
+    assert table.count() == 8000
+    files = table.filter("bundle_id = 'hot'").select(F.input_file_name().alias("f")).distinct().count()
+    assert files >= 3
