@@ -377,7 +377,8 @@ ORACLE: dict[str, str] = {
           CASE WHEN n IN (0, 2) THEN line LIKE '%/' ELSE directory_only END, CASE WHEN n IN (0, 2) THEN false ELSE anchored END
         FROM chosen""",
     ),
-    "glob_cases": _with(DOCS, LINES, PARSED, HITS, select="SELECT path, rule_ord FROM hits"),
+    "glob_cases": _with(DOCS, LINES, PARSED, HITS, select="""SELECT d.path, CAST(count(h.path) AS INT) AS hits, CAST(max(h.rule_ord) AS INT) AS last_hit
+        FROM doc_files d LEFT JOIN hits h ON h.path = d.path GROUP BY d.path"""),
     "exclude_default": _with(
         DOCS, select=f"SELECT bundle_id, path FROM doc_files WHERE NOT ({default_hit('path')})"
     ),

@@ -122,14 +122,14 @@ def _parsed_rules(spark, sf_dir):
 
 
 def glob_cases(spark, sf_dir):
-    """Every path against all rules of its source that look at it by regex, hit by hit."""
+    """Every path against all rules of its source: how many hit it, and the last that does."""
     regex = globs.rule_regex_column(F.col("pattern"), F.col("directory_only"), F.col("anchored"))
     compiled = _parsed_rules(spark, sf_dir).withColumn("regex", regex)
     per_set = compiled.groupBy("bundle_id").agg(F.collect_list(F.struct("rule_ord", "regex")).alias("rs"))
     docs = inputs.doc_files(spark, sf_dir).select("bundle_id", "path")
     tried = F.filter("rs", lambda r: F.rlike("path", r["regex"]))
-    return docs.join(per_set, "bundle_id").select("path", F.explode(tried).alias("r")).select(
-        "path", "r.rule_ord"
+    return docs.join(per_set, "bundle_id").select("path", tried.alias("hit")).select(
+        "path", F.size("hit").alias("hits"), F.array_max("hit.rule_ord").alias("last_hit")
     )
 
 
@@ -463,9 +463,8 @@ def path_parts(spark, sf_dir):
 
 
 def pack_paragraphs(spark, sf_dir):
-    return pack(inputs.byte_files(spark, sf_dir).filter("doc_id IS NOT NULL"), encodings=()).paragraphs.groupBy(
-        "bundle_id", "path"
-    ).agg(
+    rows = pack(inputs.byte_files(spark, sf_dir), encodings=()).paragraphs
+    return rows.groupBy("bundle_id", "path").agg(
         F.count("*").alias("rows"),
         F.sum(F.char_length("text").cast("bigint")).alias("chars"),
         F.max("line_no").alias("last_line"),

@@ -12,6 +12,10 @@ from sheaf.functions.paths import components
 from sheaf.functions.text import forward_slashes
 
 
+# Globs of a ruleset that travel in one array.
+GLOBS_PER_ROW = 1000
+
+
 def exclude_filter(files: DataFrame, rules: Sequence[Rule], path: str = "path") -> DataFrame:
     """Keep files no rule list excludes. Rows whose ``direct`` flag is set always stay."""
     kept = ~is_excluded(F.col(path), rules)
@@ -38,7 +42,7 @@ def rule_hits(
 
     ``paths`` holds a ruleset name per path. Most rules name a component or an extension, so they
     are found by equi-joins on the pieces of the path. What is left are true globs: those of a
-    ruleset travel in one array and are tried on its paths only, again after an equi-join. No pair
+    ruleset travel in arrays and are tried on its paths only, again after an equi-join. No pair
     of path and rule is built that does not share a key. Spark picks the join from the sizes it
     measures. Only (ruleset, path) is shuffled, never content.
     """
@@ -57,7 +61,7 @@ def rule_hits(
     )
     globs = (
         r.filter((F.col("kind") == "glob") & F.col("regex").isNotNull())
-        .groupBy(ruleset)
+        .groupBy(ruleset, F.floor(F.col("rule.rule_ord") / GLOBS_PER_ROW).alias("chunk"))
         .agg(F.collect_list(F.struct("rule", "regex")).alias("globs"))
     )
     names = paths.select(ruleset, path).withColumn("norm", forward_slashes(F.col(path)))

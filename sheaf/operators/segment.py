@@ -8,48 +8,89 @@ over blocks (not rows) gives each its start, and the window over rows stays with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.paths import file_identity, validate_heading
 from sheaf.functions.text import trim_line_feeds
 from sheaf.operators.paragraphs import is_heading
 
-BLOCK_ROWS = 1 << 20
-PART_ROWS = 1 << 17
+# Positions per block, and per part of a long file.
+BLOCK_SPAN = 1 << 20
+PART_SPAN = 1 << 17
 
 
-def segment_by_heading(stream: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add seg_no (0 before the first heading) and seg_seq (position of the heading).
+def _starts(counts: DataFrame, span: int, levels: int) -> DataFrame:
+    """What comes before each block (bundle_id, block, n, last) of its bundle: start_no, start_seq.
 
-    Also is_heading, and has_text for rows with more than line feeds.
+    Blocks without a heading before them are left out. With ``levels`` the blocks are in turn cut
+    into blocks, so that even positions with wide gaps leave few rows for a bundle's own window.
     """
-    key = ["bundle_id", "block"]
-    rows = stream.withColumns(
+
+    def before(*group: str) -> tuple[Column, Column]:
+        window = (
+            Window.partitionBy("bundle_id", *group)
+            .orderBy("block")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        return F.coalesce(F.sum("n").over(window), F.lit(0)), F.max("last").over(window)
+
+    if not levels:
+        n, last = before()
+        out = counts.select("bundle_id", "block", n.alias("start_no"), last.alias("start_seq"))
+        return out.filter("start_no > 0")
+    grouped = counts.withColumn("group", F.floor(F.col("block") / span))
+    totals = grouped.groupBy("bundle_id", F.col("group").alias("block")).agg(
+        F.sum("n").alias("n"), F.max("last").alias("last")
+    )
+    outer = _starts(totals, span, levels - 1).select(
+        "bundle_id",
+        F.col("block").alias("group"),
+        F.col("start_no").alias("outer_no"),
+        F.col("start_seq").alias("outer_seq"),
+    )
+    n, last = before("group")
+    inner = grouped.select("bundle_id", "group", "block", n.alias("n"), last.alias("last"))
+    return (
+        inner.join(outer, ["bundle_id", "group"], "left")
+        .select(
+            "bundle_id",
+            "block",
+            (F.col("n") + F.coalesce("outer_no", F.lit(0))).alias("start_no"),
+            F.coalesce("last", "outer_seq").alias("start_seq"),
+        )
+        .filter("start_no > 0")
+    )
+
+
+def _flagged(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(
         {
-            "block": F.floor(F.col("seq") / block_rows),
             "is_heading": is_heading(F.col("style")),
             "has_text": trim_line_feeds(F.coalesce("text", F.lit(""))) != "",
         }
     )
+
+
+def segment_by_heading(stream: DataFrame, span: int = BLOCK_SPAN, levels: int = 1) -> DataFrame:
+    """Add seg_no (0 before the first heading) and seg_seq (position of the heading).
+
+    Also is_heading, and has_text for rows with more than line feeds.
+    """
+    key = ["bundle_id", "block"]
+    rows = _flagged(stream).withColumn("block", F.floor(F.col("seq") / span))
     heading_seq = F.when(F.col("is_heading"), F.col("seq"))
-    before = Window.partitionBy("bundle_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.groupBy(*key)
-        .agg(F.count_if("is_heading").alias("n"), F.max(heading_seq).alias("last"))
-        .select(
-            *key,
-            F.sum("n").over(before).alias("start_no"),
-            F.max("last").over(before).alias("start_seq"),
-        )
-        .filter("start_no > 0")
+    counts = rows.groupBy(*key).agg(
+        F.count_if("is_heading").alias("n"), F.max(heading_seq).alias("last")
     )
     upto = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumns(
             {"no": F.count(heading_seq).over(upto), "at": F.max(heading_seq).over(upto)}
         )
-        .join(starts, key, "left")
+        .join(_starts(counts, span, levels), key, "left")
         .withColumns(
             {
                 "seg_no": F.col("no") + F.coalesce("start_no", F.lit(0)),
@@ -64,38 +105,31 @@ def drop_preamble(segmented: DataFrame) -> DataFrame:
     return segmented.filter("seg_no > 0")
 
 
-def fold_content(segmented: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """One row per segment: bundle_id, seg_no, seg_seq, part_no, heading, content.
+def _fold(rows: DataFrame, key: Sequence[str], order: str, offset: Column, span: int) -> DataFrame:
+    """One row per file and part: key, part_no, heading, content.
 
-    Body rows are joined with LF and the LFs at the end go; a heading alone gives empty content. A
-    segment of more than ``part_rows`` rows comes in several parts, to be joined with LF in the
-    order of part_no, so a group never holds more rows than that.
+    ``key`` tells a file, ``offset`` how far a row is from its heading. The flags of ``rows`` were
+    set where they were read, so the branch for long files moves no text.
     """
-    rows = drop_preamble(segmented).withColumn(
-        "part_no", F.floor((F.col("seq") - F.col("seg_seq")) / part_rows)
-    )
-    body = F.when(~F.col("is_heading"), F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))
+    rows = rows.withColumn("part_no", F.floor(offset / span))
+    text = F.coalesce("text", F.lit(""))
+    body = F.when(~F.col("is_heading"), F.struct(order, text.alias("text")))
     lines = F.transform(F.array_sort(F.collect_list(body)), lambda r: r["text"])
-    key = ["bundle_id", "seg_no", "seg_seq"]
     folded = rows.groupBy(*key, "part_no").agg(
-        F.max(F.when(F.col("is_heading"), F.coalesce("text", F.lit("")))).alias("heading"),
+        F.max(F.when(F.col("is_heading"), text)).alias("heading"),
         F.array_join(lines, "\n").alias("content"),
         F.count(body).alias("body_rows"),
     )
-    # Only segments in several parts have rows here: their heading, and the last part with text. The
-    # flag was set below the window, so this branch moves no text.
+    # Only files in several parts have rows here: their heading, and the last part with text.
     long = (
-        rows.filter("part_no > 0")
-        .groupBy("bundle_id", "seg_seq")
+        rows.filter(offset >= span)
+        .groupBy(*key)
         .agg(F.coalesce(F.max(F.when(F.col("has_text"), F.col("part_no"))), F.lit(0)).alias("last_part"))
     )
-    headings = segmented.filter("is_heading").select(
-        "bundle_id", F.col("seq").alias("seg_seq"), F.col("text").alias("long_heading")
-    )
-    long = long.join(headings, ["bundle_id", "seg_seq"])
+    headings = rows.filter("is_heading").select(*key, F.col("text").alias("long_heading"))
     last = F.coalesce("last_part", F.lit(0))
     return (
-        folded.join(long, ["bundle_id", "seg_seq"], "left")
+        folded.join(long.join(headings, key), key, "left")
         .filter((F.col("part_no") <= last) & ((last == 0) | (F.col("body_rows") > 0)))
         .select(
             *key,
@@ -108,6 +142,24 @@ def fold_content(segmented: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     )
 
 
+def fold_content(segmented: DataFrame, span: int = PART_SPAN) -> DataFrame:
+    """One row per segment: bundle_id, seg_no, seg_seq, part_no, heading, content.
+
+    Body rows are joined with LF and the LFs at the end go; a heading alone gives empty content. A
+    segment that reaches over more than ``span`` positions comes in several parts, to be joined with
+    LF in the order of part_no, so a group never holds more rows than that.
+    """
+    rows = drop_preamble(segmented)
+    return _fold(rows, ["bundle_id", "seg_no", "seg_seq"], "seq", F.col("seq") - F.col("seg_seq"), span)
+
+
+def fold_files(paragraphs: DataFrame, span: int = PART_SPAN) -> DataFrame:
+    """:func:`fold_content` for paragraph tables, whose rows name their file: nothing to segment."""
+    key = ["bundle_id", "source_ord", "path"]
+    rows = _flagged(paragraphs).withColumn("is_heading", F.col("line_no") == 0)
+    return _fold(rows, key, "line_no", F.col("line_no"), span)
+
+
 def drop_empty_heading(folded: DataFrame) -> DataFrame:
     """A heading without text yields no file and takes its body with it."""
     return folded.filter(F.col("heading") != "")

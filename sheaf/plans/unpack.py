@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import trim_line_feeds, trim_runs
+from sheaf.functions.text import trim_runs
 from sheaf.operators.segment import (
     drop_empty_heading,
     fold_content,
+    fold_files,
     heading_files,
     last_write_wins,
     segment_by_heading,
@@ -42,28 +43,21 @@ def unpack_stream(stream: DataFrame, on_error: str = "stop", compat_trim: bool =
 
 
 def unpack(paragraphs: DataFrame, on_error: str = "stop") -> DataFrame:
-    """Files of a paragraph table: bundle_id, source_ord, heading, path, content.
+    """Files of a paragraph table: bundle_id, source_ord, part_no, heading, path, content.
 
     The table names the file of every row, so rows are folded by that key in one shuffle; bundles,
     however large, are never brought together.
     """
-    key = ["bundle_id", "source_ord", "path"]
     place = F.struct("source_ord", F.col("path").alias("file")).alias("place")
-    rows = paragraphs.withColumn("text", F.coalesce("text", F.lit("")))
-    body = F.when(F.col("line_no") > 0, F.struct("line_no", "text"))
-    lines = F.transform(F.array_sort(F.collect_list(body)), lambda r: r["text"])
-    folded = rows.groupBy(*key).agg(
-        F.max(F.when(F.col("line_no") == 0, F.col("text"))).alias("heading"),
-        trim_line_feeds(F.array_join(lines, "\n")).alias("content"),
-    )
-    heads = rows.filter("line_no = 0").select(*key, F.col("text").alias("heading"))
 
-    def checked(df: DataFrame) -> DataFrame:
-        df = df.select("bundle_id", place, *[c for c in df.columns if c not in key])
-        return validate_headings(drop_empty_heading(df))
+    def checked(df: DataFrame, *columns: str) -> DataFrame:
+        named = df.select("bundle_id", place, *columns, F.coalesce("heading", F.lit("")).alias("heading"))
+        return validate_headings(drop_empty_heading(named))
 
-    files = _decide(checked(folded), checked(heads), on_error, "place")
-    return files.select("bundle_id", "place.source_ord", "heading", "path", "content")
+    files = checked(fold_files(paragraphs), "part_no", "content")
+    heads = checked(paragraphs.filter("line_no = 0").withColumnRenamed("text", "heading"))
+    kept = _decide(files, heads, on_error, "place")
+    return kept.select("bundle_id", "place.source_ord", "part_no", "heading", "path", "content")
 
 
 def unpack_report(stream: DataFrame) -> DataFrame:

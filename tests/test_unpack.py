@@ -10,6 +10,7 @@ from sheaf.functions.paths import extension, file_identity, parent, stem, valida
 from sheaf.functions.globs import Rule
 from sheaf.operators.segment import (
     fold_content,
+    fold_files,
     heading_files,
     last_write_wins,
     segment_by_heading,
@@ -84,22 +85,22 @@ def random_stream(spark, n=400):
     return spark.createDataFrame(rows, STREAM)
 
 
-@pytest.mark.parametrize("block", [1, 2, 7, 1 << 20])
-def test_blocks_give_what_one_window_gives(spark, block):
+@pytest.mark.parametrize("span,levels", [(1, 0), (2, 1), (3, 3), (7, 1), (1 << 20, 1)])
+def test_blocks_give_what_one_window_gives(spark, span, levels):
     df = random_stream(spark)
     whole = Window.partitionBy("bundle_id").orderBy("seq")
     want = df.withColumn("n", F.count(F.when(F.col("style") == H, 1)).over(whole))
-    got = segment_by_heading(df, block_rows=block)
+    got = segment_by_heading(df, span=span, levels=levels)
     pairs = want.join(got, ["bundle_id", "seq"]).select("n", "seg_no").collect()
     assert len(pairs) == df.count() and all(r.n == r.seg_no for r in pairs)
 
 
 @pytest.mark.parametrize("part", [1, 2, 5, 1 << 17])
 def test_parts_join_to_the_whole(spark, part):
-    df = segment_by_heading(random_stream(spark), block_rows=16)
+    df = segment_by_heading(random_stream(spark), span=16)
     whole = {(r.bundle_id, r.seg_no): (r.heading, r.content) for r in fold_content(df).collect()}
     got = {}
-    for r in fold_content(df, part_rows=part).orderBy("part_no").collect():
+    for r in fold_content(df, span=part).orderBy("part_no").collect():
         got.setdefault((r.bundle_id, r.seg_no), []).append((r.heading, r.content, r.part_no))
     assert got.keys() == whole.keys()
     assert part > 5 or any(len(v) > 1 for v in got.values())
@@ -190,6 +191,18 @@ def test_pack_and_unpack(spark, tmp_path):
     assert {r.status: r["count"] for r in diff} == {"same": 4}
 
 
+@pytest.mark.parametrize("span", [1, 3, 1 << 17])
+def test_long_files_of_a_table_come_in_parts(spark, span):
+    rows = [("b", 0, "a", "1\n\n2\n3\n\n\n\n\n"), ("b", 1, "e", ""), ("b", 2, "n", "\n\n\n\n"), ("b", 3, "s", "x")]
+    texts = spark.createDataFrame(rows, "bundle_id string, source_ord int, path string, text string")
+    got = {}
+    for r in fold_files(build_paragraphs(texts), span).orderBy("part_no").collect():
+        assert r.heading == r.path
+        got.setdefault(r.path, []).append(r.content)
+    assert {k: "\n".join(v) for k, v in got.items()} == {"a": "1\n\n2\n3", "e": "", "n": "", "s": "x"}
+    assert span > 3 or len(got["a"]) > 1
+
+
 def test_keyed_unpack_checks_and_dedups(spark):
     rows = [("b", 0, "a", "1"), ("b", 1, "a", "2"), ("b", 2, "../x", "3"), ("b", 3, "c", "4"), ("d", 0, "e", "")]
     paragraphs = build_paragraphs(spark.createDataFrame(rows, "bundle_id string, source_ord int, path string, text string"))
