@@ -38,54 +38,49 @@ def _rule_kind(pattern: Column, anchored: Column) -> Column:
 def rule_hits(
     paths: DataFrame, rules: DataFrame, ruleset: str = "ruleset_id", path: str = "path"
 ) -> DataFrame:
-    """Deciding rule per (ruleset, path): columns ruleset, path, rule_ord, pattern, negated.
+    """Deciding rule per (ruleset, path): columns ruleset, path, rule_ord, negated.
 
     ``paths`` holds a ruleset name per path. Most rules name a component or an extension, so they
     are found by equi-joins on the pieces of the path. What is left are true globs: those of a
     ruleset travel in arrays and are tried on its paths only, again after an equi-join. No pair
     of path and rule is built that does not share a key. Spark picks the join from the sizes it
-    measures. Only (ruleset, path) is shuffled, never content.
+    measures. Only (ruleset, path) is shuffled, never content, and a rule is one number: its place
+    and its sign, so that the last one is a plain maximum, taken before the shuffle as well.
     """
     r = rules.select(
         F.col("ruleset_id").alias(ruleset),
-        F.struct("rule_ord", "pattern", "negated").alias("rule"),
+        "pattern",
+        (F.col("rule_ord").cast("bigint") * 2 + F.col("negated").cast("int")).alias("rule"),
         _rule_kind(F.col("pattern"), F.col("anchored")).alias("kind"),
         rule_regex_column(F.col("pattern"), F.col("directory_only"), F.col("anchored")).alias("regex"),
     )
     # The last rule of a kind and key is the only one that can decide, so one row per key is joined.
     keyed = (
         r.filter(F.col("kind") != "glob")
-        .withColumn("key", F.regexp_replace("rule.pattern", r"^\*\.", "."))
-        .groupBy(ruleset, "kind", "key")
+        .groupBy(ruleset, "kind", F.regexp_replace("pattern", r"^\*\.", ".").alias("key"))
         .agg(F.max("rule").alias("rule"))
     )
     globs = (
         r.filter((F.col("kind") == "glob") & F.col("regex").isNotNull())
-        .groupBy(ruleset, F.floor(F.col("rule.rule_ord") / GLOBS_PER_ROW).alias("chunk"))
+        .groupBy(ruleset, F.floor(F.col("rule") / (2 * GLOBS_PER_ROW)).alias("chunk"))
         .agg(F.collect_list(F.struct("rule", "regex")).alias("globs"))
     )
     names = paths.select(ruleset, path).withColumn("norm", forward_slashes(F.col(path)))
 
     piece = F.explode(F.array_distinct(components(F.col("norm")))).alias("piece")
-    pieces = names.select(ruleset, path, piece)
-    lookups = pieces.select(
-        ruleset,
-        path,
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.struct(F.lit("name").alias("kind"), F.col("piece").alias("key")),
-                    F.when(
-                        F.contains("piece", F.lit(".")),
-                        F.struct(
-                            F.lit("extension").alias("kind"),
-                            F.concat(F.lit("."), F.substring_index("piece", ".", -1)).alias("key"),
-                        ),
-                    ),
-                )
-            )
-        ).alias("lookup"),
-    ).select(ruleset, path, "lookup.kind", "lookup.key")
+    extension = F.struct(
+        F.lit("extension").alias("kind"),
+        F.concat(F.lit("."), F.substring_index("piece", ".", -1)).alias("key"),
+    )
+    lookup = F.array(
+        F.struct(F.lit("name").alias("kind"), F.col("piece").alias("key")),
+        F.when(F.contains("piece", F.lit(".")), extension),
+    )
+    lookups = (
+        names.select(ruleset, path, piece)
+        .select(ruleset, path, F.explode(F.array_compact(lookup)).alias("lookup"))
+        .select(ruleset, path, "lookup.kind", "lookup.key")
+    )
     by_key = lookups.join(keyed, [ruleset, "kind", "key"]).select(ruleset, path, "rule")
 
     tried = F.filter("globs", lambda g: F.rlike("norm", g["regex"]))
@@ -97,7 +92,12 @@ def rule_hits(
         .groupBy(ruleset, path)
         .agg(F.max("rule").alias("rule"))
         .filter("rule IS NOT NULL")
-        .select(ruleset, path, "rule.rule_ord", "rule.pattern", "rule.negated")
+        .select(
+            ruleset,
+            path,
+            F.floor(F.col("rule") / 2).cast("int").alias("rule_ord"),
+            (F.col("rule") % 2 == 1).alias("negated"),
+        )
     )
 
 
@@ -116,11 +116,13 @@ def exclusion_audit(
     paths: DataFrame, rules: DataFrame, ruleset: str = "ruleset_id", path: str = "path"
 ) -> DataFrame:
     """Paths decided by each rule that decided any."""
-    return (
+    decided = (
         rule_hits(paths, rules, ruleset, path)
-        .groupBy(ruleset, "rule_ord", "pattern", "negated")
+        .groupBy(ruleset, "rule_ord")
         .agg(F.count("*").alias("paths"))
     )
+    named = rules.select(F.col("ruleset_id").alias(ruleset), "rule_ord", "pattern", "negated")
+    return named.join(decided, [ruleset, "rule_ord"])
 
 
 def list_patterns(rules: DataFrame) -> DataFrame:
