@@ -6,8 +6,8 @@ heading row followed by line rows, and folds such rows back into files.
 """
 
 from sheaf.functions.globs import Rule
-from sheaf.plans.pack import pack, pack_sources
+from sheaf.plans.pack import pack, pack_sources, pack_tree
 from sheaf.plans.unpack import unpack, unpack_stream
 from sheaf.session import build_session
 
-__all__ = ["Rule", "build_session", "pack", "pack_sources", "unpack", "unpack_stream"]
+__all__ = ["Rule", "build_session", "pack", "pack_sources", "pack_tree", "unpack", "unpack_stream"]

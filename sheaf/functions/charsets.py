@@ -15,44 +15,42 @@ from sheaf.functions.binding import let
 # The encodings tried when none are given.
 DEFAULT_ENCODINGS = ("UTF-8", "GBK", "SHIFT_JIS", "EUC-KR")
 
-# The JVM charset that reads what the web means by a label.
-JVM_CHARSETS = {
-    "big5": "Big5-HKSCS",
-    "euc-jp": "EUC-JP",
-    "euc-kr": "x-windows-949",
-    "gb18030": "GB18030",
-    "gb2312": "GB18030",
-    "gbk": "GB18030",
-    "iso-8859-1": "windows-1252",
-    "iso-8859-2": "ISO-8859-2",
-    "iso-8859-5": "ISO-8859-5",
-    "iso-8859-7": "ISO-8859-7",
-    "iso-8859-15": "ISO-8859-15",
-    "koi8-r": "KOI8-R",
-    "koi8-u": "KOI8-U",
-    "latin1": "windows-1252",
-    "shift-jis": "windows-31j",
-    "shift_jis": "windows-31j",
-    "sjis": "windows-31j",
-    "us-ascii": "windows-1252",
-    "utf-16be": "UTF-16BE",
-    "utf-16le": "UTF-16LE",
-    "windows-1250": "windows-1250",
-    "windows-1251": "windows-1251",
-    "windows-1252": "windows-1252",
-    "windows-1253": "windows-1253",
-    "windows-1254": "windows-1254",
-    "windows-1257": "windows-1257",
-    "windows-31j": "windows-31j",
-    "windows-949": "x-windows-949",
+# Per JVM charset the web labels it reads.
+LABELS = {
+    "GB18030": "chinese csgb2312 csiso58gb231280 gb2312 gb_2312 gb_2312-80 gbk iso-ir-58 x-gbk gb18030",
+    "Big5-HKSCS": "big5 big5-hkscs cn-big5 csbig5 x-x-big5",
+    "EUC-JP": "cseucpkdfmtjapanese euc-jp x-euc-jp",
+    "windows-31j": "csshiftjis ms932 ms_kanji shift-jis shift_jis sjis windows-31j x-sjis",
+    "x-windows-949": "cseuckr csksc56011987 euc-kr iso-ir-149 korean ks_c_5601-1987 ks_c_5601-1989 "
+    "ksc5601 ksc_5601 windows-949",
+    "IBM866": "866 cp866 csibm866 ibm866",
+    "ISO-8859-2": "iso-8859-2 iso8859-2 iso_8859-2 l2 latin2",
+    "ISO-8859-5": "cyrillic iso-8859-5 iso8859-5 iso_8859-5",
+    "ISO-8859-7": "greek iso-8859-7 iso8859-7 iso_8859-7",
+    "ISO-8859-15": "iso-8859-15 iso8859-15 iso_8859-15 l9",
+    "KOI8-R": "koi koi8 koi8-r koi8_r",
+    "KOI8-U": "koi8-ru koi8-u",
+    "windows-874": "dos-874 iso-8859-11 tis-620 windows-874",
+    "windows-1250": "cp1250 windows-1250 x-cp1250",
+    "windows-1251": "cp1251 windows-1251 x-cp1251",
+    "windows-1252": "ascii cp1252 iso-8859-1 iso8859-1 iso_8859-1 l1 latin1 us-ascii windows-1252 x-cp1252",
+    "windows-1253": "cp1253 windows-1253 x-cp1253",
+    "windows-1254": "cp1254 iso-8859-9 l5 latin5 windows-1254 x-cp1254",
+    "windows-1255": "cp1255 windows-1255 x-cp1255",
+    "windows-1256": "cp1256 windows-1256 x-cp1256",
+    "windows-1257": "cp1257 windows-1257 x-cp1257",
+    "windows-1258": "cp1258 windows-1258 x-cp1258",
+    "UTF-16BE": "utf-16be",
+    "UTF-16LE": "iso-10646-ucs-2 ucs-2 unicode utf-16 utf-16le",
 }
+JVM_CHARSETS = {label: charset for charset, labels in LABELS.items() for label in labels.split()}
 
 MARK = "\ufffd"
 
 
 def ladder(encodings: Sequence[str]) -> list[tuple[str, str]]:
     """(label, JVM charset) of the encodings to try; UTF-8 is tried before them, unknown ones never."""
-    known = ((e.upper(), JVM_CHARSETS.get(e.strip().lower())) for e in encodings)
+    known = ((e.strip().upper(), JVM_CHARSETS.get(e.strip().lower())) for e in encodings)
     return [(label, charset) for label, charset in known if charset]
 
 

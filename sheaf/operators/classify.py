@@ -19,9 +19,13 @@ from sheaf.session import java_charsets
 
 
 def classify_text(files: DataFrame, encodings: Sequence[str] = DEFAULT_ENCODINGS) -> DataFrame:
-    """Add ``reason`` (the test that settled it) and ``is_text``."""
+    """Add ``reason`` (the test that settled it) and ``is_text``.
+
+    Looks at ``head``, the stored first bytes, if there is such a column, else at ``content``.
+    """
+    start = F.col("head" if "head" in files.columns else "content")
     with java_charsets(files.sparkSession):
-        files = files.withColumn("reason", sniff_reason(F.col("content"), encodings))
+        files = files.withColumn("reason", sniff_reason(start, encodings))
     return files.withColumn("is_text", is_text_reason(F.col("reason")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.charsets import DEFAULT_ENCODINGS
@@ -15,7 +15,7 @@ from sheaf.operators.duplicates import duplicate_paths, first_duplicate
 from sheaf.operators.exclude import exclude_filter
 from sheaf.operators.paragraphs import build_paragraphs
 from sheaf.operators.summary import bundle_table
-from sheaf.sources.files import union_sources
+from sheaf.sources.files import read_contents, sniff_tree, union_sources
 
 
 class Packed(NamedTuple):
@@ -40,6 +40,22 @@ def pack(
     return Packed(texts, build_paragraphs(texts), bundle_table(classified))
 
 
+def pack_tree(
+    spark: SparkSession,
+    root: str,
+    rules: Sequence[Rule] | None = None,
+    encodings: Sequence[str] = DEFAULT_ENCODINGS,
+    bundle_id: str = "0",
+) -> Packed:
+    """Pack a folder. Excluded files are not opened, and binaries are read no further than sniffed."""
+    known = sniff_tree(spark, root, default_rules() if rules is None else rules, encodings)
+    known = known.select(
+        F.lit(bundle_id).alias("bundle_id"), F.lit(0).alias("source_ord"), *known.columns
+    )
+    texts = decode_text(read_contents(known.filter("is_text"), root), encodings)
+    return Packed(texts, build_paragraphs(texts), bundle_table(known))
+
+
 def pack_sources(
     sources: Sequence[DataFrame],
     rules: Sequence[Rule] | None = None,

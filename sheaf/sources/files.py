@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.functions.charsets import DEFAULT_ENCODINGS
 from sheaf.functions.globs import Rule
+from sheaf.functions.sniff import SNIFF_BYTES
+from sheaf.operators.classify import classify_text
 from sheaf.operators.exclude import exclude_filter
 from sheaf.schemas import FILES
 from sheaf.session import shared_dir
@@ -54,30 +57,44 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*tables).filter("NOT is_dir").select("path", "length")
 
 
-def read_contents(listing: DataFrame, root: str) -> DataFrame:
-    """Add ``content`` to rows with ``path``; null where a file cannot be read.
+def read_contents(
+    listing: DataFrame, root: str, column: str = "content", limit: int = -1
+) -> DataFrame:
+    """Add the bytes of rows with ``path``, up to ``limit`` of each; null where a file is unreadable.
 
     The paths are spread anew first, so that files left over by a filter are read evenly.
     """
-    schema = listing.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", content binary"
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listing.schema.fields)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            start, held, content = 0, 0, []
+            start, held, data = 0, 0, []
             for i, path in enumerate(batch["path"]):
                 try:
                     with open(os.path.join(root, path), "rb") as f:
-                        content.append(f.read())
+                        data.append(f.read(limit))
                 except OSError:
-                    content.append(None)
-                held += len(content[-1] or b"")
+                    data.append(None)
+                held += len(data[-1] or b"")
                 if held >= READ_BATCH_BYTES:
-                    yield batch.iloc[start : i + 1].assign(content=content)
-                    start, held, content = i + 1, 0, []
-            if content:
-                yield batch.iloc[start:].assign(content=content)
+                    yield batch.iloc[start : i + 1].assign(**{column: data})
+                    start, held, data = i + 1, 0, []
+            if data:
+                yield batch.iloc[start:].assign(**{column: data})
+
+    return listing.repartition("path").mapInPandas(read, f"{fields}, {column} binary")
+
 
-    return listing.repartition("path").mapInPandas(read, schema)
+def sniff_tree(
+    spark: SparkSession,
+    root: str,
+    rules: Sequence[Rule] = (),
+    encodings: Sequence[str] = DEFAULT_ENCODINGS,
+) -> DataFrame:
+    """Files of a folder with reason and is_text, of which only the first bytes are read."""
+    listing = exclude_filter(list_tree(spark, root), rules)
+    heads = read_contents(listing, root, "head", SNIFF_BYTES)
+    return classify_text(heads, encodings).drop("head")
 
 
 def scan_tree(

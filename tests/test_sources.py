@@ -7,7 +7,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sheaf.functions.globs import Rule, default_rules
-from sheaf.plans.pack import pack
+from sheaf.plans.pack import pack, pack_sources, pack_tree
 from sheaf.session import shared_dir
 from sheaf.sources.files import read_files, scan_sources, scan_tree, union_sources
 from sheaf.sources.bundles import read_bundle, write_bundle
@@ -49,12 +49,22 @@ def test_several_sources(spark, tree, tmp_path):
     assert [(r.file_count, r.binary_skipped) for r in packed.bundles.collect()] == [(2, 1)]
 
 
+def test_tree_packs_like_its_table(spark, tree):
+    root, _ = tree
+    short, whole = pack_tree(spark, str(root)), pack(scan_tree(spark, str(root)))
+    assert sorted(short.paragraphs.collect(), key=str) == sorted(whole.paragraphs.collect(), key=str)
+    assert [(r.file_count, r.binary_skipped) for r in short.bundles.collect()] == [(5, 1)]
+    assert [(r.file_count, r.binary_skipped) for r in whole.bundles.collect()] == [(5, 1)]
+
+
 def test_guards(spark, tmp_path):
     with pytest.raises(ValueError):
         scan_sources(spark, [])
     with pytest.raises(ValueError):
         union_sources([])
     (tmp_path / "file").write_text("x")
+    with pytest.raises(ValueError):
+        pack_sources([])
     with pytest.raises(NotADirectoryError):
         scan_tree(spark, str(tmp_path / "file"))
 
