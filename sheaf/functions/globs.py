@@ -121,11 +121,25 @@ def rule_regex(rule: Rule) -> str | None:
     return f"(?s)^{whole}\\z|(?:^|/){name}(?:/|\\z)"
 
 
+_ANY_NAME = "[^/]*"
+
+
 def _run_regex(rules: Sequence[Rule]) -> str | None:
-    """One regex for neighbouring rules of one sign: name rules share a single alternation."""
+    """One regex for neighbouring rules of one sign: name rules share a few alternations.
+
+    A name rule that starts with a star may start anywhere in a component, so its star is dropped;
+    extensions share their dot. A path is then gone through once, not once per rule.
+    """
     names = [n for r in rules if (n := _component_regex(r)) is not None]
     rest = [x for r in rules if _component_regex(r) is None and (x := rule_regex(r))]
-    parts = [f"(?:^|/)(?:{'|'.join(names)})(?:/|\\z)"] if names else []
+    exact = [n for n in names if not n.startswith(_ANY_NAME)]
+    tails = [n.removeprefix(_ANY_NAME) for n in names if n.startswith(_ANY_NAME)]
+    dotted = [t.removeprefix("\\.") for t in tails if t.startswith("\\.")]
+    other = [t for t in tails if not t.startswith("\\.")]
+    parts = []
+    for lead, group in (("(?:^|/)", exact), ("\\.", dotted), ("", other)):
+        if group:
+            parts.append(f"{lead}(?:{'|'.join(group)})(?:/|\\z)")
     parts += [x.removeprefix("(?s)") for x in rest]
     return "(?s)" + "|".join(parts) if parts else None
 
