@@ -5,11 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import bpe, decontaminate
+from sheaf.llm import bpe, decontaminate, lines, minhash
 from sheaf.llm.tables import table
 from sheaf.session import shared_dir
 
 
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat another."""
+    return lines.dedup_lines(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return minhash.drop_near_duplicates(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by ``benchmark``."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -22,6 +32,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("line dedup", lines_once),
+    ("MinHash near-dedup", one_of_each),
     ("benchmark decontamination", decontaminated),
     ("byte-level BPE", tokens),
 ]
