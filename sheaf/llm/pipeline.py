@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import bpe, decontaminate, lines, minhash
+from sheaf.llm import bpe, decontaminate, lines, minhash, toxicity
 from sheaf.llm.tables import table
 from sheaf.session import shared_dir
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic by a model of ``labels``."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat another."""
     return lines.dedup_lines(docs)
@@ -32,6 +37,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", not_toxic),
     ("line dedup", lines_once),
     ("MinHash near-dedup", one_of_each),
     ("benchmark decontamination", decontaminated),
