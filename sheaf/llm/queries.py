@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import bpe, decontaminate, lines, minhash, quality, secrets, toxicity
+from sheaf.llm import bpe, decontaminate, lines, minhash, mixing, quality, secrets, toxicity
 from sheaf.llm.tables import table
 
 
@@ -28,6 +28,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +45,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_near_dedup, op5_toxicity, op8_decontaminate, op9_secrets, op10_quality)
+    f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_near_dedup, op5_toxicity, op6_lm_score, op8_decontaminate, op9_secrets, op10_quality)
 }
 
 ORACLE: dict[str, str] = {}
