@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import bpe, decontaminate, lines, minhash, mixing, quality, secrets, toxicity
+from sheaf.llm import bpe, chat, decontaminate, lines, minhash, mixing, quality, rollup, secrets, toxicity
 from sheaf.llm.tables import table
+from sheaf.session import shared_dir
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.corpus_totals(table(spark, sf_dir, "documents"), shared_dir(spark, "rollup"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.class_report(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +54,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_near_dedup, op5_toxicity, op6_lm_score, op8_decontaminate, op9_secrets, op10_quality)
-}
-
-ORACLE: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_line_dedup, op3_token_counts, op4_near_dedup, op5_toxicity, op6_lm_score, op7_chat, op8_decontaminate,
+        op9_secrets, op10_quality,
+    )
+}
+
+ORACLE: dict[str, str] = {"op3_token_counts": rollup.SQL, "op7_chat": chat.SQL}
