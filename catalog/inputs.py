@@ -24,10 +24,10 @@ DOC_FILES = f"""SELECT source AS bundle_id, doc_id, lang, text, {DOC_PATH} AS pa
 DIRTY_TEXT = """CASE doc_id % 6
   WHEN 0 THEN concat(text, chr(10), chr(10)) WHEN 1 THEN replace(text, chr(10), concat(chr(13), chr(10)))
   WHEN 2 THEN concat(chr(9), text, ' ') WHEN 3 THEN replace(text, '. ', chr(1))
-  WHEN 4 THEN '' ELSE replace(text, chr(10), concat(chr(10), chr(10))) END"""
+  WHEN 4 THEN concat(text, chr(10)) ELSE replace(text, chr(10), concat(chr(10), chr(10))) END"""
 
 DIRTY_FILES = f"""SELECT source AS bundle_id, doc_id, lang, {DIRTY_TEXT} AS text, {DOC_PATH} AS path
-FROM documents"""
+FROM documents UNION ALL SELECT source, -1 - doc_id, lang, '', concat('empty/', {DOC_PATH}) FROM documents WHERE doc_id % 6 = 4"""
 
 PAGE_FILES = """SELECT regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS bundle_id, page_id,
   regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path, html AS text FROM pages"""
@@ -70,6 +70,9 @@ HEADINGS = """SELECT page_id AS id, CASE page_id % 17
     ELSE concat('./', path, '//..x') END AS heading FROM page_files"""
 
 BYTE_FORMS = 9
+# Documents, and some empty files with numbers of their own.
+BYTE_DOCS = """SELECT bundle_id, doc_id, lang, text, path FROM doc_files UNION ALL
+SELECT bundle_id, -1 - doc_id, lang, '', concat('empty/', path) FROM doc_files WHERE doc_id % 50 = 0"""
 
 
 def sql(spark: SparkSession, sf_dir: str, query: str, *tables: str, **views: DataFrame) -> DataFrame:
@@ -139,10 +142,10 @@ def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.encode(F.replace(text, F.lit(" "), F.lit("\0")), "UTF-8"),
         F.encode(F.replace(text, F.lit("e"), F.lit("\1")), "UTF-8"),
     ]
-    content = F.when(F.col("doc_id") % 50 == 0, F.unhex(F.lit("")))
+    content = F.when(F.col("doc_id") < 0, F.unhex(F.lit("")))
     for i, form in enumerate(forms):
         content = content.when(F.col("doc_id") % BYTE_FORMS == i, form)
-    return _files(doc_files(spark, sf_dir), content)
+    return _files(sql(spark, sf_dir, BYTE_DOCS, doc_files=doc_files(spark, sf_dir)), content)
 
 
 def gb_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ bundles, lists and plain joins, none of which the Spark side relies on.
 from __future__ import annotations
 
 from catalog.inputs import (
+    BYTE_DOCS,
     DIRTY_FILES,
     DOC_FILES,
     HEADINGS,
@@ -15,7 +16,7 @@ from catalog.inputs import (
     RULE_LINES,
     TURN_STREAM,
 )
-from catalog.queries import BY_SITE, IN_USE, REQUESTS, SOURCES
+from catalog.queries import BY_SITE, IN_USE, OUT_IN_USE, REQUESTS, SEQ_SPAN, SOURCES
 
 
 def _with(*ctes: tuple[str, str], select: str) -> str:
@@ -111,12 +112,12 @@ BYTES = (
     "byte_files",
     f"""SELECT bundle_id, path, doc_id, text, form, hx, len(hx) // 2 AS length, left(hx, 16384) AS hd,
       least(len(hx) // 2, 8192) AS n FROM (
-    SELECT *, CASE WHEN doc_id % 50 = 0 THEN -1 ELSE doc_id % 9 END AS form,
-      CASE WHEN doc_id % 50 = 0 THEN '' ELSE CASE doc_id % 9 WHEN 0 THEN hex(text) WHEN 1 THEN 'EFBBBF' || hex(text)
+    SELECT *, CASE WHEN doc_id < 0 THEN -1 ELSE doc_id % 9 END AS form,
+      CASE WHEN doc_id < 0 THEN '' ELSE CASE doc_id % 9 WHEN 0 THEN hex(text) WHEN 1 THEN 'EFBBBF' || hex(text)
       WHEN 2 THEN {LE16} WHEN 3 THEN {BE16} WHEN 4 THEN 'FFFE' || {LE16}
       WHEN 5 THEN {units("printf('%08X', unicode(c))")} WHEN 6 THEN {units("printf('%02X', unicode(c))")}
       WHEN 7 THEN hex(replace(text, ' ', chr(0))) ELSE hex(replace(text, 'e', chr(1))) END END AS hx
-    FROM doc_files)""",
+    FROM ({BYTE_DOCS}))""",
 )
 PRINTABLE = "(2[1-9A-F]|[3-6].|7[0-9A-E]|20|09|0A|0C|0D)"
 
@@ -481,48 +482,51 @@ ORACLE: dict[str, str] = {
     "assemble_bundle": _with(
         DIRTY, DIRTY_ROWS,
         ("fragments", f"SELECT *, {fragment(f'({STYLE})', 'text')} AS fragment FROM dirty_rows"),
-        select="""SELECT bundle_id, md5(body) AS body_md5, CAST(len(body) AS INT) AS chars FROM (
-        SELECT bundle_id, string_agg(fragment, '' ORDER BY path, line_no) AS body FROM fragments GROUP BY bundle_id)""",
+        select="""SELECT bundle_id, CAST(0 AS INT) AS source_ord, path, CAST(0 AS INT) AS first_line,
+        md5(body) AS body_md5, CAST(len(body) AS INT) AS chars FROM (
+        SELECT bundle_id, path, string_agg(fragment, '' ORDER BY line_no) AS body FROM fragments GROUP BY bundle_id, path)""",
     ),
     "parse_markup": _with(
         DIRTY, DIRTY_ROWS,
-        select=f"""SELECT bundle_id, row_number() OVER (PARTITION BY bundle_id ORDER BY path, line_no) - 1 AS seq,
+        select=f"""SELECT bundle_id, CAST(0 AS INT) AS source_ord, path, CAST(line_no AS INT) AS line_no,
         {STYLE} AS style, regexp_replace(text, {CONTROLS}, '', 'g') AS text FROM dirty_rows""",
     ),
+    "parse_foreign": f"""SELECT doc_id, CAST(0 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS style,
+      'a B' || chr(128512) || ' &#67;' || chr(9) || chr(10) || regexp_replace(replace(text, chr(10), ' '), {CONTROLS}, '', 'g') AS text FROM documents""",
     "segment_turns": _with(
         TURNS, ("segs", segments("turn_stream")), select="SELECT bundle_id, seq, seg_no FROM segs WHERE seg_no > 0"
     ),
     "segment_docs": _with(
         DIRTY, DIRTY_ROWS,
-        ("stream", f"SELECT bundle_id, doc_id * 1000000 + line_no AS seq, {STYLE} AS style FROM dirty_rows"),
+        ("stream", f"SELECT bundle_id, doc_id * {SEQ_SPAN} + line_no AS seq, {STYLE} AS style FROM dirty_rows"),
         ("segs", segments("stream")),
         select="SELECT bundle_id, seg_no, count(*) AS rows, max(seq) AS last_seq FROM segs GROUP BY bundle_id, seg_no",
     ),
     "unpack_files": _with(
-        DIRTY, select=f"SELECT bundle_id, path, {NORMAL} AS content FROM dirty_files WHERE NOT ({default_hit('path')})"
+        DIRTY, select=f"SELECT bundle_id, path, CAST(0 AS BIGINT) AS part_no, {NORMAL} AS content FROM dirty_files WHERE NOT ({default_hit('path')})"
     ),
     "unpack_seq": _with(
         DIRTY,
-        select=f"""SELECT bundle_id, row_number() OVER (PARTITION BY bundle_id ORDER BY doc_id) AS seg_no, path,
+        select=f"""SELECT bundle_id, row_number() OVER (PARTITION BY bundle_id ORDER BY doc_id) AS seg_no, path, CAST(0 AS BIGINT) AS part_no,
         {NORMAL} AS content FROM dirty_files""",
     ),
     "unpack_compat": _with(
         DIRTY,
-        select=f"""SELECT bundle_id, path, rtrim(array_to_string(list_transform({lines_of("text")}, lambda l:
+        select=f"""SELECT bundle_id, path, CAST(0 AS BIGINT) AS part_no, rtrim(array_to_string(list_transform({lines_of("text")}, lambda l:
         trim(regexp_replace(l, {CONTROLS}, '', 'g'), ' ' || chr(9))), chr(10)), chr(10)) AS content FROM dirty_files""",
     ),
     "unpack_edge": _with(
-        *PATH_SEGMENTS, select="SELECT bundle_id, seg_no, heading, content FROM folds WHERE heading <> ''"
+        *PATH_SEGMENTS, select="SELECT bundle_id, seg_no, CAST(0 AS BIGINT) AS part_no, heading, content FROM folds WHERE heading <> ''"
     ),
     "validate_paths": _with(
         PAGES, HEADS, ("c", checked("headings")), select="SELECT id, path, error FROM c"
     ),
     "unpack_strict": _with(
-        *PATH_SEGMENTS, STRICT, select="SELECT bundle_id, seg_no, path, content FROM strict"
+        *PATH_SEGMENTS, STRICT, select="SELECT bundle_id, seg_no, path, CAST(0 AS BIGINT) AS part_no, content FROM strict"
     ),
     "unpack_dedup": _with(
         *PATH_SEGMENTS,
-        select=f"""SELECT bundle_id, seg_no, path, content FROM (SELECT *, row_number() OVER (
+        select=f"""SELECT bundle_id, seg_no, path, CAST(0 AS BIGINT) AS part_no, content FROM (SELECT *, row_number() OVER (
         PARTITION BY bundle_id, {IDENTITY} ORDER BY seg_no DESC) AS nth FROM named WHERE error IS NULL) WHERE nth = 1""",
     ),
     "unpack_summary": _with(
@@ -575,10 +579,25 @@ ORACLE: dict[str, str] = {
             FROM (SELECT name, unnest(range(0, 10000)) AS n, {ext_cut("name")} AS cut FROM (SELECT DISTINCT name FROM requests))"""),
         ("free", """SELECT name, candidate, row_number() OVER (PARTITION BY name ORDER BY n) AS nth FROM slots
             WHERE candidate NOT IN (SELECT name FROM in_use) AND (n = 0 OR candidate NOT IN (SELECT name FROM requests))"""),
-        select="""SELECT request_id, r.name, candidate AS allocated, CASE WHEN candidate IS NULL THEN 'no free name' END AS error
+        select=f"""SELECT request_id, r.name, coalesce(candidate, left(r.name, len(r.name) - ({ext_cut("r.name")})) || '_more_' || request_id
+            || right(r.name, {ext_cut("r.name")})) AS allocated, CAST(NULL AS VARCHAR) AS error
         FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY request_id) AS nth FROM requests) r
         LEFT JOIN free f ON f.name = r.name AND f.nth = r.nth""",
     ),
+    "resolve_output_names": _with(
+        *SOURCE_LIST, COMMON, NAMED,
+        ("given", "SELECT bundle_id, max(explicit) <> 'output.docx' AS given FROM sources GROUP BY bundle_id"),
+        ("named", "SELECT bundle_id, output_name FROM named_out"),
+        ("in_use", OUT_IN_USE),
+        ("requests", "SELECT bundle_id AS request_id, output_name AS name FROM named JOIN given USING (bundle_id) WHERE given IS NOT TRUE"),
+        ("slots", f"""SELECT name, n, CASE WHEN n = 0 THEN name ELSE left(name, len(name) - cut) || '_' || n || right(name, cut) END AS candidate
+            FROM (SELECT name, unnest(range(0, 10000)) AS n, {ext_cut("name")} AS cut FROM (SELECT DISTINCT name FROM requests))"""),
+        ("free", """SELECT name, candidate, row_number() OVER (PARTITION BY name ORDER BY n) AS nth FROM slots
+            WHERE candidate NOT IN (SELECT name FROM in_use) AND (n = 0 OR candidate NOT IN (SELECT name FROM requests))"""),
+        select="""SELECT n.bundle_id, coalesce(candidate, n.output_name) AS output_name, CAST(NULL AS VARCHAR) AS error FROM named n
+        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY name ORDER BY request_id) AS nth FROM requests) r ON r.request_id = n.bundle_id
+        LEFT JOIN free f ON f.name = r.name AND f.nth = r.nth""",
+    ),
     "path_parts": _with(
         PAGES, HEADS,
         select=f"""SELECT id, {parent_of("heading")} AS parent, {name_of("heading")} AS name, {stem_of("heading")} AS stem,
@@ -605,9 +624,9 @@ ORACLE: dict[str, str] = {
     "roundtrip_diff": _with(
         DIRTY,
         ("files", f"""SELECT bundle_id, path, {NORMAL} AS body, regexp_extract(path, '([0-9])[.][a-z]+$', 1) AS tail FROM dirty_files"""),
-        ("counted", "SELECT *, CAST(len(string_split(body, chr(10))) AS INT) AS n FROM files"),
+        ("counted", "SELECT *, CASE WHEN body = '' THEN 0 ELSE len(string_split(body, chr(10))) END AS n FROM files"),
         select="""SELECT bundle_id, path, CASE WHEN tail IN ('5', '7') THEN 'missing' WHEN tail = '3' THEN 'changed' ELSE 'same' END AS status,
-          n AS lines_before, CASE WHEN tail IN ('5', '7') THEN NULL WHEN tail = '3' THEN n + 1 ELSE n END AS lines_after FROM counted
+          n AS lines_before, CASE WHEN tail IN ('5', '7') THEN NULL WHEN tail = '3' THEN greatest(n, 1) + 1 ELSE n END AS lines_after FROM counted
         UNION ALL SELECT bundle_id, 'new/' || path, 'added', NULL, n FROM counted WHERE tail = '5'""",
     ),
     "pack_progress": _with(

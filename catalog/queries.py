@@ -294,22 +294,39 @@ def render_paragraphs(spark, sf_dir):
 def assemble_bundle(spark, sf_dir):
     bodies = markup.assemble_bundle(_dirty_paragraphs(spark, sf_dir))
     return bodies.select(
-        "bundle_id", F.md5("body").alias("body_md5"), F.char_length("body").alias("chars")
+        "bundle_id", "source_ord", "path", "first_line", F.md5("body").alias("body_md5"), F.char_length("body").alias("chars")
     )
 
 
 def parse_markup(spark, sf_dir):
-    bodies = markup.assemble_bundle(_dirty_paragraphs(spark, sf_dir)).select("bundle_id", "body")
+    bodies = markup.assemble_bundle(_dirty_paragraphs(spark, sf_dir))
     return markup.parse_markup(bodies.withColumn("body", markup.wrap_body(F.col("body"))))
 
 
+def parse_foreign(spark, sf_dir):
+    """Markup of other hands: tabs, numeric references, runs with unknown entities, text outside of runs."""
+    run = "<w:r><w:t>{}</w:t></w:r>"
+    paragraph = F.concat(
+        F.lit("<w:p>skipped" + run.format("a &#66;&#x1F600; &amp;#67;") + "<w:tab/>"),
+        F.lit(run.format("lost &nosuch; run") + "<w:br/><w:r><w:t xml:space=\"preserve\">"),
+        text.escape_markup(F.col("text")),
+        F.lit("</w:t></w:r></w:p><w:p/>"),
+    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    return markup.parse_markup(docs.select("doc_id", paragraph.alias("body")))
+
+
 # ---- unpacking ------------------------------------------------------------------------------
 
 
+# Positions of a file; no file has as many lines.
+SEQ_SPAN = 1 << 32
+
+
 def _seq_stream(spark, sf_dir):
     rows = paragraphs.build_paragraphs(_dirty_texts(spark, sf_dir).withColumn("source_ord", F.col("doc_id")))
     return rows.select(
-        "bundle_id", (F.col("source_ord") * 1_000_000 + F.col("line_no")).alias("seq"), "style", "text"
+        "bundle_id", (F.col("source_ord") * SEQ_SPAN + F.col("line_no")).alias("seq"), "style", "text"
     )
 
 
@@ -329,22 +346,21 @@ def unpack_files(spark, sf_dir):
     table, out = shared_dir(spark, "bundles"), shared_dir(spark, "unpacked")
     bundles.write_bundle(pack(inputs.utf8_files(spark, sf_dir, dirty=True)).texts, table)
     bundles.write_unpacked(unpack(bundles.read_bundle(spark, table)), out)
-    return spark.read.parquet(out).select("bundle_id", "path", "content")
+    return spark.read.parquet(out).select("bundle_id", "path", "part_no", "content")
 
 
 def unpack_seq(spark, sf_dir):
-    return unpack_stream(_seq_stream(spark, sf_dir)).select("bundle_id", "seg_no", "path", "content")
+    return unpack_stream(_seq_stream(spark, sf_dir)).select("bundle_id", "seg_no", "path", "part_no", "content")
 
 
 def unpack_compat(spark, sf_dir):
-    bodies = markup.assemble_bundle(_dirty_paragraphs(spark, sf_dir)).select("bundle_id", "body")
-    rows = markup.parse_markup(bodies, compat_trim=True)
-    return unpack_stream(rows).select("bundle_id", "path", "content")
+    rows = markup.parse_markup(markup.assemble_bundle(_dirty_paragraphs(spark, sf_dir)), compat_trim=True)
+    return unpack(rows).select("bundle_id", "path", "part_no", "content")
 
 
 def unpack_edge(spark, sf_dir):
     folded = segment.fold_content(segment.segment_by_heading(inputs.path_stream(spark, sf_dir)))
-    return segment.drop_empty_heading(folded).select("bundle_id", "seg_no", "heading", "content")
+    return segment.drop_empty_heading(folded).select("bundle_id", "seg_no", "part_no", "heading", "content")
 
 
 def validate_paths(spark, sf_dir):
@@ -355,12 +371,12 @@ def validate_paths(spark, sf_dir):
 def unpack_strict(spark, sf_dir):
     folded = segment.fold_content(segment.segment_by_heading(inputs.path_stream(spark, sf_dir)))
     files_ = segment.validate_headings(segment.drop_empty_heading(folded))
-    return segment.stop_at_first_error(files_).select("bundle_id", "seg_no", "path", "content")
+    return segment.stop_at_first_error(files_).select("bundle_id", "seg_no", "path", "part_no", "content")
 
 
 def unpack_dedup(spark, sf_dir):
     out = unpack_stream(inputs.path_stream(spark, sf_dir), on_error="skip")
-    return out.select("bundle_id", "seg_no", "path", "content")
+    return out.select("bundle_id", "seg_no", "path", "part_no", "content")
 
 
 def unpack_summary(spark, sf_dir):
@@ -404,7 +420,9 @@ def reject_duplicates(spark, sf_dir):
 
 BY_SITE = """SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS bundle_id,
   CAST(page_id AS INT) AS source_ord,
-  regexp_extract(url, '^https?://[^/]+/([a-z]+/[0-9])', 1) AS path FROM pages"""
+  concat(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), CASE WHEN page_id % 40 = 0 THEN '' ELSE '!' END) AS path FROM pages
+UNION ALL SELECT regexp_extract(url, '^https?://([^/]+)/', 1), CAST(-1 - page_id AS INT),
+  regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) FROM pages WHERE page_id % 80 = 0"""
 
 
 def pack_summary(spark, sf_dir):
@@ -450,6 +468,16 @@ def allocate_names(spark, sf_dir):
     )
 
 
+# Some of the wanted names are in use.
+OUT_IN_USE = """SELECT output_name AS name FROM named WHERE length(bundle_id) % 2 = 0"""
+
+
+def resolve_output_names(spark, sf_dir):
+    sources = _sources(spark, sf_dir)
+    in_use = inputs.sql(spark, sf_dir, OUT_IN_USE, named=names.output_names(sources))
+    return names.resolve_output_names(sources, in_use)
+
+
 def path_parts(spark, sf_dir):
     path = F.col("heading")
     return inputs.headings(spark, sf_dir).select(
@@ -496,6 +524,7 @@ def roundtrip_diff(spark, sf_dir):
     after = unpack(_dirty_paragraphs(spark, sf_dir)).withColumn("tail", F.regexp_extract("path", r"(\d)\.\w+$", 1))
     changed = after.filter("tail <> '7'").select(
         "bundle_id",
+        "part_no",
         F.when(F.col("tail") == "5", F.concat(F.lit("new/"), F.col("path"))).otherwise(F.col("path")).alias("path"),
         F.when(F.col("tail") == "3", F.concat("content", F.lit("\nmore"))).otherwise(F.col("content")).alias("content"),
     )
@@ -548,11 +577,11 @@ QUERIES = {
         sniff_bom, sniff_nul, sniff_utf16, sniff_utf32, meaningful_ratio, classify_files, text_filter,
         decode_ladder, decode_text, decode_wide, encoding_audit,
         explode_lines, build_paragraphs, heading_counts, path_normalize, bundle_header, clean_text,
-        render_paragraphs, assemble_bundle, parse_markup,
+        render_paragraphs, assemble_bundle, parse_markup, parse_foreign,
         segment_turns, segment_docs, unpack_files, unpack_seq, unpack_compat, unpack_edge,
         validate_paths, unpack_strict, unpack_dedup, unpack_summary, unpack_outcome, unpack_batch,
         duplicate_paths, first_duplicate, reject_duplicates, pack_summary, common_parent, output_names,
-        allocate_names, path_parts, pack_paragraphs, pack_many_sources, roundtrip_diff,
+        allocate_names, resolve_output_names, path_parts, pack_paragraphs, pack_many_sources, roundtrip_diff,
         pack_progress, pack_stream, duplicate_guard_stream,
     )
 }

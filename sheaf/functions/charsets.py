@@ -5,6 +5,7 @@ Build these expressions inside :func:`sheaf.session.java_charsets`.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -25,6 +26,17 @@ LABELS = {
     "ksc5601 ksc_5601 windows-949",
     "IBM866": "866 cp866 csibm866 ibm866",
     "ISO-8859-2": "iso-8859-2 iso8859-2 iso_8859-2 l2 latin2",
+    "ISO-8859-3": "csisolatin3 iso-8859-3 iso-ir-109 iso8859-3 iso88593 iso_8859-3 iso_8859-3:1988 l3 latin3",
+    "ISO-8859-4": "csisolatin4 iso-8859-4 iso-ir-110 iso8859-4 iso88594 iso_8859-4 iso_8859-4:1988 l4 latin4",
+    "ISO-8859-6": "arabic asmo-708 csiso88596e csiso88596i csisolatinarabic ecma-114 iso-8859-6 iso-8859-6-e "
+    "iso-8859-6-i iso-ir-127 iso8859-6 iso88596 iso_8859-6 iso_8859-6:1987",
+    "ISO-8859-8": "csiso88598e csisolatinhebrew hebrew iso-8859-8 iso-8859-8-e iso-ir-138 iso8859-8 iso88598 "
+    "iso_8859-8 iso_8859-8:1988 visual csiso88598i iso-8859-8-i logical",
+    "ISO-8859-13": "iso-8859-13 iso8859-13 iso885913",
+    "ISO-8859-16": "iso-8859-16",
+    "ISO-2022-JP": "csiso2022jp iso-2022-jp",
+    "x-MacRoman": "csmacintosh mac macintosh x-mac-roman",
+    "x-MacCyrillic": "x-mac-cyrillic x-mac-ukrainian",
     "ISO-8859-5": "cyrillic iso-8859-5 iso8859-5 iso_8859-5",
     "ISO-8859-7": "greek iso-8859-7 iso8859-7 iso_8859-7",
     "ISO-8859-15": "iso-8859-15 iso8859-15 iso_8859-15 l9",
@@ -49,8 +61,12 @@ MARK = "\ufffd"
 
 
 def ladder(encodings: Sequence[str]) -> list[tuple[str, str]]:
-    """(label, JVM charset) of the encodings to try; UTF-8 is tried before them, unknown ones never."""
-    known = ((e.strip().upper(), JVM_CHARSETS.get(e.strip().lower())) for e in encodings)
+    """(label, JVM charset) of the encodings to try; UTF-8 is tried before them, unknown ones never,
+    with a warning."""
+    known = [(e.strip().upper(), JVM_CHARSETS.get(e.strip().lower())) for e in encodings]
+    missing = [label for label, charset in known if not charset and label not in ("UTF-8", "UTF8", "UNICODE-1-1-UTF-8")]
+    if missing:
+        warnings.warn(f"encodings skipped, no decoder known: {', '.join(missing)}", stacklevel=2)
     return [(label, charset) for label, charset in known if charset]
 
 

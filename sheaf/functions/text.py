@@ -53,15 +53,37 @@ def escape_markup(text: Column) -> Column:
 
 
 # An ampersand that opens none of the entities the reader knows.
-_UNKNOWN_ENTITY = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
+_UNKNOWN_ENTITY = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});)"
+_NUMBERED = r"&#(?:[0-9]{1,7}|x[0-9A-Fa-f]{1,6});"
+
+
+def _numbered(text: Column) -> tuple[Column, Column]:
+    """Text with numeric references as characters, and whether one of them names no character."""
+    found = F.regexp_extract_all(text, F.lit(_NUMBERED), F.lit(0))
+    code = F.transform(
+        found,
+        lambda r: F.when(
+            F.lower(F.substring(r, 3, 1)) == "x", F.conv(F.regexp_extract(r, "x([0-9A-Fa-f]+)", 1), 16, 10)
+        ).otherwise(F.regexp_extract(r, "([0-9]+)", 1)).cast("int"),
+    )
+    bad = F.exists(code, lambda c: (c == 0) | (c > 0x10FFFF) | c.between(0xD800, 0xDFFF))
+    # The four bytes of UTF-32, then decoded.
+    chars = F.transform(code, lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+    pieces = F.split(text, _NUMBERED, -1)
+    joined = F.transform(F.arrays_zip(pieces.alias("p"), chars.alias("c")), lambda x: F.concat(x["p"], F.coalesce(x["c"], F.lit(""))))
+    return F.array_join(joined, ""), bad
 
 
 def unescape_markup(text: Column) -> Column:
-    """Inverse of :func:`escape_markup`; a run with an entity of unknown name becomes empty."""
-    plain = text
-    for char, entity in reversed(ENTITIES):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(text.rlike(_UNKNOWN_ENTITY), F.lit("")).otherwise(plain)
+    """Inverse of :func:`escape_markup`; numeric references are read too. A run with an entity of
+    unknown name, or a number that is no character, becomes empty."""
+    # Written as a number, an ampersand cannot open another entity.
+    marked = F.replace(text, F.lit("&amp;"), F.lit("&#38;"))
+    for char, entity in reversed(ENTITIES[1:5]):
+        marked = F.replace(marked, F.lit(entity), F.lit(char))
+    numbered, bad = _numbered(marked)
+    plain = F.when(marked.rlike(_NUMBERED), F.when(bad, F.lit("")).otherwise(numbered)).otherwise(marked)
+    return F.when(~text.contains("&"), text).when(text.rlike(_UNKNOWN_ENTITY), F.lit("")).otherwise(plain)
 
 
 def trim_runs(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import escape_markup, trim_runs, unescape_markup
@@ -12,10 +12,9 @@ from sheaf.operators.paragraphs import is_heading
 BREAK = "<w:br/>"
 BODY_OPEN, BODY_CLOSE = "<w:body>", "<w:sectPr></w:sectPr></w:body>"
 
-# A bundle larger than this stays in parts; one cell can hold at most 2 GB.
-MAX_CELL_BYTES = 256 * 1024 * 1024
-# Lines of a file gathered by one group.
-CHUNK_LINES = 65_536
+# A run of lines ends at this many lines or bytes, so that a group and a cell stay small.
+RUN_LINES = 65_536
+RUN_BYTES = 32 * 1024 * 1024
 
 
 def render_paragraph(style: Column, text: Column) -> Column:
@@ -39,67 +38,70 @@ def render_paragraphs(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.withColumn("fragment", fragment).drop("style", "text")
 
 
-def _joined(order: list[str], value: str) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
-    return F.array_join(F.transform(rows, lambda r: r[value]), "")
+def assemble_bundle(
+    paragraphs: DataFrame, run_lines: int = RUN_LINES, run_bytes: int = RUN_BYTES
+) -> DataFrame:
+    """Markup of bundles in runs: columns bundle_id, source_ord, path, first_line, body.
 
-
-def assemble_bundle(paragraphs: DataFrame, max_cell_bytes: int = MAX_CELL_BYTES) -> DataFrame:
-    """Markup of bundles: columns bundle_id, source_ord, path, chunk, body.
-
-    Fragments are first joined per run of lines of one file, a group of bounded size whatever the
-    bundle holds. Bundles that fit one cell are then joined into one row, with the place columns
-    null; a larger bundle keeps one row per run. A bundle's markup is always its bodies in the
-    order of (source_ord, path, chunk), so nothing is lost and no task sees a whole large bundle.
+    A run is some lines of one file, from ``first_line`` on; it ends at ``run_lines`` lines or
+    ``run_bytes`` bytes, whichever comes first. A bundle's markup is its bodies in the order of
+    (source_ord, path, first_line), whatever its size, so no task sees a whole bundle or file.
     """
-    place = ["source_ord", "path", "chunk"]
-    runs = (
+    block = ["bundle_id", "source_ord", "path", "block"]
+    before = Window.partitionBy(*block).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    bytes_before = F.coalesce(F.sum(F.octet_length("fragment")).over(before), F.lit(0))
+    rows = (
         render_paragraphs(paragraphs)
-        .withColumn("chunk", F.floor(F.col("line_no") / CHUNK_LINES))
-        .groupBy("bundle_id", *place)
-        .agg(_joined(["line_no"], "fragment").alias("body"))
+        .withColumn("block", F.floor(F.col("line_no") / run_lines))
+        .withColumn("run", F.floor(bytes_before / run_bytes))
     )
-    # Sizes are summed over the same runs (their shuffle is reused) and before they are shuffled.
-    sizes = runs.groupBy("bundle_id").agg(F.sum(F.octet_length("body")).alias("bytes"))
-    large = sizes.filter(F.col("bytes") > max_cell_bytes).select("bundle_id", F.lit(True).alias("large"))
-    marked = runs.join(large, "bundle_id", "left")
-    keys = {c: F.when(F.col("large"), F.col(c)) for c in place}
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "fragment")))
     return (
-        marked.withColumns({f"key_{c}": v for c, v in keys.items()})
-        .groupBy("bundle_id", *(f"key_{c}" for c in place))
-        .agg(_joined(place, "body").alias("body"))
-        .select("bundle_id", *(F.col(f"key_{c}").alias(c) for c in place), "body")
+        rows.groupBy(*block, "run")
+        .agg(F.min("line_no").alias("first_line"), F.array_join(F.transform(lines, lambda r: r["fragment"]), "").alias("body"))
+        .drop("block", "run")
     )
 
 
 def wrap_body(body: Column) -> Column:
-    """Body element around the markup of a bundle that fits one cell."""
+    """Body element around markup."""
     return F.concat(F.lit(BODY_OPEN), body, F.lit(BODY_CLOSE))
 
 
+# A run's text, a break or a tab; all else between them is not text.
+_TOKEN = r"(?s)<w:t(?: [^>]*)?>[^<]*</w:t>|<w:br/>|<w:tab/>"
+
+
 def parse_markup(bodies: DataFrame, compat_trim: bool = False) -> DataFrame:
     """Rows of our own markup: the other columns of ``bodies`` plus seq, style and text.
 
-    Paragraphs are taken one after the other from the start, so text that breaks off or goes wrong
-    ends the stream there and keeps the rows before it. No row is shuffled: a paragraph never
-    crosses two bodies. ``compat_trim`` also trims every run, which loses indentation.
+    Bodies of :func:`assemble_bundle` have a ``first_line``; for them the row's ``line_no`` stands in
+    its place, so the result is a paragraph table again. Paragraphs are taken one after the other
+    from the start, so markup that breaks off or goes wrong ends there and keeps the rows before it.
+    Nothing is shuffled: a paragraph never crosses two bodies. A run with an unknown entity is
+    dropped, the rest of its paragraph stays. ``compat_trim`` trims every run, which loses indentation.
     """
     inner = F.regexp_replace("body", rf"^{BODY_OPEN}", "")
     found = F.regexp_extract_all(inner, F.lit(r"(?s)\G<w:p>(.*?)</w:p>"))
-    keep = [c for c in bodies.columns if c != "body"]
-    raw = bodies.select(*keep, F.posexplode(found).alias("seq", "raw"))
+    keep = [c for c in bodies.columns if c not in ("body", "first_line")]
+    place = F.col("seq").cast("bigint").alias("seq")
+    first = []
+    if "first_line" in bodies.columns:
+        place, first = (F.col("first_line") + F.col("seq")).cast("int").alias("line_no"), ["first_line"]
+    raw = bodies.select(*keep, *first, F.posexplode(found).alias("seq", "raw"))
     style = F.regexp_extract("raw", r'<w:pStyle w:val="([^"]*)"', 1)
-    runs = F.regexp_replace("raw", r"(?s)^<w:pPr>.*?</w:pPr>", "")
-    runs = F.replace(runs, F.lit(BREAK), F.lit("\n"))
-    runs = F.replace(runs, F.lit("<w:tab/>"), F.lit("\t"))
-    runs = F.regexp_replace(runs, "<[^>]*>", "")
-    if compat_trim:
-        runs = trim_runs(runs)
+
+    def text_of(token: Column) -> Column:
+        body = F.regexp_extract(token, r"(?s)>([^<]*)<", 1)
+        run = unescape_markup(trim_runs(body) if compat_trim else body)
+        return F.when(token == BREAK, "\n").when(token == "<w:tab/>", "\t").otherwise(run)
+
+    tokens = F.regexp_extract_all("raw", F.lit(_TOKEN), F.lit(0))
     return raw.select(
         *keep,
-        F.col("seq").cast("bigint").alias("seq"),
+        place,
         F.when(style != "", unescape_markup(style)).alias("style"),
-        unescape_markup(runs).alias("text"),
+        F.array_join(F.transform(tokens, text_of), "").alias("text"),
     )
 
 

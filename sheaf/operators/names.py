@@ -13,6 +13,8 @@ DEFAULT_STEM = "output"
 OUTPUT_EXTENSION = ".docx"
 UNPACKED_SUFFIX = "_unpacked"
 LAST_SUFFIX = 9999
+# What stands for the time of the run in names beyond the last number.
+STAMP = "more"
 
 
 def common_prefix(low: Column, high: Column) -> Column:
@@ -50,33 +52,44 @@ def output_names(sources: DataFrame, key: str = "bundle_id") -> DataFrame:
         F.max("explicit").alias("explicit"),
     )
     path, shared = F.col("first.path"), F.col("common_parent")
-    single = F.col("sources") == 1
+    parts = first.join(common, key).select(
+        key,
+        "explicit",
+        (F.col("sources") == 1).alias("single"),
+        F.col("first.is_dir").alias("is_dir"),
+        base_name(path).alias("base"),
+        stem(path).alias("stem"),
+        parent(path).alias("parent"),
+        shared.alias("shared"),
+        base_name(shared).alias("shared_base"),
+    )
+    single = F.col("single")
     name = (
-        F.when(single & (base_name(path) == ""), DEFAULT_STEM)
-        .when(single & F.col("first.is_dir"), base_name(path))
-        .when(single, stem(path))
-        .when(shared.isNotNull(), base_name(shared))
+        F.when(single & (F.col("base") == ""), DEFAULT_STEM)
+        .when(single & F.col("is_dir"), F.col("base"))
+        .when(single, F.col("stem"))
+        .when(F.col("shared").isNotNull(), F.col("shared_base"))
         .otherwise(DEFAULT_STEM)
     )
-    folder = F.when(single | shared.isNull(), parent(path)).otherwise(shared)
-    own = join_path(folder, F.concat(name, F.lit(OUTPUT_EXTENSION)))
-    given = F.col("explicit")
-    return first.join(common, key).select(
-        key,
-        F.when(given.isNotNull() & (given != DEFAULT_OUTPUT), given).otherwise(own).alias("output_name"),
-        (given.isNotNull() & (given != DEFAULT_OUTPUT)).alias("given"),
-    )
-
-
-def resolve_output_names(sources: DataFrame, existing: DataFrame, key: str = "bundle_id") -> DataFrame:
-    """:func:`output_names`, renamed where the name exists; explicit names are kept."""
+    folder = F.when(single | F.col("shared").isNull(), F.col("parent")).otherwise(F.col("shared"))
+    named = parts.select(key, "explicit", folder.alias("folder"), F.concat(name, F.lit(OUTPUT_EXTENSION)).alias("name"))
+    given = F.col("explicit").isNotNull() & (F.col("explicit") != DEFAULT_OUTPUT)
+    own = join_path(F.col("folder"), F.col("name"))
+    return named.select(key, F.when(given, F.col("explicit")).otherwise(own).alias("output_name"), given.alias("given"))
+
+
+def resolve_output_names(
+    sources: DataFrame, existing: DataFrame, key: str = "bundle_id", stamp: str = STAMP
+) -> DataFrame:
+    """:func:`output_names`, renamed where the name exists; explicit names are kept. ``error`` is null
+    where there is a name."""
     names = output_names(sources, key)
     asked = names.filter(~F.col("given")).select(
         F.col(key).alias("request_id"), F.col("output_name").alias("name")
     )
-    free = allocate_names(asked, existing).select(F.col("request_id").alias(key), "allocated")
+    free = allocate_names(asked, existing, stamp=stamp).select(F.col("request_id").alias(key), "allocated", "error")
     return names.join(free, key, "left").select(
-        key, F.when(F.col("given"), F.col("output_name")).otherwise(F.col("allocated")).alias("output_name")
+        key, F.when(F.col("given"), F.col("output_name")).otherwise(F.col("allocated")).alias("output_name"), "error"
     )
 
 
@@ -97,16 +110,19 @@ def _suffixed(name: Column, n: Column, whole: bool) -> Column:
     """Name number ``n``: the suffix goes before the extension, or after the whole name."""
     cut = F.lit("") if whole else F.regexp_extract(name, r"(?s)[^/](\.[^./]*)\z", 1)
     head = F.substring(name, F.lit(1), F.length(name) - F.length(cut))
-    return F.when(n == 0, name).otherwise(F.concat(head, F.lit("_"), n.cast("string"), cut))
+    return F.when(n.cast("string") == "0", name).otherwise(F.concat(head, F.lit("_"), n.cast("string"), cut))
 
 
-def allocate_names(requests: DataFrame, existing: DataFrame, whole: bool = False) -> DataFrame:
+def allocate_names(
+    requests: DataFrame, existing: DataFrame, whole: bool = False, stamp: str = STAMP
+) -> DataFrame:
     """Give every request (request_id, name) the first free of name, name_1, name_2, ...
 
     ``existing`` holds names in use. Requests for one name are served in the order of request_id;
     a name someone asks for is not given to a request for another name. The n-th request takes the
     n-th free number, so it is a join of two rankings. Numbers end at 9999, so the rankings are cut
-    there (before the shuffle, even if most requests want one name); requests beyond get an error.
+    there (before the shuffle, even if most requests want one name). Requests beyond get
+    name_``stamp``_request_id, which needs no ranking; only if that is in use too there is an error.
     """
     in_use = existing.select("name").union(requests.select("name")).distinct()
     taken = existing.select("name", F.lit(True).alias("exists")).distinct()
@@ -140,9 +156,14 @@ def allocate_names(requests: DataFrame, existing: DataFrame, whole: bool = False
     given = ranked.join(free, ["name", "rank"]).select(
         "request_id", _suffixed(F.col("name"), F.col("n"), whole).alias("allocated")
     )
-    return requests.join(given, "request_id", "left").select(
+    suffix = F.concat(F.lit(f"{stamp}_"), F.col("request_id").cast("string"))
+    served = requests.join(given, "request_id", "left").withColumn(
+        "beyond", F.when(F.col("allocated").isNull(), _suffixed(F.col("name"), suffix, whole))
+    )
+    used = in_use.select(F.col("name").alias("beyond"), F.lit(True).alias("beyond_used"))
+    return served.join(used, "beyond", "left").select(
         "request_id",
         "name",
-        "allocated",
-        F.when(F.col("allocated").isNull(), "no free name").alias("error"),
+        F.coalesce("allocated", F.when(F.col("beyond_used").isNull(), F.col("beyond"))).alias("allocated"),
+        F.when(F.col("beyond_used"), "no free name").alias("error"),
     )

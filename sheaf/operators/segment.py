@@ -17,9 +17,10 @@ from sheaf.functions.paths import file_identity, validate_heading
 from sheaf.functions.text import trim_line_feeds
 from sheaf.operators.paragraphs import is_heading
 
-# Positions per block, and per part of a long file.
+# Positions per block; positions and bytes per part of a file.
 BLOCK_SPAN = 1 << 20
 PART_SPAN = 1 << 17
+PART_BYTES = 64 * 1024 * 1024
 
 
 def _starts(counts: DataFrame, span: int, levels: int) -> DataFrame:
@@ -105,59 +106,77 @@ def drop_preamble(segmented: DataFrame) -> DataFrame:
     return segmented.filter("seg_no > 0")
 
 
-def _fold(rows: DataFrame, key: Sequence[str], order: str, offset: Column, span: int) -> DataFrame:
-    """One row per file and part: key, part_no, heading, content.
+def _fold(
+    rows: DataFrame,
+    key: Sequence[str],
+    order: str,
+    offset: Column,
+    span: int,
+    part_bytes: int,
+    files: DataFrame | None = None,
+) -> DataFrame:
+    """One row per file and part: key, part_no, heading, content, and what ``files`` carries.
 
-    ``key`` tells a file, ``offset`` how far a row is from its heading. The flags of ``rows`` were
-    set where they were read, so the branch for long files moves no text.
+    ``key`` tells a file, ``offset`` how far a row is from its heading. ``files`` (key, heading, more
+    columns) says which files are wanted; without it all are. What is known of a file is joined to
+    its rows per block of ``span`` offsets, and the fold works inside these blocks, so text is moved
+    once and a file of any length is spread over its blocks.
     """
-    rows = rows.withColumn("part_no", F.floor(offset / span))
+    rows = rows.withColumn("offset", offset).withColumn("block", F.floor(F.col("offset") / span))
+    if files is None:
+        files = rows.filter("is_heading").select(*key, F.coalesce("text", F.lit("")).alias("heading"))
+    # The flags were set where rows were read: no text is in these facts.
+    facts = rows.groupBy(*key).agg(
+        F.coalesce(F.max(F.when(F.col("has_text") & ~F.col("is_heading"), F.col("offset"))), F.lit(0)).alias("last_text")
+    )
+    carried = [c for c in files.columns if c not in key]
+    wanted = files.join(facts, list(key)).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last_text") / span)))
+    )
     text = F.coalesce("text", F.lit(""))
+    place = [*key, "block"]
+    before = Window.partitionBy(*place).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.sum("bytes").over(before), F.lit(0))
     body = F.when(~F.col("is_heading"), F.struct(order, text.alias("text")))
     lines = F.transform(F.array_sort(F.collect_list(body)), lambda r: r["text"])
-    folded = rows.groupBy(*key, "part_no").agg(
-        F.max(F.when(F.col("is_heading"), text)).alias("heading"),
+    # Rows of nothing but line feeds at the end of a file are not part of it.
+    joined = rows.withColumn("bytes", F.octet_length(text) + 1).join(wanted, place).filter("offset <= last_text")
+    joined = joined.withColumn("run", F.floor(size / part_bytes))
+    folded = joined.groupBy(*place, "run").agg(
+        F.min("offset").cast("bigint").alias("part_no"),
+        *(F.first(c).alias(c) for c in carried),
         F.array_join(lines, "\n").alias("content"),
-        F.count(body).alias("body_rows"),
-    )
-    # Only files in several parts have rows here: their heading, and the last part with text.
-    long = (
-        rows.filter(offset >= span)
-        .groupBy(*key)
-        .agg(F.coalesce(F.max(F.when(F.col("has_text"), F.col("part_no"))), F.lit(0)).alias("last_part"))
-    )
-    headings = rows.filter("is_heading").select(*key, F.col("text").alias("long_heading"))
-    last = F.coalesce("last_part", F.lit(0))
-    return (
-        folded.join(long.join(headings, key), key, "left")
-        .filter((F.col("part_no") <= last) & ((last == 0) | (F.col("body_rows") > 0)))
-        .select(
-            *key,
-            "part_no",
-            F.coalesce("heading", "long_heading", F.lit("")).alias("heading"),
-            F.when(F.col("part_no") == last, trim_line_feeds(F.col("content")))
-            .otherwise(F.col("content"))
-            .alias("content"),
-        )
-    )
+        (F.max("offset") == F.max("last_text")).alias("is_last"),
+        # A heading makes a part by itself only if nothing follows it.
+        ((F.count(body) > 0) | (F.max("last_text") == 0)).alias("is_part"),
+    ).filter("is_part")
+    content = F.when(F.col("is_last"), trim_line_feeds(F.col("content"))).otherwise(F.col("content"))
+    return folded.select(*key, "part_no", *carried, content.alias("content"))
 
 
-def fold_content(segmented: DataFrame, span: int = PART_SPAN) -> DataFrame:
-    """One row per segment: bundle_id, seg_no, seg_seq, part_no, heading, content.
+def fold_content(
+    segmented: DataFrame, span: int = PART_SPAN, part_bytes: int = PART_BYTES, files: DataFrame | None = None
+) -> DataFrame:
+    """Segments as files: bundle_id, seg_no, seg_seq, part_no, heading, content.
 
     Body rows are joined with LF and the LFs at the end go; a heading alone gives empty content. A
-    segment that reaches over more than ``span`` positions comes in several parts, to be joined with
-    LF in the order of part_no, so a group never holds more rows than that.
+    file is its parts joined with LF in the order of part_no, the distance of a part's first row from
+    the heading (0 for the first part). Parts end at ``span`` positions or ``part_bytes`` bytes, so most
+    files have one, and no group or cell is larger than that.
     """
+    key = ["bundle_id", "seg_no", "seg_seq"] if files is None else ["bundle_id", "seg_seq"]
     rows = drop_preamble(segmented)
-    return _fold(rows, ["bundle_id", "seg_no", "seg_seq"], "seq", F.col("seq") - F.col("seg_seq"), span)
+    out = _fold(rows, key, "seq", F.col("seq") - F.col("seg_seq"), span, part_bytes, files)
+    return out
 
 
-def fold_files(paragraphs: DataFrame, span: int = PART_SPAN) -> DataFrame:
+def fold_files(
+    paragraphs: DataFrame, span: int = PART_SPAN, part_bytes: int = PART_BYTES, files: DataFrame | None = None
+) -> DataFrame:
     """:func:`fold_content` for paragraph tables, whose rows name their file: nothing to segment."""
     key = ["bundle_id", "source_ord", "path"]
     rows = _flagged(paragraphs).withColumn("is_heading", F.col("line_no") == 0)
-    return _fold(rows, key, "line_no", F.col("line_no"), span)
+    return _fold(rows, key, "line_no", F.col("line_no"), span, part_bytes, files)
 
 
 def drop_empty_heading(folded: DataFrame) -> DataFrame:
@@ -165,11 +184,11 @@ def drop_empty_heading(folded: DataFrame) -> DataFrame:
     return folded.filter(F.col("heading") != "")
 
 
-def validate_headings(folded: DataFrame) -> DataFrame:
+def validate_headings(files: DataFrame) -> DataFrame:
     checked = validate_heading(F.col("heading"))
-    return folded.withColumn("checked", checked).select(
-        *folded.columns, "checked.path", "checked.error"
-    )
+    return files.withColumn("checked", checked).select("*", F.col("checked.path").alias("path_"), "checked.error").drop(
+        "checked", *(["path"] if "path" in files.columns else [])
+    ).withColumnRenamed("path_", "path")
 
 
 def heading_files(stream: DataFrame) -> DataFrame:
@@ -177,7 +196,7 @@ def heading_files(stream: DataFrame) -> DataFrame:
     heads = stream.filter(is_heading(F.col("style"))).select(
         "bundle_id", F.col("seq").alias("seg_seq"), F.coalesce("text", F.lit("")).alias("heading")
     )
-    return validate_headings(drop_empty_heading(heads)).drop("heading")
+    return validate_headings(drop_empty_heading(heads))
 
 
 def stop_at_first_error(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.paths import file_identity
@@ -32,32 +32,46 @@ def bundle_table(
     )
 
 
-def normal_text(text):
-    """What packing and unpacking preserves: LF lines without empty ones at the end."""
-    return F.rtrim(F.array_join(split_lines(text), "\n"), F.lit("\n"))
+def _facts(lines: Column, first: Column) -> Column:
+    """Number of the last line that is not empty, and hashes of all such lines with their numbers.
+
+    ``first`` is the number of the first of ``lines``. The hashes are combined with exclusive or, so
+    those of parts of a file combine to that of the whole.
+    """
+    numbered = F.transform(lines, lambda x, i: F.struct((first + i).cast("bigint").alias("n"), x.alias("line")))
+    full = F.filter(numbered, lambda r: r["line"] != "")
+
+    def hashed(seed: int) -> Column:
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate(full, zero, lambda acc, r: acc.bitwiseXOR(F.xxhash64(F.lit(seed), r["n"], r["line"])))
+
+    return F.struct(
+        F.coalesce(F.array_max(full["n"]), F.lit(0)).alias("lines"), hashed(1).alias("x"), hashed(2).alias("y")
+    )
 
 
 def roundtrip_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per file: same, changed, missing or added.
+    """Per file: same, changed, missing or added, and the lines it has, empty ones at the end aside.
 
-    ``before`` has (bundle_id, path, text), ``after`` (bundle_id, path, content). Only hashes and
-    line counts are joined; of several files with one path each side keeps one row, the greatest by
-    ``ord``, so no pairs arise.
+    ``before`` has (bundle_id, path, text), ``after`` (bundle_id, path, content) and may have
+    ``part_no``: all parts of a file make one file. Only hashes and line counts are grouped and
+    joined; of several files with one path each side keeps the one of the greatest ``ord``.
     """
 
     def side(df: DataFrame, text: str, tag: str) -> DataFrame:
-        order = "ord" if "ord" in df.columns else F.lit(0)
-        body = normal_text(F.col(text))
-        facts = df.select(
+        order = F.col("ord") if "ord" in df.columns else F.lit(0)
+        # Line 0 is the heading, and a part's number is that of its first row.
+        first = F.greatest(F.col("part_no"), F.lit(1)) if "part_no" in df.columns else F.lit(1)
+        parts = df.select(
             "bundle_id",
             file_identity(F.col("path")).alias("path"),
-            F.struct(
-                (F.col(order) if isinstance(order, str) else order).alias("ord"),
-                F.sha2(body, 256).alias("hash"),
-                F.size(F.split(body, "\n", -1)).alias("lines"),
-            ).alias("facts"),
+            order.alias("ord"),
+            _facts(split_lines(F.col(text)), first).alias("f"),
+        )
+        files = parts.groupBy("bundle_id", "path", "ord").agg(
+            F.max("f.lines").alias("lines"), F.bit_xor("f.x").alias("x"), F.bit_xor("f.y").alias("y")
         )
-        return facts.groupBy("bundle_id", "path").agg(F.max("facts").alias(tag))
+        return files.groupBy("bundle_id", "path").agg(F.max_by(F.struct("lines", "x", "y"), "ord").alias(tag))
 
     joined = side(before, "text", "b").join(
         side(after, "content", "a"), ["bundle_id", "path"], "full_outer"
@@ -65,7 +79,7 @@ def roundtrip_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("a").isNull(), "missing")
         .when(F.col("b").isNull(), "added")
-        .when(F.col("a.hash") != F.col("b.hash"), "changed")
+        .when(F.col("a") != F.col("b"), "changed")
         .otherwise("same")
     )
     return joined.select(

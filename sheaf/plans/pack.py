@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.charsets import DEFAULT_ENCODINGS
 from sheaf.functions.globs import Rule, default_rules
+from sheaf.functions.sniff import sniff_prefix
 from sheaf.operators.classify import classify_text, decode_text
 from sheaf.operators.duplicates import duplicate_paths, first_duplicate
 from sheaf.operators.exclude import exclude_filter
@@ -18,6 +19,10 @@ from sheaf.operators.summary import bundle_table
 from sheaf.sources.files import read_contents, sniff_tree, union_sources
 
 
+# Failed bundles that may be broadcast; beyond, the join shuffles.
+BROADCAST_BUNDLES = 100_000
+
+
 class Packed(NamedTuple):
     texts: DataFrame
     paragraphs: DataFrame
@@ -67,11 +72,16 @@ def pack_sources(
     repeat counts between text files only; without any, Spark drops that branch when it runs.
     """
     kept = exclude_filter(union_sources(sources), default_rules() if rules is None else rules)
-    repeated = duplicate_paths(kept).select("bundle_id", "path")
-    suspects = kept.join(repeated, ["bundle_id", "path"], "left_semi")
+    repeated = duplicate_paths(kept.drop("content")).select("bundle_id", "path")
+    # Sniffing needs the beginning only, so no more of a suspect moves.
+    heads = kept.withColumn("content", sniff_prefix(F.col("content")))
+    suspects = heads.join(repeated, ["bundle_id", "path"], "left_semi")
     failed = first_duplicate(classify_text(suspects, encodings), F.col("is_text"))
     failed = failed.selectExpr("bundle_id", "concat('duplicate path: ', path) AS error")
     classified = classify_text(kept, encodings)
+    # Bundles that fail are few as a rule: below a checked number they are sent to the files.
+    if failed.limit(BROADCAST_BUNDLES + 1).count() <= BROADCAST_BUNDLES:
+        failed = F.broadcast(failed)
     good = classified.filter("is_text").join(failed, "bundle_id", "left_anti")
     texts = decode_text(good, encodings)
-    return Packed(texts, build_paragraphs(texts), bundle_table(classified, errors=failed))
+    return Packed(texts, build_paragraphs(texts), bundle_table(classified.drop("content"), errors=failed))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.text import trim_runs
 from sheaf.operators.segment import (
+    PART_BYTES,
+    PART_SPAN,
     drop_empty_heading,
     fold_content,
     fold_files,
@@ -18,46 +20,58 @@ from sheaf.operators.segment import (
 )
 
 
-def _decide(files: DataFrame, names: DataFrame, on_error: str, order: str) -> DataFrame:
-    """Bad paths and repeated paths, decided on names, applied to files with content."""
+def _decide(names: DataFrame, on_error: str, order: str) -> DataFrame:
+    """Names of the files that are written, by bad paths and repeated paths."""
     if on_error == "stop":
-        files = stop_at_first_error(files, names, order)
         names = stop_at_first_error(names, order=order)
     elif on_error == "skip":
-        files, names = files.filter("error IS NULL"), names.filter("error IS NULL")
+        names = names.filter("error IS NULL")
     else:
         raise ValueError(f"on_error: {on_error}")
-    return last_write_wins(files, names, order)
+    return last_write_wins(names, order=order)
 
 
-def unpack_stream(stream: DataFrame, on_error: str = "stop", compat_trim: bool = False) -> DataFrame:
-    """Files of a stream (bundle_id, seq, style, text); of several with one path the last stays.
+def unpack_stream(
+    stream: DataFrame,
+    on_error: str = "stop",
+    compat_trim: bool = False,
+    span: int = PART_SPAN,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """Files of a stream (bundle_id, seq, style, text): bundle_id, seg_no, part_no, heading, path, content.
 
     ``on_error`` stop keeps what comes before the first bad path of a bundle, skip keeps all good
-    ones. ``compat_trim`` trims both ends of every line, as a reader that drops indentation does.
+    ones; of several files with one path the last stays. All of this is decided on heading rows before
+    any text is folded. ``compat_trim`` trims both ends of every line, as a reader that drops
+    indentation does.
     """
     if compat_trim:
         stream = stream.withColumn("text", trim_runs(F.col("text")))
-    folded = validate_headings(drop_empty_heading(fold_content(segment_by_heading(stream))))
-    return _decide(folded, heading_files(stream), on_error, "seg_seq").drop("seg_seq", "error")
+    segmented = segment_by_heading(stream)
+    numbers = segmented.filter("is_heading").select("bundle_id", "seg_seq", "seg_no")
+    kept = _decide(heading_files(stream), on_error, "seg_seq").drop("error")
+    folded = fold_content(segmented.drop("seg_no"), span, part_bytes, kept.join(numbers, ["bundle_id", "seg_seq"]))
+    return folded.select("bundle_id", "seg_no", "part_no", "heading", "path", "content")
 
 
-def unpack(paragraphs: DataFrame, on_error: str = "stop") -> DataFrame:
+def unpack(
+    paragraphs: DataFrame, on_error: str = "stop", span: int = PART_SPAN, part_bytes: int = PART_BYTES
+) -> DataFrame:
     """Files of a paragraph table: bundle_id, source_ord, part_no, heading, path, content.
 
-    The table names the file of every row, so rows are folded by that key in one shuffle; bundles,
-    however large, are never brought together.
+    The table names the file of every row. Which files are written is decided on heading rows; the
+    rows of those are then folded by file and block, and the text is shuffled once.
     """
-    place = F.struct("source_ord", F.col("path").alias("file")).alias("place")
-
-    def checked(df: DataFrame, *columns: str) -> DataFrame:
-        named = df.select("bundle_id", place, *columns, F.coalesce("heading", F.lit("")).alias("heading"))
-        return validate_headings(drop_empty_heading(named))
-
-    files = checked(fold_files(paragraphs), "part_no", "content")
-    heads = checked(paragraphs.filter("line_no = 0").withColumnRenamed("text", "heading"))
-    kept = _decide(files, heads, on_error, "place")
-    return kept.select("bundle_id", "place.source_ord", "part_no", "heading", "path", "content")
+    heads = paragraphs.filter("line_no = 0").select(
+        "bundle_id",
+        F.struct("source_ord", F.col("path").alias("file")).alias("place"),
+        F.coalesce("text", F.lit("")).alias("heading"),
+    )
+    kept = _decide(validate_headings(drop_empty_heading(heads)), on_error, "place").select(
+        "bundle_id", "place.source_ord", F.col("place.file").alias("path"), "heading", F.col("path").alias("target")
+    )
+    folded = fold_files(paragraphs, span, part_bytes, kept)
+    return folded.select("bundle_id", "source_ord", "part_no", "heading", F.col("target").alias("path"), "content")
 
 
 def unpack_report(stream: DataFrame) -> DataFrame:

@@ -38,11 +38,12 @@ def test_many_requests_for_one_name(spark):
     assert len({g[0] for g in got}) == 5
 
 
-def test_names_run_out(spark):
+def test_names_go_on_after_the_last_number(spark):
     got = allocate(spark, ["p"] * 10_010, ["p_7"])
     assert [g[0] for g in got[:9]] == ["p", "p_1", "p_2", "p_3", "p_4", "p_5", "p_6", "p_8", "p_9"]
-    assert got[9998] == ("p_9999", None) and got[9999] == (None, "no free name")
-    assert sum(g[1] is not None for g in got) == 11
+    assert got[9998] == ("p_9999", None)
+    assert len({g[0] for g in got}) == 10_010 and all(g[0].startswith("p_more_") for g in got[9999:])
+    assert all(g[1] is None for g in got)
 
 
 def test_duplicates(spark):

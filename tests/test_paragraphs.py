@@ -12,6 +12,7 @@ from sheaf.operators.markup import (
     render_paragraphs,
     wrap_body,
 )
+from sheaf.plans.unpack import unpack
 from sheaf.operators.paragraphs import as_stream, build_paragraphs, explode_lines, is_heading
 
 LINES = {
@@ -74,17 +75,31 @@ def test_fragments(spark):
     ]
 
 
-@pytest.mark.parametrize("cell", [10**9, 200])
-def test_bundles_beyond_a_cell_stay_in_parts(spark, cell):
-    rows = [("small", 0, "a", "x"), ("large", 0, "b", "1\n2\n3"), ("large", 0, "a", " y"), ("large", 1, "A", "")]
+@pytest.mark.parametrize("lines,size", [(10**6, 10**9), (2, 10**9), (10**6, 1), (3, 90)])
+def test_runs_of_any_size_read_back_the_same(spark, lines, size):
+    rows = [("small", 0, "a", "x"), ("large", 0, "b", "1\n2\n3\n\n5"), ("large", 0, "a", " y"), ("large", 1, "A", "")]
     paragraphs = build_paragraphs(texts(spark, rows))
-    bodies = assemble_bundle(paragraphs, max_cell_bytes=cell)
-    got = bodies.orderBy("bundle_id", "source_ord", "path", "chunk").collect()
-    assert len(got) == (2 if cell > 200 else 4)
-    one = assemble_bundle(paragraphs).filter("bundle_id = 'large'").first().body
-    assert "".join(r.body for r in got if r.bundle_id == "large") == one
-    back = parse_markup(bodies).groupBy("bundle_id").agg(F.count("*").alias("n")).collect()
-    assert {r.bundle_id: r.n for r in back} == {"small": 2, "large": 7}
+    bodies = assemble_bundle(paragraphs, run_lines=lines, run_bytes=size)
+    assert bodies.count() == 4 or size < 10**9 or lines < 10**6
+    got = bodies.orderBy("bundle_id", "source_ord", "path", "first_line").collect()
+    one = assemble_bundle(paragraphs).orderBy("bundle_id", "source_ord", "path").collect()
+    assert "".join(r.body for r in got) == "".join(r.body for r in one)
+    back = parse_markup(bodies)
+    assert sorted(map(tuple, back.select(paragraphs.columns).collect()), key=repr) == sorted(map(tuple, paragraphs.collect()), key=repr)
+    files = {(r.bundle_id, r.path): r.content for r in unpack(back).collect()}
+    assert files == {("small", "a"): "x", ("large", "b"): "1\n2\n3\n\n5", ("large", "a"): " y", ("large", "A"): ""}
+
+
+def test_runs_are_read_one_by_one(spark):
+    run = "<w:r><w:t>{}</w:t></w:r>"
+    cases = {
+        run.format("x &nosuch; y") + "<w:br/>" + run.format("keep"): "\nkeep",
+        run.format("&#66;&#x1f600;&amp;#67;") + "out<w:tab/>": "B\U0001f600&#67;\t",
+        run.format("&#0;") + run.format("&#xD800;") + run.format("a") + run.format("&#1114112;"): "a",
+        "<w:r><w:t xml:space='preserve'> a </w:t></w:r>" + run.format("&lt;&amp;lt;"): " a <&lt;",
+    }
+    df = spark.createDataFrame([(f"<w:p>{c}</w:p>",) for c in cases], "body string")
+    assert sorted(r.text for r in parse_markup(df).collect()) == sorted(cases.values())
 
 
 def test_parsing_stops_quietly(spark):

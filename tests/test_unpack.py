@@ -1,6 +1,7 @@
 """Segments, folding, path checks and the way from files to rows and back."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -95,15 +96,15 @@ def test_blocks_give_what_one_window_gives(spark, span, levels):
     assert len(pairs) == df.count() and all(r.n == r.seg_no for r in pairs)
 
 
-@pytest.mark.parametrize("part", [1, 2, 5, 1 << 17])
-def test_parts_join_to_the_whole(spark, part):
+@pytest.mark.parametrize("part,size", [(1, 1 << 26), (2, 1 << 26), (5, 1 << 26), (1 << 17, 1), (4, 3), (1 << 17, 1 << 26)])
+def test_parts_join_to_the_whole(spark, part, size):
     df = segment_by_heading(random_stream(spark), span=16)
     whole = {(r.bundle_id, r.seg_no): (r.heading, r.content) for r in fold_content(df).collect()}
     got = {}
-    for r in fold_content(df, span=part).orderBy("part_no").collect():
+    for r in fold_content(df, span=part, part_bytes=size).orderBy("part_no").collect():
         got.setdefault((r.bundle_id, r.seg_no), []).append((r.heading, r.content, r.part_no))
     assert got.keys() == whole.keys()
-    assert part > 5 or any(len(v) > 1 for v in got.values())
+    assert part > 5 < size or any(len(v) > 1 for v in got.values())
     for key, parts in got.items():
         assert {p[0] for p in parts} == {whole[key][0]}
         assert "\n".join(p[1] for p in parts) == whole[key][1], key
@@ -116,6 +117,39 @@ def test_content_is_never_windowed_by_bundle(spark):
             raise AssertionError(line)
 
 
+def exchanges_of(df, column):
+    """How many shuffles of a plan carry a column."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    parts = plan.split("\n\n")
+    return sum(1 for p in parts if re.match(r"\(\d+\) Exchange", p.strip()) and re.search(rf"Input \[\d+\]: \[.*\b{column}#", p))
+
+
+def test_text_moves_once_without_broadcasts(spark, tmp_path):
+    paragraphs = build_paragraphs(spark.createDataFrame([("b", 0, "a", "1\n2")], "bundle_id string, source_ord int, path string, text string"))
+    paragraphs.write.parquet(str(tmp_path / "p"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Headings are few rows of the same column: their shuffles hold line 0 only.
+        plan = unpack(read_bundle(spark, str(tmp_path / "p")))
+        assert exchanges_of(plan, "text") == 1
+        assert exchanges_of(plan, "content") == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("size", [1, 4, 1 << 26])
+def test_files_in_parts_compare_as_one(spark, size):
+    rows = [("b", 0, "a", "\n".join(f"line {i % 7}" for i in range(500)) + "\n\n"), ("b", 1, "c", "\n\nx\n\ny"), ("b", 2, "e", "")]
+    texts = spark.createDataFrame(rows, "bundle_id string, source_ord int, path string, text string")
+    after = unpack(build_paragraphs(texts), span=64, part_bytes=size)
+    got = {r.path: (r.status, r.lines_before, r.lines_after) for r in roundtrip_diff(texts, after).collect()}
+    assert got == {"a": ("same", 500, 500), "c": ("same", 5, 5), "e": ("same", 0, 0)}
+    moved = after.withColumn("content", F.when(F.col("path") == "c", F.replace("content", F.lit("x"), F.lit("z"))).otherwise(F.col("content")))
+    got = {r.path: r.status for r in roundtrip_diff(texts, moved).collect()}
+    assert got == {"a": "same", "c": "changed", "e": "same"}
+
+
 def test_summary_and_batches(spark):
     rows = [("x", 0, H, "a", 0), ("x", 1, H, "b", 0), ("y", 0, H, "c", 1), ("y", 1, H, "../d", 1), ("y", 2, H, "e", 1), ("z", 0, H, "f", 2)]
     df = spark.createDataFrame(rows, STREAM + ", bundle_ord int")
@@ -196,7 +230,7 @@ def test_long_files_of_a_table_come_in_parts(spark, span):
     rows = [("b", 0, "a", "1\n\n2\n3\n\n\n\n\n"), ("b", 1, "e", ""), ("b", 2, "n", "\n\n\n\n"), ("b", 3, "s", "x")]
     texts = spark.createDataFrame(rows, "bundle_id string, source_ord int, path string, text string")
     got = {}
-    for r in fold_files(build_paragraphs(texts), span).orderBy("part_no").collect():
+    for r in fold_files(build_paragraphs(texts), span, part_bytes=1 << 20).orderBy("part_no").collect():
         assert r.heading == r.path
         got.setdefault(r.path, []).append(r.content)
     assert {k: "\n".join(v) for k, v in got.items()} == {"a": "1\n\n2\n3", "e": "", "n": "", "s": "x"}
