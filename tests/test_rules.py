@@ -18,32 +18,35 @@ from sheaf.functions.globs import (
 from sheaf.operators.exclude import exclude_filter, exclude_join, exclusion_audit, list_patterns
 from sheaf.sources.rules import default_rules_table, parse_rule_lines, resolve_ruleset, rules_table, scan_rules
 
-# (defaults first?, rule lines, excluded, kept)
+# Per way of matching: (defaults first?, rule lines, excluded, kept).
 CASES = [
-    (True, "", [".git/config", "node_modules/foo", "node_modules", "target/debug/app.exe", "image.png"],
-     ["src/main.rs", "readme.md"]),
-    (True, "*.log", ["error.log"], ["error.txt"]),
-    (True, "build/", ["build/output.o", "build/sub/dir/file.o"], ["src/build.rs"]),
-    (True, "**/temp", ["a/b/temp", "temp"], []),
-    (True, "a/**/b", ["a/b", "a/x/b", "a/x/y/b", "a/xc/b"], ["x/a/b"]),
-    (True, "a/**", ["a/b", "a/b/c"], ["a", "b/a"]),
-    (True, "**", ["anything", "a/b/c"], []),
-    (True, "x/**/z", ["x/z", "x/y/z", "x/y/y/z"], ["x/y/zz", "xx/y/z"]),
-    (True, "a/**/b/**/c", ["a/b/c", "a/x/b/y/c", "a/x/y/b/z/w/c"], ["a/x/b/y/d"]),
-    (True, "?.txt", ["a.txt"], ["ab.txt"]),
-    (True, "config", ["config", "dir/config"], ["config.json"]),
-    (True, "*.log\n!keep.log", ["error.log"], ["keep.log", "sub/keep.log"]),
-    (False, "/build", ["build"], ["src/build"]),
-    (True, "logs/", ["logs/app.log", "logs"], ["logs.txt"]),
-    (False, "logs/", ["logs/app.log", "logs"], ["logs.txt"]),
-    (True, "build/\n*.log\n!keep.log", ["build/output.o", "error.log"], ["keep.log", "sub/keep.log"]),
-    (False, "*.log\n*.tmp", ["error.log", "file.tmp"], ["node_modules/foo", "image.png"]),
-    (False, "src/*/", ["src/*/x"], ["src/a/x"]),
-    (False, "\\*.log", ["error.log"], []),
-    (False, "!a\na", ["a"], []),
-    (False, "a\n!a\na", ["a"], []),
-    (False, "a\\b", ["ab"], ["a\\b/c"]),
-    (False, "x", ["dir\\x"], []),
+    # The built-in rules: dot names, folders, lock files, suffixes.
+    (True, "", [".venv/lib/x.py", "deep/__pycache__/m.pyc", "Cargo.lock", "w/dist", "song.flac"], ["lib/x.py", "Cargo.toml", "distance/x"]),
+    # A bare name: any component, or the whole path.
+    (False, "notes", ["notes", "home/notes", "notes/2024/may.md"], ["notes.md", "mynotes/x"]),
+    (False, "*.csv", ["rows.csv", "in/2020.csv", "old.csv/part"], ["rows.csv.gz", "csv"]),
+    (False, "v?", ["v1", "pkg/v2/x"], ["v", "v10"]),
+    (False, "**", ["p", "p/q/r"], []),
+    # A bare folder rule.
+    (False, "cache/", ["cache", "cache/1/2", "srv/cache/k"], ["cache.db", "recache/x"]),
+    # Anchored, and with a slash inside: the whole path.
+    (False, "/etc", ["etc"], ["usr/etc", "etcd"]),
+    (False, "pics/*.raw", ["pics/7.raw"], ["pics/a/7.raw", "my/pics/7.raw"]),
+    (False, "**/draft", ["draft", "ch1/draft", "ch1/s2/draft"], ["ch1/draft2", "draft/x"]),
+    (False, "doc/**", ["doc/i", "doc/en/i"], ["doc", "my/doc/i"]),
+    (False, "lib/**/gen", ["lib/gen", "lib/m/gen", "lib/m/n/gen"], ["lib/regen", "lib/gen/x"]),
+    (False, "p/**/q/**/r", ["p/q/r", "p/1/q/2/3/r"], ["p/1/2/r", "0/p/q/r"]),
+    # A folder rule with a slash inside is literal.
+    (False, "pkg/?/", ["pkg/?", "pkg/?/m"], ["pkg/a/m", "pkg"]),
+    # Order: the last rule that hits decides.
+    (True, "*.dat\n!gold.dat", ["b.dat", "s/b.dat"], ["gold.dat", "s/gold.dat"]),
+    (False, "!k\nk", ["k"], ["kk"]),
+    (False, "k\n!k\n!k\nk", ["k"], []),
+    (False, "tmp/\n!tmp/keep", ["tmp/x"], ["tmp/keep"]),
+    # Backslashes: dropped in rules, separators in paths.
+    (False, "\\?.md", ["z.md"], ["zz.md"]),
+    (False, "fi\\le", ["file"], ["fi\\le/x"]),
+    (False, "leaf", ["dir\\leaf", "leaf"], ["dir\\leaves"]),
 ]
 
 
@@ -60,12 +63,13 @@ def test_pinned_cases(spark, defaults, lines, excluded, kept):
 
 
 def test_added_and_literal_forms(spark):
-    rules = default_rules() + [added_rule("#\\!secret"), added_rule("# this is not a comment")]
-    want = {"#!secret": True, "# this is not a comment": True}
+    # An added rule is neither a comment nor trimmed.
+    rules = [added_rule("#todo"), added_rule(" lead"), added_rule("fin*"), added_rule("!fin\\?")]
+    want = {"#todo": True, "x/#todo": True, " lead": True, "lead": False, "final": True, "fine": False}
     assert verdicts(spark, rules, want) == want
     # A settings list keeps the final slash, so a folder rule in it hits nothing below the folder.
-    assert literal_rules(["build/"]) == [Rule("build/", directory_only=True)]
-    assert verdicts(spark, literal_rules(["build/"]), ["build", "build/x"]) == {"build": False, "build/x": False}
+    assert literal_rules(["env/"]) == [Rule("env/", directory_only=True)]
+    assert verdicts(spark, literal_rules(["env/"]), ["env", "env/bin"]) == {"env": False, "env/bin": False}
 
 
 def test_direct_files_are_not_excluded(spark):
