@@ -79,12 +79,21 @@ def signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_line(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The set of a line."""
-    data = np.frombuffer(content, np.uint8)
-    h, _ = shingles(data, Spans(np.array([0]), np.array([0]), np.array([len(data)])))
-    ids = np.unique(h)
-    return ids, np.ones(len(ids), np.float32)
+def read_lines(contents: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sets of lines."""
+    ends = np.cumsum([len(x) for x in contents])
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    start = np.concatenate([[0], ends[:-1]])
+    h, begin = shingles(data, Spans(np.arange(len(contents)), start, ends))
+    row = np.repeat(np.arange(len(contents)), np.diff(np.append(begin, len(h))))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, row = h[new], row[new]
+    cuts = np.searchsorted(row, np.arange(len(contents) + 1))
+    one = np.ones(int(np.diff(cuts).max()), np.float32)
+    return [(h[lo:hi], one[: hi - lo]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -159,7 +168,7 @@ def line_verdicts(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     """All real lines (``doc, t1, t2, n, a, b``), and those that are equal or similar to another:
     ``doc, t1, t2, n, first``, where ``first`` is the line of their component that stays."""
     rows = written(line_rows(docs), "lines")
-    near = near_classes(docs.sparkSession, rows.filter("bands is not null"), lambda wanted: line_contents(docs, wanted), read_line, threshold)
+    near = near_classes(docs.sparkSession, rows.filter("bands is not null"), lambda wanted: line_contents(docs, wanted), read_lines, threshold)
     rows = rows.drop("bands")
     # Lines that stand alone, by far the most, take no part in the search for first lines.
     equal = rows.groupBy("a", "b").count().filter("count > 1").select("a", "b")

@@ -133,9 +133,8 @@ def pack_set(gram: np.ndarray, weight: np.ndarray) -> bytes:
     return gram.astype("<u8").tobytes() + weight.astype("<f4").tobytes()
 
 
-def read_set(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(content) // 12
-    return np.frombuffer(content, "<u8", n), np.frombuffer(content, "<f4", n, 8 * n)
+def read_sets(contents: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(x, "<u8", len(x) // 12), np.frombuffer(x, "<f4", len(x) // 12, len(x) // 12 * 8)) for x in contents]
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -218,7 +217,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(docs))
     rows = written(signature_rows(docs, idf), "signatures")
-    near = near_classes(spark, rows.filter("bands is not null"), lambda wanted: set_rows(docs, idf, wanted), read_set, threshold)
+    near = near_classes(spark, rows.filter("bands is not null"), lambda wanted: set_rows(docs, idf, wanted), read_sets, threshold)
     rows = rows.drop("bands")
     full = rows.filter("has_words")
     equal = full.groupBy("a", "b").count().filter("count > 1").select("a", "b")

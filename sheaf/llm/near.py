@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from sheaf.session import shared_dir
 
-BLOCK = 128
+BLOCK = 256
 FILTER_WORDS = 1 << 19
 
-#: Reads content into sorted unique 64-bit ids and their weights.
-Reader = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
+#: A set: sorted unique 64-bit ids and their weights.
+Weighted = tuple[np.ndarray, np.ndarray]
+#: Reads contents into sets.
+Reader = Callable[[list[bytes]], list[Weighted]]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -44,21 +46,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """``h, a, b, size`` of every band hash that two nodes or more hold. ``a, b, bands`` may repeat."""
+    """``h, a, b, size`` of every band hash that two nodes or more hold. ``a, b, bands`` may repeat.
+
+    Of buckets with the very same members one is enough.
+    """
     rows = nodes.select("a", "b", F.explode("bands").alias("h"))
     often = rows.groupBy("h").count().filter("count > 1").select("h")
     held = written(rows.join(often.hint("shuffle_hash"), "h").distinct(), "members")
-    shared = held.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
+    name = [F.bit_xor(F.xxhash64(F.lit(seed), "a", "b")).alias(f"n{seed}") for seed in (1, 2)]
+    shared = held.groupBy("h").agg(F.count("*").alias("size"), *name).filter("size > 1")
+    shared = shared.groupBy("size", "n1", "n2").agg(F.min("h").alias("h")).select("h", "size")
     return held.join(shared.hint("shuffle_hash"), "h").select("h", "a", "b", "size")
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """``a, b, pa, pb``: every member beside the hub of each of its buckets, once."""
+def with_hubs(members: DataFrame) -> DataFrame:
+    """``members`` with the hub of each bucket, ``pa, pb``."""
     weight = members.groupBy("a", "b").agg(F.sum("size").alias("weight"))
     ranked = members.join(weight, ["a", "b"])
     hubs = ranked.groupBy("h").agg(F.max(F.struct("weight", "a", "b")).alias("hub"))
-    pairs = members.join(hubs, "h").select("a", "b", F.col("hub.a").alias("pa"), F.col("hub.b").alias("pb"))
-    return pairs.filter("a != pa or b != pb").distinct()
+    return members.join(hubs, "h").select("h", "a", "b", "size", F.col("hub.a").alias("pa"), F.col("hub.b").alias("pb"))
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """``a, b, pa, pb``: every member beside the hub of each of its buckets, once."""
+    return members.select("a", "b", "pa", "pb").filter("a != pa or b != pb").distinct()
 
 
 class Filter:
@@ -77,7 +88,7 @@ class Filter:
         return self.words[(a & (FILTER_WORDS * 64 - 1)) >> 6] >> (a & 63) & 1 == 1
 
 
-def jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+def jaccard(x: Weighted, y: Weighted) -> float:
     """Weighted Jaccard similarity: sum of minima over sum of maxima."""
     ids = np.concatenate([x[0], y[0]])
     order = np.argsort(ids, kind="stable")
@@ -94,28 +105,28 @@ def verified_pairs(pairs: DataFrame, content: DataFrame, read: Reader, threshold
     right = content.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("content").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                y = y.as_py()
-                if y != last:
-                    last, hub = y, read(y)
-                keep[i] = jaccard(read(x.as_py()), hub) >= threshold
-            yield batch.select(["a", "b", "pa", "pb"]).filter(pa.array(keep))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                hubs = part.column("y").dictionary_encode()
+                known, own = read(hubs.dictionary.to_pylist()), hubs.indices.to_pylist()
+                sets = read(part.column("x").to_pylist())
+                keep = [jaccard(x, known[i]) >= threshold for x, i in zip(sets, own, strict=True)]
+                yield part.select(["a", "b", "pa", "pb"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(left, ["a", "b"]).join(right, ["pa", "pb"])
     return both.select("a", "b", "pa", "pb", "x", "y").mapInArrow(run, "a bigint, b bigint, pa bigint, pb bigint")
 
 
 def rest_links(members: DataFrame, labels: DataFrame, content: DataFrame, read: Reader, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Links between different components that still share a bucket."""
-    named = members.join(labels, ["a", "b"], "left").select(
+    """Links between different components that still share a bucket. Hubs have been compared with all."""
+    others = members.filter("a != pa or b != pb")
+    named = others.join(labels, ["a", "b"], "left").select(
         "h", "a", "b", "size", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")
     )
     open_ = named.groupBy("h").agg(
-        (F.min(F.struct("la", "lb")) != F.max(F.struct("la", "lb"))).alias("open")
-    ).filter("open").select("h")
+        F.min("la").alias("x"), F.max("la").alias("y"), F.min("lb").alias("z"), F.max("lb").alias("w")
+    ).filter("x != y or z != w").select("h")
     blocks = F.ceil(F.col("size") / block).cast("int")
     rows = (
         named.join(open_.hint("shuffle_hash"), "h")
@@ -126,54 +137,97 @@ def rest_links(members: DataFrame, labels: DataFrame, content: DataFrame, read:
         .join(content, ["a", "b"])
     )
 
-    def run(group: pa.Table) -> pa.Table:
-        return _links(group, read, threshold)
-
-    return rows.groupBy("h", "i", "j").applyInArrow(run, "a bigint, b bigint, pa bigint, pb bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            x, y = _links(group, read, threshold)
+            if len(x):
+                a, b = group.column("a"), group.column("b")
+                x, y = pa.array(x), pa.array(y)
+                yield pa.RecordBatch.from_arrays([a.take(x), b.take(x), a.take(y), b.take(y)], names=["a", "b", "pa", "pb"])
+
+    dealt = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return dealt.mapInArrow(run, "a bigint, b bigint, pa bigint, pb bigint").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The block pairs of a sorted partition, one after the other; only one is held beside a batch."""
+    open_: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("h", "i", "j")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            name = tuple(keys[lo].tolist())
+            if open_ and name != last:
+                yield pa.concat_batches(open_)
+                open_ = []
+            last = name
+            open_.append(batch.slice(lo, hi - lo))
+    if open_:
+        yield pa.concat_batches(open_)
+
+
+def _links(group: pa.RecordBatch, read: Reader, threshold: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the similar pairs of one block pair, between different components."""
+    la, lb, own = (group.column(c).to_numpy() for c in ("la", "lb", "own"))
+    if (la == la[0]).all() and (lb == lb[0]).all():
+        return [], []
+    names: dict[tuple[int, int], int] = {}
+    label = np.array([names.setdefault(x, len(names)) for x in zip(la.tolist(), lb.tolist(), strict=True)])
+    sets = read(group.column("content").to_pylist())
+    least = _least_sums(sets) if len(sets) > 3 else None
+    total = np.array([float(s[1].sum()) for s in sets])
+    differ = label[:, None] != label[None, :]
+    if (own != own[0]).any():  # a pair within a block is compared where both blocks are the same
+        differ &= own[:, None] != own[None, :]
+    if least is None:
+        fit = np.array([[i < j and differ[i, j] and jaccard(sets[i], sets[j]) >= threshold for j in range(len(sets))] for i in range(len(sets))])
+    else:
+        most = total[:, None] + total[None, :] - least
+        fit = np.triu((least >= threshold * most) & (most > 0) & differ, 1)
+    parent = list(range(len(names)))
 
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
 
-def _links(group: pa.Table, read: Reader, threshold: float) -> pa.Table:
-    """A spanning forest of the similar pairs of one block pair, between different components."""
-    names = [group.column(c).to_numpy() for c in ("a", "b", "la", "lb", "own")]
-    a, b, la, lb, own = names
-    n = len(a)
-    label = np.unique(np.stack([la, lb], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
     out: list[tuple[int, int]] = []
-    if label.max() > 0:
-        sets = [read(x.as_py()) for x in group.column("content")]
-        ids = np.concatenate([s[0] for s in sets])
-        weight = np.concatenate([s[1] for s in sets]).astype(np.float64)
-        who = np.repeat(np.arange(n), [len(s[0]) for s in sets])
-        order = np.argsort(ids, kind="stable")
-        ids, weight, who = ids[order], weight[order], who[order]
-        edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
-        least = np.zeros((n, n))
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                w = weight[lo:hi]
-                least[np.ix_(who[lo:hi], who[lo:hi])] += np.minimum.outer(w, w)
-        total = np.array([float(s[1].sum()) for s in sets])
-        most = total[:, None] + total[None, :] - least
-        two = np.any(own != own[0])  # a pair within a block is compared where both blocks are the same
-        fit = (least >= threshold * most) & (most > 0) & (label[:, None] != label[None, :])
-        if two:
-            fit &= own[:, None] != own[None, :]
-        parent = list(range(int(label.max()) + 1))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for x, y in np.argwhere(np.triu(fit, 1)).tolist():
-            p, q = find(int(label[x])), find(int(label[y]))
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append((x, y))
-    x = np.array([p for p, _ in out], int)
-    y = np.array([q for _, q in out], int)
-    return pa.table({"a": a[x], "b": b[x], "pa": a[y], "pb": b[y]})
+    for x, y in np.argwhere(fit).tolist():
+        p, q = find(int(label[x])), find(int(label[y]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return [x for x, _ in out], [y for _, y in out]
+
+
+def _least_sums(sets: list[Weighted]) -> np.ndarray:
+    """Sums of minima of all pairs of weighted sets."""
+    n = len(sets)
+    ids = np.concatenate([s[0] for s in sets])
+    weight = np.concatenate([s[1] for s in sets])
+    who = np.repeat(np.arange(n), [len(s[0]) for s in sets])
+    known, column, held = np.unique(ids, return_inverse=True, return_counts=True)
+    rank = np.cumsum(held > 1) - 1  # only ids of two sets or more matter
+    keep = held[column] > 1
+    column, weight, who = rank[column[keep]], weight[keep], who[keep]
+    order = np.argsort(column)
+    column, weight, who = column[order], weight[order], who[order]
+    out = np.zeros((n, n))
+    for lo in range(0, int((held > 1).sum()), 4096):
+        i, j = np.searchsorted(column, (lo, lo + 4096))
+        table = np.zeros((n, int(column[j - 1]) - lo + 1), np.float32)
+        table[who[i:j], column[i:j] - lo] = weight[i:j]
+        top = table.max(axis=0)
+        same = ((table == 0) | (table == top)).all(axis=0)
+        flat = (table[:, same] > 0) * np.sqrt(top[same])
+        out += flat @ flat.T
+        for row in range(n) if not same.all() else ():
+            out[row] += np.minimum(table[:, ~same], table[row, ~same]).sum(axis=1)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -216,7 +270,7 @@ def near_classes(
     ``nodes`` has ``a, b, bands`` and may repeat a node. ``contents`` yields ``a, b, content`` of all nodes that the
     filter lets pass; it may repeat a node.
     """
-    members = bucket_members(nodes)
+    members = written(with_hubs(bucket_members(nodes)), "hubs")
     content = contents(Filter(members)).groupBy("a", "b").agg(F.first("content").alias("content"))
     content = written(content, "contents")
     links = written(verified_pairs(hub_pairs(members), content, read, threshold), "links")

@@ -187,9 +187,9 @@ def test_blocks_find_what_hubs_leave(spark):
     nodes = spark.createDataFrame([(i, i, [7]) for i in texts], "a bigint, b bigint, bands array<bigint>")
     content = spark.createDataFrame([(i, i, bytearray(t.encode())) for i, t in texts.items()], "a bigint, b bigint, content binary")
 
-    def read(x):
-        ids = np.unique(np.frombuffer(x, np.uint8)).astype(np.uint64)
-        return ids, np.ones(len(ids), np.float32)
+    def read(contents):
+        ids = [np.unique(np.frombuffer(x, np.uint8)).astype(np.uint64) for x in contents]
+        return [(x, np.ones(len(x), np.float32)) for x in ids]
 
     got = near.near_classes(spark, nodes, lambda wanted: content, read, 0.8, block=2)
     assert sorted((r.a, r.la) for r in got.collect()) == [(2, 2), (3, 2), (4, 4), (5, 4)]
