@@ -16,7 +16,7 @@ from catalog.inputs import (
     RULE_LINES,
     TURN_STREAM,
 )
-from catalog.queries import BY_SITE, IN_USE, OUT_IN_USE, REQUESTS, SEQ_SPAN, SOURCES
+from catalog.queries import BY_SITE, IN_USE, OFFERS, OUT_IN_USE, REQUESTS, SEQ_SPAN, SOURCES
 
 
 def _with(*ctes: tuple[str, str], select: str) -> str:
@@ -361,21 +361,25 @@ ORACLE: dict[str, str] = {
     "ruleset_precedence": _with(
         LINES,
         PARSED,
-        ("ranked", "SELECT *, row_number() OVER (PARTITION BY ruleset_id ORDER BY line_no) AS nth,"
-                   " CAST(substr(ruleset_id, 4) AS INT) % 5 AS n FROM rule_lines"),
-        ("chosen", f"""SELECT r.ruleset_id, r.line_no, n, r.line, p.pattern, p.negated, p.directory_only, p.anchored
-            FROM ranked r LEFT JOIN parsed p ON p.ruleset_id = r.ruleset_id AND p.rule_ord = r.line_no
-            WHERE CASE n WHEN 1 THEN p.pattern IS NOT NULL WHEN 3 THEN nth BETWEEN 3 AND 5 AND p.pattern IS NOT NULL
-              WHEN 4 THEN nth BETWEEN 2 AND 5 AND p.pattern IS NOT NULL ELSE nth <= 2 END"""),
+        ("offers", OFFERS),
+        ("counting", """SELECT ruleset_id, n, bool_or(origin = 'text') AS typed, bool_or(origin = 'local') AS has_local FROM offers GROUP BY ruleset_id, n"""),
+        # A set's typed-in lines stand alone; then its named, else its local file, else its settings.
+        ("source", """SELECT *, CASE WHEN typed THEN 'text' WHEN n = 1 THEN 'named' WHEN n <> 2 AND has_local THEN 'local' ELSE 'settings' END AS chosen
+            FROM counting"""),
+        ("chosen", """SELECT o.ruleset_id, o.line_no, o.offer_ord, chosen, o.line, p.pattern, p.negated, p.directory_only, p.anchored
+            FROM offers o JOIN source s ON s.ruleset_id = o.ruleset_id AND o.origin = s.chosen
+            LEFT JOIN parsed p ON p.ruleset_id = o.ruleset_id AND p.rule_ord = o.line_no
+            WHERE chosen = 'settings' OR p.pattern IS NOT NULL"""),
         ("builtin", f"""SELECT unnest(list_concat(['.*', {DEFAULT_NAMES}],
             list_transform(string_split('{DEFAULT_SUFFIXES}', '|'), lambda s: '*.' || s))) AS pattern,
             generate_subscripts(range(0, 54), 1) - 1 AS ord"""),
+        ("blank", f"""SELECT ruleset_id FROM offers WHERE origin = 'text' GROUP BY ruleset_id HAVING bool_and({trimmed("line")} = '')"""),
         select="""SELECT ruleset_id, CAST(ord AS INT) AS rule_ord, pattern, false AS negated, false AS directory_only, false AS anchored
-        FROM builtin CROSS JOIN (SELECT DISTINCT ruleset_id FROM ranked WHERE n <> 4)
-        UNION ALL SELECT ruleset_id, CAST(row_number() OVER (PARTITION BY ruleset_id ORDER BY line_no) - 1
-            + CASE WHEN n = 4 THEN 0 ELSE 54 END AS INT),
-          CASE WHEN n IN (0, 2) THEN line ELSE pattern END, CASE WHEN n IN (0, 2) THEN false ELSE negated END,
-          CASE WHEN n IN (0, 2) THEN line LIKE '%/' ELSE directory_only END, CASE WHEN n IN (0, 2) THEN false ELSE anchored END
+        FROM builtin CROSS JOIN (SELECT ruleset_id FROM source WHERE NOT typed OR ruleset_id IN (FROM blank))
+        UNION ALL SELECT ruleset_id, CAST(row_number() OVER (PARTITION BY ruleset_id ORDER BY offer_ord, line_no) - 1
+            + CASE WHEN chosen = 'text' THEN 0 ELSE 54 END AS INT),
+          CASE WHEN chosen = 'settings' THEN line ELSE pattern END, CASE WHEN chosen = 'settings' THEN false ELSE negated END,
+          CASE WHEN chosen = 'settings' THEN line LIKE '%/' ELSE directory_only END, CASE WHEN chosen = 'settings' THEN false ELSE anchored END
         FROM chosen""",
     ),
     "glob_cases": _with(DOCS, LINES, PARSED, HITS, select="""SELECT d.path, CAST(count(h.path) AS INT) AS hits, CAST(max(h.rule_ord) AS INT) AS last_hit

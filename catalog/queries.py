@@ -83,38 +83,23 @@ def rules_added(spark, sf_dir):
     return rules.parse_rule_lines(inputs.rule_lines(spark, sf_dir), "added")
 
 
+# Every line is on offer: by its number in the settings or in a file, which is named, missing, local or
+# typed in by the number of its set; named files come in two parts.
+OFFERS = """SELECT ruleset_id, line_no, line, CASE WHEN line_no % 3 = 0 THEN 'settings' WHEN n = 1 THEN 'named'
+    WHEN n = 2 THEN 'local' WHEN n = 4 AND line_no % 3 = 2 THEN 'text' WHEN n = 0 THEN 'settings' ELSE 'local' END AS origin,
+  CASE WHEN n = 1 THEN line_no % 2 ELSE 0 END AS offer_ord, n
+FROM (SELECT *, CAST(substr(ruleset_id, 4) AS INT) % 5 AS n FROM rule_lines) numbered"""
+
+
 def ruleset_precedence(spark, sf_dir):
-    lines = inputs.rule_lines(spark, sf_dir)
-    per_set = lines.groupBy("ruleset_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]
-        ).alias("lines"),
-        F.substring("ruleset_id", 4, 9).cast("int").alias("n"),
+    dealt = inputs.sql(spark, sf_dir, OFFERS, rule_lines=inputs.rule_lines(spark, sf_dir))
+    offers = dealt.groupBy("ruleset_id", "origin", "offer_ord").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]).alias("lines")
     )
-    nothing = F.lit(None).cast("array<string>")
-    # Every set offers its settings; by its number also a named, missing, local or typed-in file.
-    offers = per_set.select(
-        "ruleset_id",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.struct(F.lit("settings").alias("origin"), F.slice("lines", 1, 2).alias("lines")),
-                    F.when(
-                        F.col("n") % 5 == 1, F.struct(F.lit("named").alias("origin"), F.col("lines").alias("lines"))
-                    ).when(
-                        F.col("n") % 5 == 2, F.struct(F.lit("named").alias("origin"), nothing.alias("lines"))
-                    ),
-                    F.when(
-                        F.col("n") % 5 != 0, F.struct(F.lit("local").alias("origin"), F.slice("lines", 3, 3).alias("lines"))
-                    ),
-                    F.when(
-                        F.col("n") % 5 == 4, F.struct(F.lit("text").alias("origin"), F.slice("lines", 2, 4).alias("lines"))
-                    ),
-                )
-            )
-        ).alias("offer"),
-    ).select("ruleset_id", "offer.*")
-    return rules.resolve_ruleset(offers)
+    missing = dealt.filter("n = 2").select(
+        "ruleset_id", F.lit("named").alias("origin"), F.lit(0).alias("offer_ord"), F.lit(None).cast("array<string>").alias("lines")
+    ).distinct()
+    return rules.resolve_ruleset(offers.unionByName(missing))
 
 
 def _parsed_rules(spark, sf_dir):

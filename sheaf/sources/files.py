@@ -19,48 +19,66 @@ from sheaf.session import shared_dir
 
 # Bytes of file content a reading task hands over at a time.
 READ_BATCH_BYTES = 32 * 1024 * 1024
+# Entries of a folder handed over at a time.
+LIST_ROWS = 50_000
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Regular files below a folder all executors can reach: path (relative) and length.
+    """Regular files below a folder all executors can reach: path (relative), length, and raw.
 
     The tree is listed level by level, the folders of a level spread over the executors, so one
-    crowded branch does not end up in one task. Every level is a written table. Folders that cannot
-    be read are passed over and links are not followed.
+    crowded branch does not end up in one task. Every level is a written table. Folders and entries
+    that cannot be read, or are gone meanwhile, are passed over; links are not followed. ``raw`` is the
+    path as the file system has it; in ``path`` bytes that are no UTF-8 are U+FFFD.
     """
     if not os.path.isdir(root):
         raise NotADirectoryError(f"expected a folder: {root}")
 
+    top = os.fsencode(root)
+
+    def facts(entry: os.DirEntry, folder: bytes) -> tuple | None:
+        try:
+            is_dir = entry.is_dir(follow_symlinks=False)
+            if not is_dir and not entry.is_file(follow_symlinks=False):
+                return None
+            size = 0 if is_dir else entry.stat(follow_symlinks=False).st_size
+        except OSError:
+            return None
+        raw = os.path.join(folder, entry.name)
+        return raw.decode("utf-8", "replace"), is_dir, size, raw
+
     def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for folder in batch["path"]:
+            for folder in batch["raw"]:
+                rows = []
                 try:
-                    entries = list(os.scandir(os.path.join(root, folder)))
+                    with os.scandir(os.path.join(top, folder)) as entries:
+                        for entry in entries:
+                            rows += filter(None, [facts(entry, folder)])
+                            if len(rows) >= LIST_ROWS:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows = []
                 except OSError:
-                    continue
-                rows = []
-                for e in entries:
-                    is_dir = e.is_dir(follow_symlinks=False)
-                    if is_dir or e.is_file(follow_symlinks=False):
-                        size = 0 if is_dir else e.stat(follow_symlinks=False).st_size
-                        rows.append((os.path.join(folder, e.name), is_dir, size))
-                yield pd.DataFrame(rows, columns=["path", "is_dir", "length"])
-
-    schema = "path string, is_dir boolean, length bigint"
-    folders = spark.createDataFrame([("",)], "path string")
+                    pass
+                yield pd.DataFrame(rows, columns=columns)
+
+    columns = ["path", "is_dir", "length", "raw"]
+    schema = "path string, is_dir boolean, length bigint, raw binary"
+    folders = spark.createDataFrame([(bytearray(b""),)], "raw binary")
     tables: list[str] = []
     while not folders.isEmpty():
         table = shared_dir(spark, "tree-level")
-        folders.repartition("path").mapInPandas(list_folders, schema).write.parquet(table)
+        folders.repartition("raw").mapInPandas(list_folders, schema).write.parquet(table)
         tables.append(table)
-        folders = spark.read.schema(schema).parquet(table).filter("is_dir").select("path")
-    return spark.read.schema(schema).parquet(*tables).filter("NOT is_dir").select("path", "length")
+        folders = spark.read.schema(schema).parquet(table).filter("is_dir").select("raw")
+    return spark.read.schema(schema).parquet(*tables).filter("NOT is_dir").select("path", "length", "raw")
 
 
 def read_contents(
     listing: DataFrame, root: str, column: str = "content", limit: int = -1
 ) -> DataFrame:
-    """Add the bytes of rows with ``path``, up to ``limit`` of each; null where a file is unreadable.
+    """Add the bytes of rows with ``path`` (or ``raw``, which goes before it), up to ``limit`` of each;
+    null where a file is unreadable.
 
     The paths are spread anew first, so that files left over by a filter are read evenly.
     """
@@ -69,9 +87,9 @@ def read_contents(
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             start, held, data = 0, 0, []
-            for i, path in enumerate(batch["path"]):
+            for i, path in enumerate(batch["raw" if "raw" in batch else "path"]):
                 try:
-                    with open(os.path.join(root, path), "rb") as f:
+                    with open(os.path.join(os.fsencode(root), os.fsencode(path)), "rb") as f:
                         data.append(f.read(limit))
                 except OSError:
                     data.append(None)

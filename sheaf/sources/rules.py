@@ -55,11 +55,15 @@ def resolve_ruleset(offers: DataFrame) -> DataFrame:
     Origins: ``text`` (typed in; stands alone, or for the built-in rules if blank), ``named`` (a rule file asked for;
     lines are null if it is missing), ``local`` (a rule file found in place, looked at only if none
     was named), ``settings`` (the literal list used when no file counts). All but ``text`` come
-    after the built-in rules.
+    after the built-in rules. Several offers of one origin follow one another, by ``offer_ord`` if
+    there is such a column, else by their lines.
     """
+    place = F.col("offer_ord") if "offer_ord" in offers.columns else F.lit(0)
 
     def offer(origin: str):
-        return F.max(F.when(F.col("origin") == origin, F.col("lines"))).alias(origin)
+        there = (F.col("origin") == origin) & F.col("lines").isNotNull()
+        every = F.array_sort(F.collect_list(F.when(there, F.struct(place.alias("ord"), "lines"))))
+        return F.when(F.size(every) > 0, F.flatten(F.transform(every, lambda x: x["lines"]))).alias(origin)
 
     per_set = offers.groupBy("ruleset_id").agg(
         *(offer(o) for o in ("text", "named", "local", "settings")),
