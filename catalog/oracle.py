@@ -319,6 +319,18 @@ NAMED = (
 
 # ---- the texts ------------------------------------------------------------------------------
 
+# The custom rules from the last to the first; the first that hits decides. A folder rule with a
+# slash inside is taken literally, star and all.
+CUSTOM_HIT = f"""CASE
+        WHEN starts_with(path, 'src2/') THEN false
+        WHEN path = 'src*/target/de' OR starts_with(path, 'src*/target/de/') THEN true
+        WHEN path LIKE '%.md' THEN false
+        WHEN regexp_matches(path, '^src[^/]/src/(.*/)?1[^/]*$') THEN true
+        WHEN regexp_matches(path, '(^|/)fr/[^/]*[.]txt$') THEN true
+        WHEN starts_with(path, 'src1/logs/') THEN true
+        WHEN path LIKE '%.log' THEN true
+        ELSE {default_hit("path")} END"""
+
 ORACLE: dict[str, str] = {
     "files_and_lines": _with(
         DOCS,
@@ -328,6 +340,9 @@ ORACLE: dict[str, str] = {
     "scan_files": _with(
         DOCS, select="SELECT bundle_id, path, strlen(text) AS length, md5(text) AS content_md5 FROM doc_files"
     ),
+    "scan_tree": _with(
+        DOCS, select=f"SELECT path, strlen(text) AS length, md5(text) AS content_md5 FROM doc_files WHERE NOT {CUSTOM_HIT}"
+    ),
     "scan_sources": _with(
         DOCS,
         PAGES,
@@ -387,20 +402,7 @@ ORACLE: dict[str, str] = {
     "exclude_default": _with(
         DOCS, select=f"SELECT bundle_id, path FROM doc_files WHERE NOT ({default_hit('path')})"
     ),
-    # The custom rules from the last to the first; the first that hits decides. A folder rule with a
-    # slash inside is taken literally, star and all.
-    "exclude_custom": _with(
-        DOCS,
-        select=f"""SELECT bundle_id, path FROM doc_files WHERE NOT CASE
-        WHEN starts_with(path, 'src2/') THEN false
-        WHEN path = 'src*/target/de' OR starts_with(path, 'src*/target/de/') THEN true
-        WHEN path LIKE '%.md' THEN false
-        WHEN regexp_matches(path, '^src[^/]/src/(.*/)?1[^/]*$') THEN true
-        WHEN regexp_matches(path, '(^|/)fr/[^/]*[.]txt$') THEN true
-        WHEN starts_with(path, 'src1/logs/') THEN true
-        WHEN path LIKE '%.log' THEN true
-        ELSE {default_hit("path")} END""",
-    ),
+    "exclude_custom": _with(DOCS, select=f"SELECT bundle_id, path FROM doc_files WHERE NOT {CUSTOM_HIT}"),
     "exclude_join": _with(
         DOCS, LINES, PARSED, HITS, DECIDED,
         select="""SELECT bundle_id, path FROM doc_files

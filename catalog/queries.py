@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,34 @@ def scan_files(spark, sf_dir):
     )
 
 
+def _written_tree(spark, sf_dir):
+    """The documents as files below a new shared folder, written by the executors, and the folder."""
+    root = os.path.join(urlparse(shared_dir(spark, "tree")).path, "root")
+
+    def write(batches):
+        for batch in batches:
+            for path, body in zip(batch["path"], batch["text"]):
+                target = os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as f:
+                    f.write(body.encode())
+            yield batch[["path"]]
+
+    docs = inputs.doc_files(spark, sf_dir).select("path", "text")
+    docs.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def scan_tree(spark, sf_dir):
+    """The documents written as a tree, then listed and read from it."""
+    root = _written_tree(spark, sf_dir)
+    found = files.scan_tree(spark, root, default_rules() + parse_rules(CUSTOM_RULES))
+    table = shared_dir(spark, "scanned")
+    found.select("path", "length", F.md5("content").alias("content_md5")).write.parquet(table)
+    shutil.rmtree(root)
+    return spark.read.parquet(table)
+
+
 def scan_sources(spark, sf_dir):
     both = files.union_sources([_text_files(spark, sf_dir), _direct_pages(spark, sf_dir)])
     return exclude.exclude_filter(both, default_rules()).drop("content")
@@ -556,7 +588,7 @@ def duplicate_guard_stream(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        files_and_lines, scan_files, scan_sources, sniff_prefix, bundle_roundtrip,
+        files_and_lines, scan_files, scan_tree, scan_sources, sniff_prefix, bundle_roundtrip,
         rules_parsed, rules_literal, rules_added, ruleset_precedence, glob_cases,
         exclude_default, exclude_custom, exclude_join, exclusion_audit, pattern_list,
         sniff_bom, sniff_nul, sniff_utf16, sniff_utf32, meaningful_ratio, classify_files, text_filter,
