@@ -72,8 +72,7 @@ def signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
         total = np.full(len(begin), band + 1, np.uint64)
         for row in range(ROWS):
             np.multiply(low, _TIMES[band * ROWS + row], out=value)
-            np.bitwise_xor(value, high, out=value)
-            np.multiply(value, np.uint32(0x85EBCA6B), out=value)
+            np.add(value, high, out=value)
             total = total * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(value, begin)
         out[:, band] = mix(total)
     return out
