@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm import bpe, chat, decontaminate, lines, minhash, mixing, quality, rollup, secrets, toxicity
+from sheaf.llm.oracle import ORACLE
 from sheaf.llm.tables import table
 from sheaf.session import shared_dir
 
@@ -61,4 +62,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {"op3_token_counts": rollup.SQL, "op7_chat": chat.SQL}
+__all__ = ["ORACLE", "QUERIES"]
