@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sheaf.llm import bpe, decontaminate, lines, minhash, toxicity
 from sheaf.llm.tables import table
-from sheaf.session import shared_dir
+from sheaf.session import shared_dir, ship_package
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,11 +17,13 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat another."""
+    ship_package(spark)
     return lines.dedup_lines(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    ship_package(spark)
     return minhash.drop_near_duplicates(docs)
 
 
@@ -32,6 +34,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of what they decode to."""
+    ship_package(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.token_report(docs, ranks, public_tokenizers.PATTERN)
 
@@ -44,7 +47,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: No stage but the last two is plain SQL; tests hold the stages against plain versions.
+#: SQL cannot express the stages; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
