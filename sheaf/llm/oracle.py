@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sheaf.llm import chat, rollup
+from sheaf.llm.licenses import MIN_COVER, PHRASES, TEMPLATES, key_places, word_list
 from sheaf.llm.quality import LINE_LIMIT, MIN_SHARE, MIN_WORDS
 from sheaf.llm.secrets import BASE, RULES
 
@@ -66,10 +67,50 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(l), 0) A
   coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
+NEGATIVES = """WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS alike, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS s FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
+pos AS (SELECT * FROM pairs WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+neg AS (SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+  FROM pos p JOIN pairs n ON n.a = p.a AND NOT n.alike AND 80 * p.s <= 100 * n.s AND n.s <= p.s)
+SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM neg WHERE rank <= 5"""
+
+
+def _values(rows: list[tuple]) -> str:
+    one = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return "VALUES " + ", ".join(f"({', '.join(one(x) for x in r)})" for r in rows)
+
+
+def _template_rows() -> list[tuple]:
+    rows = []
+    for k, t in enumerate(TEMPLATES):
+        own, keys = word_list(t.text), set(key_places(t))
+        rows += [(k, t.label, i, w, i in keys, len(keys), len(own)) for i, w in enumerate(own)]
+    return rows
+
+
+LICENSES = f"""WITH docs AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM docs),
+template(tid, label, p, word, is_key, n_keys, size) AS ({_values(_template_rows())}),
+phrase(label, p, word, size) AS ({_values([(label, i, w, len(word_list(x))) for x, label in PHRASES for i, w in enumerate(word_list(x))])}),
+places AS (SELECT doc_id, label, pos - p AS start FROM tok JOIN phrase USING (word) GROUP BY doc_id, label, pos - p, size HAVING count(*) = size),
+finds AS (SELECT doc_id, label, count(*) / size AS cover FROM tok JOIN template USING (word)
+  GROUP BY doc_id, tid, label, pos - p, size, n_keys HAVING count(*) FILTER (is_key) = n_keys),
+labelled AS (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM finds WHERE cover >= {MIN_COVER}),
+base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM labelled GROUP BY doc_id),
+best AS (SELECT doc_id, max(cover) AS score FROM finds GROUP BY doc_id)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
 ORACLE: dict[str, str] = {
     "op3_token_counts": rollup.SQL,
     "op7_chat": chat.SQL,
     "op8_decontaminate": DECONTAMINATION,
     "op9_secrets": SECRETS,
     "op10_quality": QUALITY,
+    "op12_hard_negatives": NEGATIVES,
+    "op13_licenses": LICENSES,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import bpe, chat, decontaminate, lines, minhash, mixing, quality, rollup, secrets, toxicity
+from sheaf.llm import bpe, chat, decontaminate, licenses, lines, minhash, mixing, negatives, quality, rollup, runs, secrets, toxicity
 from sheaf.llm.oracle import ORACLE
 from sheaf.llm.tables import table
 from sheaf.session import shared_dir
@@ -54,11 +54,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negatives_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_line_dedup, op3_token_counts, op4_near_dedup, op5_toxicity, op6_lm_score, op7_chat, op8_decontaminate,
-        op9_secrets, op10_quality,
+        op9_secrets, op10_quality, op11_runs, op12_hard_negatives, op13_licenses,
     )
 }
 
