@@ -516,6 +516,11 @@ ORACLE: dict[str, str] = {
         select=f"""SELECT bundle_id, row_number() OVER (PARTITION BY bundle_id ORDER BY doc_id) AS seg_no, path, CAST(0 AS BIGINT) AS part_no,
         {NORMAL} AS content FROM dirty_files""",
     ),
+    "unpack_sparse": _with(
+        DIRTY,
+        select=f"""SELECT bundle_id, row_number() OVER (PARTITION BY bundle_id ORDER BY doc_id) AS seg_no, path, CAST(0 AS BIGINT) AS part_no,
+        {NORMAL} AS content FROM dirty_files""",
+    ),
     "unpack_compat": _with(
         DIRTY,
         select=f"""SELECT bundle_id, path, CAST(0 AS BIGINT) AS part_no, rtrim(array_to_string(list_transform({lines_of("text")}, lambda l:

@@ -370,6 +370,17 @@ def unpack_seq(spark, sf_dir):
     return unpack_stream(_seq_stream(spark, sf_dir)).select("bundle_id", "seg_no", "path", "part_no", "content")
 
 
+# Gaps between the lines of a file and between files: no block of positions holds more than one row.
+SPARSE_SEQ = "doc_id * 100000000000000 + line_no * 10000000000"
+
+
+def unpack_sparse(spark, sf_dir):
+    """Positions far apart: files come out whole, as if rows were neighbours."""
+    rows = paragraphs.build_paragraphs(_dirty_texts(spark, sf_dir).withColumn("source_ord", F.col("doc_id")))
+    place = F.expr(SPARSE_SEQ.replace("doc_id", "source_ord"))
+    return unpack_stream(rows.select("bundle_id", place.alias("seq"), "style", "text")).select("bundle_id", "seg_no", "path", "part_no", "content")
+
+
 def unpack_compat(spark, sf_dir):
     rows = markup.parse_markup(markup.assemble_bundle(_dirty_paragraphs(spark, sf_dir)), compat_trim=True)
     return unpack(rows).select("bundle_id", "path", "part_no", "content")
@@ -386,9 +397,10 @@ def validate_paths(spark, sf_dir):
 
 
 def unpack_strict(spark, sf_dir):
-    folded = segment.fold_content(segment.segment_by_heading(inputs.path_stream(spark, sf_dir)))
-    files_ = segment.validate_headings(segment.drop_empty_heading(folded))
-    return segment.stop_at_first_error(files_).select("bundle_id", "seg_no", "path", "part_no", "content")
+    stream = inputs.path_stream(spark, sf_dir)
+    ranked = segment.rank_stream(stream)
+    folded = segment.fold_stream(stream, ranked, segment.stop_at_first_error(segment.ranked_files(ranked)))
+    return folded.select("bundle_id", "seg_no", "path", "part_no", "content")
 
 
 def unpack_dedup(spark, sf_dir):
@@ -595,7 +607,7 @@ QUERIES = {
         decode_ladder, decode_text, decode_wide, encoding_audit,
         explode_lines, build_paragraphs, heading_counts, path_normalize, bundle_header, clean_text,
         render_paragraphs, assemble_bundle, parse_markup, parse_foreign,
-        segment_turns, segment_docs, unpack_files, unpack_seq, unpack_compat, unpack_edge,
+        segment_turns, segment_docs, unpack_files, unpack_seq, unpack_sparse, unpack_compat, unpack_edge,
         validate_paths, unpack_strict, unpack_dedup, unpack_summary, unpack_outcome, unpack_batch,
         duplicate_paths, first_duplicate, reject_duplicates, pack_summary, common_parent, output_names,
         allocate_names, resolve_output_names, path_parts, pack_paragraphs, pack_many_sources, roundtrip_diff,

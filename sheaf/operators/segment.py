@@ -1,9 +1,10 @@
 """Cut a paragraph stream at its headings and fold every segment back into a file.
 
-A stream has a bundle, a whole-number position ``seq`` that is unique within it, a style and a text.
-One bundle may hold a large share of all rows, so no window here runs over a whole bundle. Positions
-are cut into blocks: one narrow aggregate tells how many headings every block holds, a running sum
-over blocks (not rows) gives each its start, and the window over rows stays within a block.
+A stream has a bundle, a position ``seq`` that is unique within it, a style and a text. One bundle may
+hold a large share of all rows, so no window here runs over a whole bundle. Rows without their text are
+ranked first (``ranks``), which cuts the stream into blocks of bounded size and says what every part of a file
+belongs to; rows with text then go to their block once, and windows stay within blocks. Positions may have
+gaps of any width.
 """
 
 from __future__ import annotations
@@ -16,56 +17,13 @@ from pyspark.sql import functions as F
 from sheaf.functions.paths import file_identity, validate_heading
 from sheaf.functions.text import trim_line_feeds
 from sheaf.operators.paragraphs import is_heading
+from sheaf.operators.ranks import Ranked, rank_rows
 
-# Positions per block; positions and bytes per part of a file.
-BLOCK_SPAN = 1 << 20
+# Rows and bytes per part of a file.
 PART_SPAN = 1 << 17
 PART_BYTES = 64 * 1024 * 1024
 
 
-def _starts(counts: DataFrame, span: int, levels: int) -> DataFrame:
-    """What comes before each block (bundle_id, block, n, last) of its bundle: start_no, start_seq.
-
-    Blocks without a heading before them are left out. With ``levels`` the blocks are in turn cut
-    into blocks, so that even positions with wide gaps leave few rows for a bundle's own window.
-    """
-
-    def before(*group: str) -> tuple[Column, Column]:
-        window = (
-            Window.partitionBy("bundle_id", *group)
-            .orderBy("block")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return F.coalesce(F.sum("n").over(window), F.lit(0)), F.max("last").over(window)
-
-    if not levels:
-        n, last = before()
-        out = counts.select("bundle_id", "block", n.alias("start_no"), last.alias("start_seq"))
-        return out.filter("start_no > 0")
-    grouped = counts.withColumn("group", F.floor(F.col("block") / span))
-    totals = grouped.groupBy("bundle_id", F.col("group").alias("block")).agg(
-        F.sum("n").alias("n"), F.max("last").alias("last")
-    )
-    outer = _starts(totals, span, levels - 1).select(
-        "bundle_id",
-        F.col("block").alias("group"),
-        F.col("start_no").alias("outer_no"),
-        F.col("start_seq").alias("outer_seq"),
-    )
-    n, last = before("group")
-    inner = grouped.select("bundle_id", "group", "block", n.alias("n"), last.alias("last"))
-    return (
-        inner.join(outer, ["bundle_id", "group"], "left")
-        .select(
-            "bundle_id",
-            "block",
-            (F.col("n") + F.coalesce("outer_no", F.lit(0))).alias("start_no"),
-            F.coalesce("last", "outer_seq").alias("start_seq"),
-        )
-        .filter("start_no > 0")
-    )
-
-
 def _flagged(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
@@ -75,30 +33,45 @@ def _flagged(rows: DataFrame) -> DataFrame:
     )
 
 
-def segment_by_heading(stream: DataFrame, span: int = BLOCK_SPAN, levels: int = 1) -> DataFrame:
-    """Add seg_no (0 before the first heading) and seg_seq (position of the heading).
+def rank_stream(stream: DataFrame, span: int = PART_SPAN) -> Ranked:
+    """Rank the rows of a stream by bundle and position; text is read, but only that of headings is moved."""
+    heading = F.when(F.col("is_heading"), F.coalesce("text", F.lit("")))
+    return rank_rows(_flagged(stream).select("bundle_id", "seq", "is_heading", "has_text", heading.alias("heading")), span)
 
-    Also is_heading, and has_text for rows with more than line feeds.
+
+def _marked(stream: DataFrame, ranked: Ranked, marks: DataFrame) -> DataFrame:
+    """Rows of ``stream`` in blocks, with the last of ``marks`` (bundle_id, seq, mark) at or before each, in its block.
+
+    ``at`` counts rows since that mark. Marks travel with the rows and are handed on by a window, so rows move
+    once and meet no join; a block holds every mark its rows need, as blocks begin with one.
     """
-    key = ["bundle_id", "block"]
-    rows = _flagged(stream).withColumn("block", F.floor(F.col("seq") / span))
-    heading_seq = F.when(F.col("is_heading"), F.col("seq"))
-    counts = rows.groupBy(*key).agg(
-        F.count_if("is_heading").alias("n"), F.max(heading_seq).alias("last")
+    carried = marks.select("bundle_id", "seq", F.struct("mark").alias("own"))
+    rows = _flagged(stream).withColumn("is_row", F.lit(True))
+    both = rows.unionByName(carried, allowMissingColumns=True)
+    both = both.withColumn("block", ranked.block(F.col("bundle_id"), F.col("seq")))
+    # a mark comes before the row at its position
+    upto = Window.partitionBy("block", "bundle_id").orderBy("seq", F.col("is_row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("before", F.count("is_row").over(upto))
+    last = F.last(F.when(F.col("own").isNotNull(), F.struct("own.mark", "before")), ignorenulls=True).over(upto)
+    return (
+        counted.withColumn("last", last)
+        .filter("is_row")
+        .withColumns({"mark": F.col("last.mark"), "at": F.col("before") - F.col("last.before") - 1})
+        .drop("last", "before", "own", "is_row")
     )
-    upto = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def segment_by_heading(stream: DataFrame, ranked: Ranked | None = None) -> DataFrame:
+    """Add seg_no (0 before the first heading), seg_seq (position of the heading) and seg_at (rows since it).
+
+    Also is_heading, and has_text for rows with more than line feeds.
+    """
+    ranked = ranked or rank_stream(stream)
+    marks = ranked.rows.filter("first").select("bundle_id", "seq", F.struct("seg_no", "seg_seq", "at").alias("mark"))
     return (
-        rows.withColumns(
-            {"no": F.count(heading_seq).over(upto), "at": F.max(heading_seq).over(upto)}
-        )
-        .join(_starts(counts, span, levels), key, "left")
-        .withColumns(
-            {
-                "seg_no": F.col("no") + F.coalesce("start_no", F.lit(0)),
-                "seg_seq": F.coalesce("at", "start_seq"),
-            }
-        )
-        .drop("block", "no", "at", "start_no", "start_seq")
+        _marked(stream, ranked, marks)
+        .withColumns({"seg_no": F.col("mark.seg_no"), "seg_seq": F.col("mark.seg_seq"), "seg_at": F.col("mark.at") + F.col("at")})
+        .drop("block", "mark", "at")
     )
 
 
@@ -125,14 +98,12 @@ def _fold(
     rows = rows.withColumn("offset", offset).withColumn("block", F.floor(F.col("offset") / span))
     if files is None:
         files = rows.filter("is_heading").select(*key, F.coalesce("text", F.lit("")).alias("heading"))
-    # The flags were set where rows were read: no text is in these facts.
-    facts = rows.groupBy(*key).agg(
-        F.coalesce(F.max(F.when(F.col("has_text") & ~F.col("is_heading"), F.col("offset"))), F.lit(0)).alias("last_text")
-    )
+    # The flags were set where rows were read: no text is in these facts. Blocks are those that rows are in.
+    last_text = F.coalesce(F.max(F.when(F.col("has_text") & ~F.col("is_heading"), F.col("offset"))), F.lit(0))
+    blocks = rows.groupBy(*key, "block").agg(last_text.alias("last_text"))
+    facts = blocks.groupBy(*key).agg(F.max("last_text").alias("last_text"))
     carried = [c for c in files.columns if c not in key]
-    wanted = files.join(facts, list(key)).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last_text") / span)))
-    )
+    wanted = files.join(facts, list(key)).join(blocks.select(*key, "block"), list(key))
     text = F.coalesce("text", F.lit(""))
     place = [*key, "block"]
     before = Window.partitionBy(*place).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -160,14 +131,56 @@ def fold_content(
     """Segments as files: bundle_id, seg_no, seg_seq, part_no, heading, content.
 
     Body rows are joined with LF and the LFs at the end go; a heading alone gives empty content. A
-    file is its parts joined with LF in the order of part_no, the distance of a part's first row from
-    the heading (0 for the first part). Parts end at ``span`` positions or ``part_bytes`` bytes, so most
+    file is its parts joined with LF in the order of part_no, the rows between a part's first row and
+    the heading (0 for the first part). Parts end at ``span`` rows or ``part_bytes`` bytes, so most
     files have one, and no group or cell is larger than that.
     """
     key = ["bundle_id", "seg_no", "seg_seq"] if files is None else ["bundle_id", "seg_seq"]
-    rows = drop_preamble(segmented)
-    out = _fold(rows, key, "seq", F.col("seq") - F.col("seg_seq"), span, part_bytes, files)
-    return out
+    return _fold(drop_preamble(segmented), key, "seq", F.col("seg_at"), span, part_bytes, files)
+
+
+def fold_stream(stream: DataFrame, ranked: Ranked, files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """:func:`fold_content` straight from a stream, for the ``files`` (bundle_id, seg_seq, more columns) that are wanted.
+
+    The marks where parts begin carry what is known of their file, so the text is moved once, to its block, and
+    cut and folded there. Parts end every ``span`` rows of :func:`rank_stream`, or at ``part_bytes`` bytes.
+    """
+    key = ["bundle_id", "seg_seq"]
+    carried = [c for c in files.columns if c not in key]
+    body_row = F.col("has_text") & ~F.col("is_heading")
+    facts = ranked.rows.filter("seg_no > 0").groupBy(*key).agg(
+        F.max("seg_no").alias("seg_no"), F.coalesce(F.max(F.when(body_row, F.col("seq"))), F.col("seg_seq")).alias("last_seq")
+    )
+    known = ranked.rows.filter("first").select("bundle_id", "seq", "seg_seq", "at").join(files.join(facts, key), key, "left")
+    # A file that is not wanted keeps its mark, with nothing in it, so its rows do not go to the file before.
+    info = F.when(F.col("last_seq").isNotNull(), F.struct("seg_seq", "at", "last_seq", "seg_no", *carried))
+    rows = _marked(stream, ranked, known.select("bundle_id", "seq", info.alias("mark")))
+    rows = rows.filter(F.col("mark").isNotNull() & (F.col("seq") <= F.col("mark.last_seq")))
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.select(
+        "block", "bundle_id", "seq", "is_heading", "mark", F.col("mark.seg_seq").alias("seg_seq"), F.col("mark.at").alias("part"),
+        (F.col("mark.at") + F.col("at")).alias("at"), text.alias("text"), (F.octet_length(text) + 1).alias("bytes"),
+    )
+    place = ["block", "bundle_id", "seg_seq", "part"]
+    before = Window.partitionBy(*place).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / part_bytes)
+    body = F.when(~F.col("is_heading"), F.struct("seq", "text"))
+    lines = F.transform(F.array_sort(F.collect_list(body)), lambda r: r["text"])
+    folded = (
+        rows.withColumn("run", run)
+        .groupBy(*place, "run")
+        .agg(
+            F.min("at").alias("part_no"),
+            F.first("mark").alias("mark"),
+            F.array_join(lines, "\n").alias("content"),
+            F.max("seq").alias("last"),
+            F.count(body).alias("lines"),
+        )
+        # A heading makes a part by itself only if nothing follows it.
+        .filter((F.col("lines") > 0) | (F.col("mark.last_seq") == F.col("seg_seq")))
+    )
+    content = F.when(F.col("last") == F.col("mark.last_seq"), trim_line_feeds(F.col("content"))).otherwise(F.col("content"))
+    return folded.select("bundle_id", "seg_seq", "mark.seg_no", "part_no", *(F.col("mark")[c].alias(c) for c in carried), content.alias("content"))
 
 
 def fold_files(
@@ -191,6 +204,11 @@ def validate_headings(files: DataFrame) -> DataFrame:
     ).withColumnRenamed("path_", "path")
 
 
+def ranked_files(ranked: Ranked) -> DataFrame:
+    """:func:`heading_files` of a stream that is ranked already."""
+    return validate_headings(drop_empty_heading(ranked.rows.filter("is_heading").select("bundle_id", F.col("seq").alias("seg_seq"), "heading")))
+
+
 def heading_files(stream: DataFrame) -> DataFrame:
     """Every heading of a stream as (bundle_id, seg_seq, path, error), from heading rows only."""
     heads = stream.filter(is_heading(F.col("style"))).select(

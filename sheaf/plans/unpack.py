@@ -10,11 +10,12 @@ from sheaf.operators.segment import (
     PART_BYTES,
     PART_SPAN,
     drop_empty_heading,
-    fold_content,
     fold_files,
+    fold_stream,
     heading_files,
     last_write_wins,
-    segment_by_heading,
+    rank_stream,
+    ranked_files,
     stop_at_first_error,
     validate_headings,
 )
@@ -45,12 +46,13 @@ def unpack_stream(
     any text is folded. ``compat_trim`` trims both ends of every line, as a reader that drops
     indentation does.
     """
+    if on_error not in ("stop", "skip"):
+        raise ValueError(f"on_error: {on_error}")
     if compat_trim:
         stream = stream.withColumn("text", trim_runs(F.col("text")))
-    segmented = segment_by_heading(stream)
-    numbers = segmented.filter("is_heading").select("bundle_id", "seg_seq", "seg_no")
-    kept = _decide(heading_files(stream), on_error, "seg_seq").drop("error")
-    folded = fold_content(segmented.drop("seg_no"), span, part_bytes, kept.join(numbers, ["bundle_id", "seg_seq"]))
+    ranked = rank_stream(stream, span)
+    kept = _decide(ranked_files(ranked), on_error, "seg_seq").drop("error")
+    folded = fold_stream(stream, ranked, kept, part_bytes)
     return folded.select("bundle_id", "seg_no", "part_no", "heading", "path", "content")
 
 

@@ -19,6 +19,7 @@ from sheaf.operators.segment import (
     unpack_summary,
 )
 from sheaf.operators.paragraphs import build_paragraphs
+from sheaf.operators.ranks import rank_rows
 from sheaf.operators.summary import roundtrip_diff
 from sheaf.plans.pack import pack, pack_sources
 from sheaf.plans.unpack import unpack, unpack_report, unpack_stream
@@ -86,19 +87,70 @@ def random_stream(spark, n=400):
     return spark.createDataFrame(rows, STREAM)
 
 
-@pytest.mark.parametrize("span,levels", [(1, 0), (2, 1), (3, 3), (7, 1), (1 << 20, 1)])
-def test_blocks_give_what_one_window_gives(spark, span, levels):
+def flags(df):
+    heading = F.coalesce(F.col("style") == H, F.lit(False))
+    return df.select("bundle_id", "seq", heading.alias("is_heading"), F.coalesce(F.translate("text", "\n", "") != "", F.lit(False)).alias("has_text"))
+
+
+@pytest.mark.parametrize("span,blocks", [(1, 1000), (2, 7), (3, 1), (7, 50), (1 << 17, 10_000)])
+def test_blocks_give_what_one_window_gives(spark, span, blocks):
     df = random_stream(spark)
     whole = Window.partitionBy("bundle_id").orderBy("seq")
-    want = df.withColumn("n", F.count(F.when(F.col("style") == H, 1)).over(whole))
-    got = segment_by_heading(df, span=span, levels=levels)
-    pairs = want.join(got, ["bundle_id", "seq"]).select("n", "seg_no").collect()
-    assert len(pairs) == df.count() and all(r.n == r.seg_no for r in pairs)
+    want = df.withColumn("n", F.count(F.when(F.col("style") == H, 1)).over(whole)).withColumn(
+        "h", F.last(F.when(F.col("style") == H, F.col("seq")), ignorenulls=True).over(whole)
+    )
+    ranked = rank_rows(flags(df), span, blocks)
+    assert blocks == 1 or span > 400 or len(ranked.bounds) > 3
+    got = segment_by_heading(df, ranked)
+    pairs = want.join(got, ["bundle_id", "seq"]).select("n", "seg_no", "h", "seg_seq").collect()
+    assert len(pairs) == df.count() and all((r.n, r.h) == (r.seg_no, r.seg_seq) for r in pairs)
+
+
+def test_ranks_are_dense(spark):
+    df = random_stream(spark).unionByName(random_stream(spark).withColumn("bundle_id", F.lit(None).cast("string"))).repartition(7)
+    ranked = rank_rows(flags(df), 5, 20)
+    rows = ranked.rows.withColumn("block", ranked.block(F.col("bundle_id"), F.col("seq"))).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(df.count()))
+    assert [(r.bundle_id or "", r.seq) for r in rows] == sorted((r.bundle_id or "", r.seq) for r in rows)
+    blocks = [r.block for r in rows]
+    assert blocks == sorted(blocks) and set(blocks) == set(range(len(ranked.bounds) + 1)) and len(ranked.bounds) > 5
+    starts = {}
+    for r in rows:
+        if r["at"] == 0 and (r.is_heading or r.seg_no == 0):
+            starts[r.bundle_id, r.seg_no] = r["rank"]
+        assert r["at"] == r["rank"] - starts[r.bundle_id, r.seg_no] and r["first"] == (r["at"] % 5 == 0)
+    for x, y in zip(rows, rows[1:]):
+        assert x.block == y.block or y["first"]
+    assert max(blocks.count(b) for b in set(blocks)) <= -(-len(rows) // 20) + 5
+
+
+@pytest.mark.parametrize("span,size", [(1 << 17, 1 << 26), (3, 1 << 26), (4, 3)])
+def test_positions_far_apart(spark, span, size):
+    """Gaps of any width give the files that neighbouring positions give."""
+    df = random_stream(spark)
+    order = Window.partitionBy("bundle_id").orderBy("seq")
+    near = df.withColumn("seq", F.row_number().over(order).cast("bigint"))
+    # first neighbours, then gaps of 10^15 and more, up to both ends of a long
+    far = near.withColumn("seq", F.when(F.col("seq") < 50, F.col("seq") - F.lit(1 << 62)).otherwise(F.col("seq") * 10**15 + F.col("seq") % 7))
+
+    def files(rows):
+        out = {}
+        for r in unpack_stream(rows, on_error="skip", span=span, part_bytes=size).orderBy("part_no").collect():
+            out.setdefault((r.bundle_id, r.seg_no, r.path), []).append((r.part_no, r.content))
+        return out
+
+    got = files(far)
+    assert got == files(near) and len(got) > 10
+    assert span < 10 or all(len(parts) == 1 for parts in got.values())
+    cut = segment_by_heading(far)
+    assert cut.count() == df.count()
+    wide = fold_content(cut, span=span, part_bytes=size).filter("heading <> ''").groupBy("bundle_id", "seg_no").count()
+    assert wide.filter("count > 1").isEmpty() == (span > 10)
 
 
 @pytest.mark.parametrize("part,size", [(1, 1 << 26), (2, 1 << 26), (5, 1 << 26), (1 << 17, 1), (4, 3), (1 << 17, 1 << 26)])
 def test_parts_join_to_the_whole(spark, part, size):
-    df = segment_by_heading(random_stream(spark), span=16)
+    df = segment_by_heading(random_stream(spark))
     whole = {(r.bundle_id, r.seg_no): (r.heading, r.content) for r in fold_content(df).collect()}
     got = {}
     for r in fold_content(df, span=part, part_bytes=size).orderBy("part_no").collect():
@@ -138,6 +190,19 @@ def test_text_moves_once_without_broadcasts(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("span", [1 << 17, 5])
+def test_text_of_a_stream_moves_once(spark, span):
+    df = random_stream(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = unpack_stream(df, span=span)
+        # The other shuffle of the column is that of headings, whose text is a path.
+        assert exchanges_of(plan, "text") == 1 and exchanges_of(plan, "content") == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("size", [1, 4, 1 << 26])
 def test_files_in_parts_compare_as_one(spark, size):
     rows = [("b", 0, "a", "\n".join(f"line {i % 7}" for i in range(500)) + "\n\n"), ("b", 1, "c", "\n\nx\n\ny"), ("b", 2, "e", "")]
