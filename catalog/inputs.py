@@ -128,7 +128,7 @@ def _files(df: DataFrame, content) -> DataFrame:
 
 
 def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as bytes in nine forms: UTF-8 plain and marked, wide ones, Latin-1, with noise."""
+    """Documents as bytes in nine forms: UTF-8 plain and marked, wide ones, a Chinese one, with noise."""
     text = F.col("text")
     marked = lambda mark, body: F.unhex(F.concat(F.lit(mark), F.hex(body)))
     forms = [
@@ -138,14 +138,37 @@ def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.encode(text, "UTF-16BE"),
         marked("FFFE", F.encode(text, "UTF-16LE")),
         F.encode(text, "UTF-32"),
-        F.encode(text, "ISO-8859-1"),
+        F.encode(text, "GB18030"),
         F.encode(F.replace(text, F.lit(" "), F.lit("\0")), "UTF-8"),
-        F.encode(F.replace(text, F.lit("e"), F.lit("\1")), "UTF-8"),
+        F.encode(F.translate(text, "ea", "\1\1"), "UTF-8"),
     ]
     content = F.when(F.col("doc_id") < 0, F.unhex(F.lit("")))
     for i, form in enumerate(forms):
         content = content.when(F.col("doc_id") % BYTE_FORMS == i, form)
-    return _files(sql(spark, sf_dir, BYTE_DOCS, doc_files=doc_files(spark, sf_dir)), content)
+    with java_charsets(spark):
+        return _files(sql(spark, sf_dir, BYTE_DOCS, doc_files=doc_files(spark, sf_dir)), content)
+
+
+# Texts that each legacy form can hold. The last two take any bytes for bad or for control characters.
+LEGACY_TEXT = """CASE doc_id % 6 WHEN 0 THEN translate(plain, 'aeiou', 'あいうえお') WHEN 1 THEN translate(plain, 'aeiou', '아에이오우')
+  WHEN 2 THEN text ELSE plain END"""
+LEGACY_DOCS = f"""SELECT *, {LEGACY_TEXT} AS body FROM (
+  SELECT bundle_id, doc_id, path, text, regexp_replace(text, concat('[^ -~', chr(10), ']+'), '') AS plain FROM doc_files) d"""
+
+
+def legacy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes in legacy charsets, each with bytes at its end that charset libraries read differently."""
+    body = F.col("body")
+    ended = lambda charset, tail: F.unhex(F.concat(F.hex(F.encode(body, charset)), F.lit(tail)))
+    forms = [
+        ended("windows-31j", "80"), ended("x-windows-949", "B0A1"), ended("ISO-8859-1", "6381E9"),
+        ended("UTF-8", "80"), ended("UTF-8", "FF"), ended("UTF-8", "A1BF"),
+    ]
+    content = F.lit(None).cast("binary")
+    for i, form in enumerate(forms):
+        content = F.when(F.col("doc_id") % len(forms) == i, form).otherwise(content)
+    with java_charsets(spark):
+        return _files(sql(spark, sf_dir, LEGACY_DOCS, doc_files=doc_files(spark, sf_dir)), content)
 
 
 def gb_files(spark: SparkSession, sf_dir: str) -> DataFrame:

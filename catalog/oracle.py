@@ -11,6 +11,7 @@ from catalog.inputs import (
     DIRTY_FILES,
     DOC_FILES,
     HEADINGS,
+    LEGACY_TEXT,
     PAGE_FILES,
     PATH_STREAM,
     RULE_LINES,
@@ -107,7 +108,8 @@ def units(fmt: str) -> str:
 
 LE16 = units("printf('%02X%02X', unicode(c) % 256, unicode(c) // 256)")
 BE16 = units("printf('%04X', unicode(c))")
-# Documents hold no character past U+00FF, so Latin-1 is one byte per character.
+# Bytes of the Chinese form, of which only number and kind count: some accents take two, others four.
+GB = units("CASE WHEN unicode(c) < 128 THEN printf('%02X', unicode(c)) WHEN c IN ('é', 'è', 'ê', 'ü', 'ó', 'í') THEN 'A8A6' ELSE '81308135' END")
 BYTES = (
     "byte_files",
     f"""SELECT bundle_id, path, doc_id, text, form, hx, len(hx) // 2 AS length, left(hx, 16384) AS hd,
@@ -115,8 +117,8 @@ BYTES = (
     SELECT *, CASE WHEN doc_id < 0 THEN -1 ELSE doc_id % 9 END AS form,
       CASE WHEN doc_id < 0 THEN '' ELSE CASE doc_id % 9 WHEN 0 THEN hex(text) WHEN 1 THEN 'EFBBBF' || hex(text)
       WHEN 2 THEN {LE16} WHEN 3 THEN {BE16} WHEN 4 THEN 'FFFE' || {LE16}
-      WHEN 5 THEN {units("printf('%08X', unicode(c))")} WHEN 6 THEN {units("printf('%02X', unicode(c))")}
-      WHEN 7 THEN hex(replace(text, ' ', chr(0))) ELSE hex(replace(text, 'e', chr(1))) END END AS hx
+      WHEN 5 THEN {units("printf('%08X', unicode(c))")} WHEN 6 THEN {GB}
+      WHEN 7 THEN hex(replace(text, ' ', chr(0))) ELSE hex(translate(text, 'ea', chr(1) || chr(1))) END END AS hx
     FROM ({BYTE_DOCS}))""",
 )
 PRINTABLE = "(2[1-9A-F]|[3-6].|7[0-9A-E]|20|09|0A|0C|0D)"
@@ -148,15 +150,21 @@ WIDE = (
       n >= 8 AND n % 4 = 0 AND le32 + be32 > least(n // 4, 2048) // 4 AND (le32 > be32 * 3 OR be32 > le32 * 3) AS utf32,
       len(list_filter(singles, lambda b: NOT regexp_full_match(b, '[89AB].'))) AS starts,
       len(list_filter(singles, lambda b: regexp_full_match(b, '0[0-8BEF]|1.|7F'))) AS controls,
-      len(list_filter(singles, lambda b: regexp_full_match(b, '[C-F].'))) AS leads FROM scores""",
+      len(list_filter(singles, lambda b: regexp_full_match(b, '[89A-F].'))) AS high,
+      form = 6 AND regexp_full_match(hd, '([0-7].|A8A6|81308135)*') AS whole,
+      regexp_full_match(hd, CASE WHEN form = 6 THEN '([0-7].|A8A6)*(A8)?' ELSE '([0-7].|C3[AB].)*(C3)?' END) AS kana FROM scores""",
 )
-# Bad characters of a lossy decode: every accent of a Latin-1 file, or the one cut at the end.
+# What is not UTF-8 goes down the ladder. A prefix that ends within a character is no Chinese text; its bytes are Japanese
+# letters, one each, unless an accent takes another form. What is left has a bad character for each stray byte.
 REASONS = (
     "reasons",
     """SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN has_bom THEN 'bom' WHEN has_nul AND utf16 THEN 'utf16'
       WHEN has_nul AND utf32 THEN 'utf32' WHEN has_nul THEN 'nul'
       WHEN utf8 AND controls * 10 <= starts THEN 'utf8'
-      WHEN NOT utf8 AND (controls + CASE WHEN form = 6 THEN leads ELSE 1 END) * 10 <= starts THEN 'lossy'
+      WHEN whole AND NOT utf8 THEN 'GBK'
+      WHEN kana AND controls * 10 <= n THEN 'SHIFT_JIS'
+      WHEN NOT utf8 AND form = 6 AND high * 10 <= n THEN 'lossy'
+      WHEN NOT utf8 AND form <> 6 AND (controls + 1) * 10 <= starts THEN 'lossy'
       ELSE 'binary' END AS reason FROM wide""",
 )
 SNIFFED = (DOCS, BYTES, SCORES, WIDE, REASONS)
@@ -165,21 +173,30 @@ ASCII = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
 LATIN_LOST = "regexp_replace(text, '[\\x{80}-\\x{FF}]', chr(65533), 'g')"
 
 
+# Accents of capitals, and sharp s: as bytes they are Japanese letters.
+KANA = "array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) > 127 THEN chr(unicode(c) + 65216) ELSE c END), '')"
+IS_KANA = "NOT regexp_matches(text, '[\\x{E0}-\\x{FF}]')"
+
+
 def spaced(before: int, after: int) -> str:
-    """Text with lost accents and zero characters around every character, as wide bytes read as UTF-8."""
+    """Text with lost accents (or the letters read for them) and zero characters around every character, as
+    wide bytes read by the character."""
     pad = lambda k: " || ".join(["chr(0)"] * k)
     parts = [p for p in (pad(before), "c", pad(after)) if p]
-    return f"array_to_string(list_transform(string_split({LATIN_LOST}, ''), lambda c: {' || '.join(parts)}), '')"
+    read = f"CASE WHEN {IS_KANA} THEN {KANA} ELSE {LATIN_LOST} END"
+    return f"array_to_string(list_transform(string_split({read}, ''), lambda c: {' || '.join(parts)}), '')"
 
 
 DECODED = (
     "decoded",
     f"""SELECT *, CASE form WHEN -1 THEN '' WHEN 0 THEN text WHEN 1 THEN chr(65279) || text WHEN 2 THEN {spaced(0, 1)}
-      WHEN 3 THEN {spaced(1, 0)} WHEN 4 THEN chr(65533) || chr(65533) || {spaced(0, 1)} WHEN 5 THEN {spaced(3, 0)}
-      WHEN 6 THEN {LATIN_LOST} WHEN 7 THEN replace(text, ' ', chr(0)) ELSE replace(text, 'e', chr(1)) END AS out,
-      CASE WHEN form IN (-1, 0, 1, 7, 8) OR (form <> 4 AND {ASCII}) THEN 'UTF-8' ELSE 'UTF-8-LOSSY' END AS encoding
+      WHEN 3 THEN {spaced(1, 0)} WHEN 4 THEN text WHEN 5 THEN {spaced(3, 0)}
+      WHEN 6 THEN text WHEN 7 THEN replace(text, ' ', chr(0)) ELSE translate(text, 'ea', chr(1) || chr(1)) END AS out,
+      CASE WHEN form = 4 THEN 'GBK' WHEN form IN (-1, 0, 1, 7, 8) OR {ASCII} THEN 'UTF-8' WHEN form = 6 THEN 'GBK'
+        WHEN {IS_KANA} THEN 'SHIFT_JIS' ELSE 'UTF-8-LOSSY' END AS encoding
     FROM byte_files""",
 )
+LEGACY = ("legacy", f"""SELECT *, {LEGACY_TEXT} AS body FROM (SELECT doc_id, text, regexp_replace(text, concat('[^ -~', chr(10), ']+'), '', 'g') AS plain FROM doc_files)""")
 
 # ---- rows -----------------------------------------------------------------------------------
 
@@ -435,6 +452,13 @@ ORACLE: dict[str, str] = {
         *SNIFFED, select="SELECT bundle_id, path, length FROM reasons WHERE reason NOT IN ('nul', 'binary')"
     ),
     "decode_ladder": f"SELECT doc_id, text, CASE WHEN {ASCII} THEN 'UTF-8' ELSE 'GBK' END AS encoding FROM documents",
+    "decode_legacy": _with(
+        DOCS, LEGACY,
+        select="""SELECT doc_id, body || CASE doc_id % 6 WHEN 0 THEN chr(128) WHEN 1 THEN '가' WHEN 2 THEN 'c' || chr(129) || 'é'
+            WHEN 3 THEN '€' WHEN 4 THEN chr(65533) ELSE chr(63393) || chr(63423) END AS text,
+          CASE doc_id % 6 WHEN 0 THEN 'SHIFT_JIS' WHEN 1 THEN 'EUC-KR' WHEN 2 THEN 'WINDOWS-1252' WHEN 3 THEN 'GBK'
+            WHEN 4 THEN 'UTF-8-LOSSY' ELSE 'X-USER-DEFINED' END AS encoding FROM legacy""",
+    ),
     "decode_text": _with(
         DOCS, BYTES, DECODED,
         select="SELECT doc_id, md5(out) AS text_md5, CAST(len(out) AS INT) AS chars, encoding FROM decoded",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from catalog import inputs
 from sheaf.functions import globs, paths, sniff, text
+from sheaf.functions.charsets import DEFAULT_ENCODINGS
 from sheaf.functions.globs import Rule, default_rules, parse_rules
 from sheaf.operators import classify, duplicates, exclude, markup, names, paragraphs, segment, summary
 from sheaf.plans.pack import pack, pack_sources
@@ -217,12 +218,12 @@ def meaningful_ratio(spark, sf_dir):
 
 
 def classify_files(spark, sf_dir):
-    known = classify.classify_text(inputs.byte_files(spark, sf_dir), ())
+    known = classify.classify_text(inputs.byte_files(spark, sf_dir))
     return known.select("doc_id", "reason", "is_text")
 
 
 def text_filter(spark, sf_dir):
-    kept = classify.text_filter(inputs.byte_files(spark, sf_dir), ())
+    kept = classify.text_filter(inputs.byte_files(spark, sf_dir))
     return kept.select("bundle_id", "path", "length")
 
 
@@ -231,23 +232,40 @@ def decode_ladder(spark, sf_dir):
     return decoded.select("doc_id", "text", "encoding")
 
 
+# The ladder of each legacy form: what its bytes are, or the one used without a choice.
+LEGACY_LADDERS = (("SHIFT_JIS",), ("EUC-KR",), ("windows-1252",), DEFAULT_ENCODINGS, DEFAULT_ENCODINGS, ("x-user-defined",))
+
+
+def decode_legacy(spark, sf_dir):
+    """Japanese, Korean, Western, Chinese, undecodable and user-defined bytes, each form by its ladder."""
+    known = inputs.legacy_files(spark, sf_dir)
+    parts = [
+        classify.decode_text(known.filter(F.col("doc_id") % len(LEGACY_LADDERS) == i), encodings)
+        for i, encodings in enumerate(LEGACY_LADDERS)
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("doc_id", "text", "encoding")
+
+
 def decode_text(spark, sf_dir):
-    decoded = classify.decode_text(inputs.byte_files(spark, sf_dir), ())
+    decoded = classify.decode_text(inputs.byte_files(spark, sf_dir))
     return decoded.select(
         "doc_id", F.md5("text").alias("text_md5"), F.char_length("text").alias("chars"), "encoding"
     )
 
 
 def decode_wide(spark, sf_dir):
-    known = classify.classify_text(inputs.byte_files(spark, sf_dir), ())
-    decoded = classify.decode_text(known, (), detect_wide=True)
+    known = classify.classify_text(inputs.byte_files(spark, sf_dir))
+    decoded = classify.decode_text(known, detect_wide=True)
     return decoded.select(
         "doc_id", F.md5("text").alias("text_md5"), F.char_length("text").alias("chars"), "encoding"
     )
 
 
 def encoding_audit(spark, sf_dir):
-    return classify.encoding_audit(inputs.byte_files(spark, sf_dir), ())
+    return classify.encoding_audit(inputs.byte_files(spark, sf_dir))
 
 
 # ---- paragraphs and markup ------------------------------------------------------------------
@@ -455,7 +473,7 @@ UNION ALL SELECT regexp_extract(url, '^https?://([^/]+)/', 1), CAST(-1 - page_id
 
 
 def pack_summary(spark, sf_dir):
-    return summary.pack_summary(classify.classify_text(inputs.byte_files(spark, sf_dir), ()))
+    return summary.pack_summary(classify.classify_text(inputs.byte_files(spark, sf_dir)))
 
 
 def _sources(spark, sf_dir):
@@ -520,7 +538,7 @@ def path_parts(spark, sf_dir):
 
 
 def pack_paragraphs(spark, sf_dir):
-    rows = pack(inputs.byte_files(spark, sf_dir), encodings=()).paragraphs
+    rows = pack(inputs.byte_files(spark, sf_dir)).paragraphs
     return rows.groupBy("bundle_id", "path").agg(
         F.count("*").alias("rows"),
         F.sum(F.char_length("text").cast("bigint")).alias("chars"),
@@ -565,7 +583,7 @@ def roundtrip_diff(spark, sf_dir):
 
 def pack_progress(spark, sf_dir):
     seen, sniffed = Observation("seen"), Observation("sniffed")
-    run = observe_pack(inputs.byte_files(spark, sf_dir), default_rules(), [], seen, sniffed)
+    run = observe_pack(inputs.byte_files(spark, sf_dir), default_rules(), DEFAULT_ENCODINGS, seen, sniffed)
     run.write.format("noop").mode("overwrite").save()
     row = seen.get | sniffed.get
     return spark.createDataFrame(
@@ -604,7 +622,7 @@ QUERIES = {
         rules_parsed, rules_literal, rules_added, ruleset_precedence, glob_cases,
         exclude_default, exclude_custom, exclude_join, exclusion_audit, pattern_list,
         sniff_bom, sniff_nul, sniff_utf16, sniff_utf32, meaningful_ratio, classify_files, text_filter,
-        decode_ladder, decode_text, decode_wide, encoding_audit,
+        decode_ladder, decode_legacy, decode_text, decode_wide, encoding_audit,
         explode_lines, build_paragraphs, heading_counts, path_normalize, bundle_header, clean_text,
         render_paragraphs, assemble_bundle, parse_markup, parse_foreign,
         segment_turns, segment_docs, unpack_files, unpack_seq, unpack_sparse, unpack_compat, unpack_edge,
