@@ -48,7 +48,8 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # No group stands under a star: such are matched by recursion, as deep as the text is long.
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{20,}", True),
     Rule("login", r"://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&*+,;=-]+@"),
 )

@@ -50,6 +50,21 @@ def test_equal_to_plain_search(spark, seed):
     assert ours(spark, rows) == sorted(((d, *plain(t)) for d, t in rows), key=repr)
 
 
+def test_long_repeats_of_every_piece(spark):
+    """Pieces of rules repeated over a megabyte, open and closed, neither exhaust the stack nor lose a match."""
+    n = 1_000_000
+    many = lambda piece: piece * (n // len(piece))
+    texts = [
+        "-----BEGIN " + many("AB ") + "PRIVATE KEY-----", "-----BEGIN " + many("AB "), many("-----BEGIN "), many("PRIVATE KEY-----"),
+        "token" + many(" ") + "= abcdefgh", "secret=" + many("a"), many("password"), many("AKIA"), many("0f"), "ghp_" + many("a"), many("ghp_"),
+        "xoxb-" + many("1-"), "AIza" + many("-"), "bearer " + many("t."), "bearer" + many(" "), "://" + many("u") + ":" + many("p") + "@", many("://a:"),
+        "eyJ" + many("a") + ".eyJ" + many("b") + "." + many("c"),
+    ]
+    rows = list(enumerate(texts))
+    got = {r[0]: r[1:] for r in ours(spark, rows)}
+    assert got == {d: plain(t) for d, t in rows}
+
+
 def test_smallest_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = ours(spark, rows)
