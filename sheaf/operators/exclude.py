@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.globs import Rule, is_excluded, rule_regex_column
@@ -12,8 +12,9 @@ from sheaf.functions.paths import components
 from sheaf.functions.text import forward_slashes
 
 
-# Globs of a ruleset that travel in one array.
-GLOBS_PER_ROW = 1000
+# Globs of one tree, and the levels below its root.
+LEVELS = 9
+GLOBS_PER_TREE = 1 << LEVELS
 
 
 def exclude_filter(files: DataFrame, rules: Sequence[Rule], path: str = "path") -> DataFrame:
@@ -24,8 +25,8 @@ def exclude_filter(files: DataFrame, rules: Sequence[Rule], path: str = "path")
     return files.filter(kept)
 
 
-# How a rule can be looked up: by a whole component, by what follows a component's last dot, or
-# only by running its regex.
+# How a rule can be looked up: by a whole component, by what follows a component's last dot, or only by running
+# its regex, then if possible on paths of its first folder alone.
 def _rule_kind(pattern: Column, anchored: Column) -> Column:
     bare = ~anchored & ~pattern.contains("/") & (pattern != "")
     return (
@@ -35,23 +36,62 @@ def _rule_kind(pattern: Column, anchored: Column) -> Column:
     )
 
 
+def _first_folder(pattern: Column, anchored: Column, directory_only: Column) -> Column:
+    """The first folder every path has that a glob can hit; '' if any may do."""
+    rooted = F.regexp_replace(pattern, "^/", "")
+    first = F.substring_index(rooted, "/", 1)
+    # A pattern with a slash is read from the root, and one for folders literally.
+    fixed = (anchored | F.contains(pattern, F.lit("/"))) & ((directory_only & ~rooted.startswith("/")) | ~first.rlike(r"[*?]"))
+    return F.when(fixed, first).otherwise("")
+
+
+def _trees(globs: DataFrame, keys: list[str]) -> DataFrame:
+    """Globs (keys, rule, regex) as search trees over the order of rules.
+
+    A tree is an array, the children of node ``i`` at ``2i + 1`` and ``2i + 2``. A node holds the alternation of the
+    regexes below it, so a path that hits a node hits one of its rules; later rules are to the right.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("rule")) - 1
+    sets = globs.withColumn("tree", F.floor(place / GLOBS_PER_TREE)).groupBy(*keys, "tree").agg(F.array_sort(F.collect_list(F.struct("rule", "regex"))).alias("leaves"))
+    levels = F.ceil(F.log2(F.size("leaves").cast("double"))).cast("int")
+
+    nodes = F.expr("""flatten(transform(sequence(0, levels), k -> transform(sequence(0, shiftleft(1, k) - 1),
+        i -> nullif(array_join(slice(leaves.regex, i * shiftleft(1, levels - k) + 1, shiftleft(1, levels - k)), '|'), ''))))""")
+    return sets.withColumn("levels", levels).select(*keys, nodes.alias("nodes"), F.col("leaves.rule").alias("rules"))
+
+
+# The last rule of a tree that hits a path: from the root to the right wherever that side hits, else to the left. Most paths
+# hit nothing; the root is an expression of its own, whose regex stays compiled from row to row.
+LAST_IN_TREE = f"""CASE WHEN regexp_instr(norm, get(nodes, 0)) > 0 THEN get(rules, reduce(sequence(1, {LEVELS}), 0,
+    (at, level) -> CASE WHEN 2 * at + 2 >= size(nodes) THEN at WHEN regexp_instr(norm, get(nodes, 2 * at + 2)) > 0 THEN 2 * at + 2 ELSE 2 * at + 1 END)
+  - shiftright(size(nodes), 1)) END"""
+
+# What a path is looked up by.
+LOOKUPS = """array_compact(concat(
+  array_distinct(array(named_struct('kind', 'glob', 'key', ''), named_struct('kind', 'glob', 'key', substring_index(norm, '/', 1)))),
+  flatten(transform(array_distinct(pieces), p -> array(named_struct('kind', 'name', 'key', p),
+    CASE WHEN contains(p, '.') THEN named_struct('kind', 'extension', 'key', concat('.', substring_index(p, '.', -1))) END)))))"""
+
+
 def rule_hits(
     paths: DataFrame, rules: DataFrame, ruleset: str = "ruleset_id", path: str = "path"
 ) -> DataFrame:
     """Deciding rule per (ruleset, path): columns ruleset, path, rule_ord, negated.
 
     ``paths`` holds a ruleset name per path. Most rules name a component or an extension, so they
-    are found by equi-joins on the pieces of the path. What is left are true globs: those of a
-    ruleset travel in arrays and are tried on its paths only, again after an equi-join. No pair
-    of path and rule is built that does not share a key. Spark picks the join from the sizes it
-    measures. Only (ruleset, path) is shuffled, never content, and a rule is one number: its place
-    and its sign, so that the last one is a plain maximum, taken before the shuffle as well.
+    are found by equi-joins on the pieces of the path. What is left are true globs: they travel in search trees, one
+    or more for each first folder that globs of a ruleset share, and a path meets the trees of its own folder and those
+    without one. All of that is a single equi-join, so no pair of path and rule is built that does not share a key, and
+    paths are read once. Spark picks the join from the sizes it measures. Only (ruleset, path) is shuffled, never
+    content, and a rule is one number: its place and its sign, so that the last one is a plain maximum, taken before
+    the shuffle as well.
     """
     r = rules.select(
         F.col("ruleset_id").alias(ruleset),
         "pattern",
         (F.col("rule_ord").cast("bigint") * 2 + F.col("negated").cast("int")).alias("rule"),
         _rule_kind(F.col("pattern"), F.col("anchored")).alias("kind"),
+        _first_folder(F.col("pattern"), F.col("anchored"), F.col("directory_only")).alias("folder"),
         rule_regex_column(F.col("pattern"), F.col("directory_only"), F.col("anchored")).alias("regex"),
     )
     # The last rule of a kind and key is the only one that can decide, so one row per key is joined.
@@ -60,35 +100,19 @@ def rule_hits(
         .groupBy(ruleset, "kind", F.regexp_replace("pattern", r"^\*\.", ".").alias("key"))
         .agg(F.max("rule").alias("rule"))
     )
-    globs = (
-        r.filter((F.col("kind") == "glob") & F.col("regex").isNotNull())
-        .groupBy(ruleset, F.floor(F.col("rule") / (2 * GLOBS_PER_ROW)).alias("chunk"))
-        .agg(F.collect_list(F.struct("rule", "regex")).alias("globs"))
-    )
-    names = paths.select(ruleset, path).withColumn("norm", forward_slashes(F.col(path)))
-
-    piece = F.explode(F.array_distinct(components(F.col("norm")))).alias("piece")
-    extension = F.struct(
-        F.lit("extension").alias("kind"),
-        F.concat(F.lit("."), F.substring_index("piece", ".", -1)).alias("key"),
-    )
-    lookup = F.array(
-        F.struct(F.lit("name").alias("kind"), F.col("piece").alias("key")),
-        F.when(F.contains("piece", F.lit(".")), extension),
-    )
-    lookups = (
-        names.select(ruleset, path, piece)
-        .select(ruleset, path, F.explode(F.array_compact(lookup)).alias("lookup"))
-        .select(ruleset, path, "lookup.kind", "lookup.key")
-    )
-    by_key = lookups.join(keyed, [ruleset, "kind", "key"]).select(ruleset, path, "rule")
-
-    tried = F.filter("globs", lambda g: F.rlike("norm", g["regex"]))
-    by_glob = names.join(globs, ruleset).select(
-        ruleset, path, F.array_max(F.transform(tried, lambda g: g["rule"])).alias("rule")
-    )
+    globs = r.filter((F.col("kind") == "glob") & F.col("regex").isNotNull()).withColumn("key", F.col("folder"))
+    trees = _trees(globs.select(ruleset, "kind", "key", "rule", "regex"), [ruleset, "kind", "key"])
+    known = keyed.unionByName(trees, allowMissingColumns=True)
+
+    # Neighbouring paths of one ruleset and folder try the same regexes, which then stay compiled.
+    names = paths.select(ruleset, path).withColumn("norm", forward_slashes(F.col(path))).sortWithinPartitions(ruleset, "norm")
+    pieces = names.select(ruleset, path, "norm", components(F.col("norm")).alias("pieces"))
+    met = pieces.select(ruleset, path, "norm", F.expr(f"explode({LOOKUPS})").alias("lookup"))
+    met = met.select(ruleset, path, "norm", "lookup.kind", "lookup.key").join(known, [ruleset, "kind", "key"])
+    # One expression for trees of any folder and one for those of the path's own: each keeps the regex it has compiled.
+    found = F.expr(f"CASE WHEN kind <> 'glob' THEN rule WHEN key = '' THEN {LAST_IN_TREE} ELSE {LAST_IN_TREE} END")
     return (
-        by_key.unionByName(by_glob)
+        met.select(ruleset, path, found.alias("rule"))
         .groupBy(ruleset, path)
         .agg(F.max("rule").alias("rule"))
         .filter("rule IS NOT NULL")

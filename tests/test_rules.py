@@ -15,7 +15,7 @@ from sheaf.functions.globs import (
     rule_regex,
     rule_regex_column,
 )
-from sheaf.operators.exclude import exclude_filter, exclude_join, exclusion_audit, list_patterns
+from sheaf.operators.exclude import exclude_filter, exclude_join, exclusion_audit, list_patterns, rule_hits
 from sheaf.sources.rules import default_rules_table, parse_rule_lines, resolve_ruleset, rules_table, scan_rules
 
 # Per way of matching: (defaults first?, rule lines, excluded, kept).
@@ -175,6 +175,25 @@ def test_last_hit_decides_lists_and_tables_agree(spark):
         assert {r.path for r in kept} == {p for p in paths if not want[p]}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 1300])
+def test_trees_of_globs(spark, n):
+    """Sets of globs of any size, more than a tree holds among them: the last that hits decides."""
+    rnd = random.Random(n)
+    names = ["a", "b", "c", "d", "e.x", "f.y"]
+    parts = [*names, "*", "?", "**", "*.x", "[e]*", "e?x", "a*"]
+    lines = ["/".join(rnd.choices(parts, k=rnd.randint(1, 4))) for _ in range(n)]
+    rules = parse_rules("\n".join(rnd.choice(["", "!"]) + rnd.choice(["", "", "/"]) + x + rnd.choice(["", "", "/"]) for x in lines))
+    paths = sorted({"/".join(rnd.choices(names, k=rnd.randint(1, 4))) for _ in range(200)})
+    files = spark.createDataFrame([("s", p) for p in paths], "ruleset_id string, path string")
+    got = {r.path: (r.rule_ord, r.negated) for r in rule_hits(files, rules_table(spark, "s", rules)).collect()}
+    want = {}
+    for p in paths:
+        decided = [(i, r.negated) for i, r in enumerate(rules) if hits(r, p)]
+        if decided:
+            want[p] = decided[-1]
+    assert got == want
+
+
 def test_lines_parse_alike_in_lists_and_tables(spark):
     lines = ["*.log", "  x/ ", "# c", "", "!", "!/a", "//b", "/", "/c/", "!d\\ e/", "\\#f", "a\\", " g\u3000",
              "!!h", "\\!i", "/\\/j", "!//k/"]
