@@ -17,7 +17,7 @@ from catalog.inputs import (
     RULE_LINES,
     TURN_STREAM,
 )
-from catalog.queries import BY_SITE, IN_USE, OFFERS, OUT_IN_USE, REQUESTS, SEQ_SPAN, SOURCES
+from catalog.queries import BY_SITE, IN_USE, OFFERS, ON_THE_WAY, OUT_IN_USE, REQUESTS, SEQ_SPAN, SOURCES
 
 
 def _with(*ctes: tuple[str, str], select: str) -> str:
@@ -334,6 +334,11 @@ NAMED = (
         max(explicit) AS explicit FROM sources GROUP BY bundle_id) f ON f.bundle_id = c.bundle_id)""",
 )
 
+# Lists of lines without empty ones at the end, without blanks at both ends of lines, and without blank lines.
+END = "rtrim(array_to_string({}, chr(10)), chr(10))"
+BARE = "list_transform({}, lambda l: trim(l, ' ' || chr(9)))"
+FULL = "list_filter({}, lambda l: trim(l, ' ' || chr(9)) <> '')"
+
 # ---- the texts ------------------------------------------------------------------------------
 
 # The custom rules from the last to the first; the first that hits decides. A folder rule with a
@@ -664,6 +669,19 @@ ORACLE: dict[str, str] = {
           n AS lines_before, CASE WHEN tail IN ('5', '7') THEN NULL WHEN tail = '3' THEN greatest(n, 1) + 1 ELSE n END AS lines_after FROM counted
         UNION ALL SELECT bundle_id, 'new/' || path, 'added', NULL, n FROM counted WHERE tail = '5'""",
     ),
+    "roundtrip_reasons": _with(
+        DIRTY,
+        ("files", f"""SELECT bundle_id, path, text AS was, {NORMAL} AS content, regexp_extract(path, '([0-9])[.][a-z]+$', 1) AS tail FROM dirty_files"""),
+        ("ways", f"SELECT bundle_id, path, was, {ON_THE_WAY} AS now FROM files"),
+        ("lists", f"""SELECT *, {lines_of("was")} AS b, {lines_of("now")} AS a FROM ways"""),
+        ("kinds", f"""SELECT *, {END.format("b")} = {END.format("a")} AS exact, {END.format(BARE.format("b"))} = {END.format(BARE.format("a"))} AS trimmed,
+          {FULL.format("b")} = {FULL.format("a")} AS whole, {BARE.format(FULL.format("b"))} = {BARE.format(FULL.format("a"))} AS bare FROM lists"""),
+        select="""SELECT bundle_id, path, CASE WHEN exact THEN 'same' ELSE 'changed' END AS status,
+          CASE WHEN exact THEN CASE WHEN rtrim(was, chr(10)) <> rtrim(now, chr(10)) THEN 'line_ends' END WHEN trimmed THEN 'outer_blanks'
+            WHEN whole THEN 'blank_lines' WHEN bare THEN 'blanks' ELSE 'content' END AS reason,
+          CASE WHEN NOT exact THEN list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: coalesce(a[i], '') <> coalesce(b[i], ''))[1] END AS first_line
+        FROM kinds""",
+    ),
     "pack_progress": _with(
         *SNIFFED,
         select=f"""SELECT count(*) AS total, count(*) FILTER (x) AS excluded, count(*) FILTER (NOT x AND t) AS kept,

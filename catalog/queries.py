@@ -13,7 +13,7 @@ from catalog import inputs
 from sheaf.functions import globs, paths, sniff, text
 from sheaf.functions.charsets import DEFAULT_ENCODINGS
 from sheaf.functions.globs import Rule, default_rules, parse_rules
-from sheaf.operators import classify, duplicates, exclude, markup, names, paragraphs, segment, summary
+from sheaf.operators import classify, differences, duplicates, exclude, markup, names, paragraphs, segment, summary
 from sheaf.plans.pack import pack, pack_sources
 from sheaf.plans.unpack import unpack, unpack_report, unpack_stream
 from sheaf.sources import bundles, files, rules
@@ -578,6 +578,19 @@ def roundtrip_diff(spark, sf_dir):
     return summary.roundtrip_diff(before, changed)
 
 
+# What happens to files on the way, by the last digit of their names.
+ON_THE_WAY = """CASE tail WHEN '1' THEN concat('  ', content) WHEN '2' THEN concat(chr(10), content) WHEN '3' THEN concat(content, chr(10), 'more')
+  WHEN '4' THEN concat(chr(10), ' ', content) WHEN '5' THEN replace(content, chr(10), concat(chr(13), chr(10)))
+  WHEN '6' THEN replace(content, 'q', 'Q') ELSE content END"""
+
+
+def roundtrip_reasons(spark, sf_dir):
+    """Why files differ after a way on which blanks, empty lines, line ends and text change, and from which line on."""
+    before = _dirty_texts(spark, sf_dir).withColumn("ord", F.col("doc_id"))
+    after = unpack(_dirty_paragraphs(spark, sf_dir)).withColumn("tail", F.regexp_extract("path", r"(\d)\.\w+$", 1))
+    return differences.explain_diff(before, after.select("bundle_id", "path", "part_no", F.expr(ON_THE_WAY).alias("content")))
+
+
 # ---- streams --------------------------------------------------------------------------------
 
 
@@ -628,7 +641,7 @@ QUERIES = {
         segment_turns, segment_docs, unpack_files, unpack_seq, unpack_sparse, unpack_compat, unpack_edge,
         validate_paths, unpack_strict, unpack_dedup, unpack_summary, unpack_outcome, unpack_batch,
         duplicate_paths, first_duplicate, reject_duplicates, pack_summary, common_parent, output_names,
-        allocate_names, resolve_output_names, path_parts, pack_paragraphs, pack_many_sources, roundtrip_diff,
+        allocate_names, resolve_output_names, path_parts, pack_paragraphs, pack_many_sources, roundtrip_diff, roundtrip_reasons,
         pack_progress, pack_stream, duplicate_guard_stream,
     )
 }
