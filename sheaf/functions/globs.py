@@ -160,6 +160,62 @@ def is_excluded(path: Column, rules: Sequence[Rule]) -> Column:
     return F.lit(False) if case is None else case.otherwise(False)
 
 
+def _covers(rule: Rule) -> list[str]:
+    """Regexes over a folder with a slash behind it; one that is found says that the rule hits every path below."""
+    if not rule.pattern:
+        return []
+    found = []
+    rooted = rule.pattern.removeprefix("/")
+    by_path = rule.anchored or "/" in rule.pattern
+    if not by_path:
+        found.append(f"(?s)(?:^|/)(?:{glob_regex(rule.pattern, in_component=True)})/")
+    elif rule.directory_only:
+        found.append(f"(?s)^{quote(rooted)}/")
+    if rooted.endswith("**") and not rule.directory_only:
+        found.append(f"(?s)^{glob_regex(rooted)}\\z")
+    return found
+
+
+def _touches(rule: Rule) -> str | None:
+    """The regex over a folder with a slash behind it that is found if the rule may hit a path below; None never does.
+
+    What is left of a glob below a folder is told by its leading components: each has to match that of the folder, and
+    a glob without ``**`` needs one more than the folder has.
+    """
+    if not rule.pattern:
+        return None
+    if not rule.anchored and "/" not in rule.pattern:
+        return ""
+    rooted = rule.pattern.removeprefix("/")
+    parts = rooted.split("/")
+    if rule.directory_only:
+        lead, rest = [quote(x) for x in parts], ".*"
+    else:
+        free = next((i for i, x in enumerate(parts) if "**" in x), None)
+        lead = [glob_regex(x) for x in (parts[:-1] if free is None else parts[:free])]
+        rest = "" if free is None else ".*"
+    nested = rest
+    for part in reversed(lead):
+        nested = f"(?:{part}/{nested})?"
+    return f"(?s)^{nested}\\z"
+
+
+def is_closed(folder: Column, rules: Sequence[Rule]) -> Column:
+    """True where rules exclude every path below a folder, so that it need not be opened.
+
+    From the last rule to the first: one that takes paths back and may hit one below leaves the folder open, one that
+    excludes all below closes it.
+    """
+    path = F.concat(F.replace(folder, F.lit("\\"), F.lit("/")), F.lit("/"))
+    case = None
+    for rule in reversed(rules):
+        regexes = [x for x in [_touches(rule)] if x is not None] if rule.negated else _covers(rule)
+        for regex in regexes:
+            hit = path.rlike(regex)
+            case = F.when(hit, not rule.negated) if case is None else case.when(hit, not rule.negated)
+    return F.lit(False) if case is None else case.otherwise(False)
+
+
 # ---- rule tables ----------------------------------------------------------------------------
 
 

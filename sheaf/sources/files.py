@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.charsets import DEFAULT_ENCODINGS
-from sheaf.functions.globs import Rule
+from sheaf.functions.globs import Rule, is_closed
 from sheaf.functions.sniff import SNIFF_BYTES
 from sheaf.operators.classify import classify_text
 from sheaf.operators.exclude import exclude_filter
@@ -23,9 +23,11 @@ READ_BATCH_BYTES = 32 * 1024 * 1024
 LIST_ROWS = 50_000
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
+def list_tree(spark: SparkSession, root: str, rules: Sequence[Rule] = ()) -> DataFrame:
     """Regular files below a folder all executors can reach: path (relative), length, and raw.
 
+    Folders below which ``rules`` exclude every path are not opened; other files are listed, excluded or not.
+
     The tree is listed level by level, the folders of a level spread over the executors, so one
     crowded branch does not end up in one task. Every level is a written table. Folders and entries
     that cannot be read, or are gone meanwhile, are passed over; links are not followed. ``raw`` is the
@@ -70,7 +72,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
         table = shared_dir(spark, "tree-level")
         folders.repartition("raw").mapInPandas(list_folders, schema).write.parquet(table)
         tables.append(table)
-        folders = spark.read.schema(schema).parquet(table).filter("is_dir").select("raw")
+        folders = spark.read.schema(schema).parquet(table).filter("is_dir").filter(~is_closed(F.col("path"), rules)).select("raw")
     return spark.read.schema(schema).parquet(*tables).filter("NOT is_dir").select("path", "length", "raw")
 
 
@@ -110,7 +112,7 @@ def sniff_tree(
     encodings: Sequence[str] = DEFAULT_ENCODINGS,
 ) -> DataFrame:
     """Files of a folder with reason and is_text, of which only the first bytes are read."""
-    listing = exclude_filter(list_tree(spark, root), rules)
+    listing = exclude_filter(list_tree(spark, root, rules), rules)
     heads = read_contents(listing, root, "head", SNIFF_BYTES)
     return classify_text(heads, encodings).drop("head")
 
@@ -119,7 +121,7 @@ def scan_tree(
     spark: SparkSession, root: str, rules: Sequence[Rule] = (), bundle_id: str = "0", source_ord: int = 0
 ) -> DataFrame:
     """Files table of a folder. Rules apply to the listing, before any content is read."""
-    listing = exclude_filter(list_tree(spark, root), rules)
+    listing = exclude_filter(list_tree(spark, root, rules), rules)
     return read_contents(listing, root).select(
         F.lit(bundle_id).alias("bundle_id"),
         F.lit(source_ord).alias("source_ord"),

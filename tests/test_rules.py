@@ -9,6 +9,7 @@ from sheaf.functions.globs import (
     Rule,
     added_rule,
     default_rules,
+    is_closed,
     is_excluded,
     literal_rules,
     parse_rules,
@@ -175,6 +176,48 @@ def test_last_hit_decides_lists_and_tables_agree(spark):
         assert {r.path for r in kept} == {p for p in paths if not want[p]}
 
 
+def test_closed_folders_hold_nothing_that_stays(spark):
+    """Every path over a small alphabet, random rules: a closed folder has no path below that is kept."""
+    rnd = random.Random(8)
+    names = ["a", "b", "a.b", "ab"]
+    level = [(x,) for x in names]
+    paths = list(level)
+    for _ in range(3):
+        level = [(*p, x) for p in level for x in names]
+        paths += level
+    paths = ["/".join(p) for p in paths]
+    folders = [p for p in paths if p.count("/") < 3]
+    parts = [*names, "*", "?", "**", "a*", "*b", "a**", "?.b", "**b"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    closed_count = 0
+    for _ in range(25):
+        rules = []
+        for _ in range(rnd.randrange(1, 5)):
+            glob = "/".join(rnd.choices(parts, k=rnd.choice([1, 1, 2, 3])))
+            rules += parse_rules(rnd.choice(["", "", "!"]) + rnd.choice(["", "/"]) + glob + rnd.choice(["", "/"]))
+        rows = df.select("path", is_excluded(F.col("path"), rules).alias("gone"), is_closed(F.col("path"), rules).alias("closed")).collect()
+        kept = [r.path for r in rows if not r.gone]
+        for r in rows:
+            if r.closed and r.path in folders:
+                assert not [p for p in kept if p.startswith(r.path + "/")], (rules, r.path)
+        closed = {r.path for r in rows if r.closed}
+        closed_count += len(closed)
+        if not any(x.negated for x in rules):  # without exceptions a folder that a plain name excludes is closed
+            assert {p for p in folders for x in rules if x.pattern == p.split("/")[-1] and not x.anchored} <= closed
+    assert closed_count > 200
+
+
+def test_exceptions_keep_folders_open(spark):
+    cases = [
+        ("build", "build", True), ("build", "x/build/y", True), ("build\n!keep", "build", False), ("build\n!/src/*.md", "build", True),
+        ("build\n!/build/*.md", "build", False), ("build\n!/build/*.md", "build/x", True), ("build\n!**/x", "build", False), ("a/**", "a", True),
+        ("a/*", "a", False), ("/a/b/", "a/b/c", True), ("/a/b/", "a", False), ("!x\nbuild", "build", True), ("build\n!/build/x/", "build/x/y", False),
+        ("build\n!/build/x/", "build/z", True), ("*.d", "lib.d", True), ("*.d\n!/?ib.d/a/*", "lib.d", False), ("*.d\n!/?ib.d/a/*", "lib.d/b", True),
+    ]
+    got = spark.range(1).select(*[is_closed(F.lit(path), parse_rules(rules)) for rules, path, _ in cases]).first()
+    assert list(got) == [want for _, _, want in cases]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 1300])
 def test_trees_of_globs(spark, n):
     """Sets of globs of any size, more than a tree holds among them: the last that hits decides."""

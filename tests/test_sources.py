@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from sheaf.functions.globs import Rule, default_rules
+from sheaf.functions.globs import Rule, default_rules, parse_rules
+from sheaf.operators.exclude import exclude_filter
 from sheaf.plans.pack import pack, pack_sources, pack_tree
 from sheaf.session import shared_dir
-from sheaf.sources.files import read_files, scan_sources, scan_tree, union_sources
+from sheaf.sources.files import list_tree, read_files, scan_sources, scan_tree, union_sources
 from sheaf.sources.bundles import read_bundle, write_bundle
 from sheaf.streaming.pack_stream import drain, guard_duplicates, pack_arrivals, start_append
 from sheaf.streaming.progress import observe_pack
@@ -38,6 +39,19 @@ def test_tree_scan_keeps_empty_and_marked_names(spark, tree):
     assert all(r.length == len(files[r.path]) for r in ruled.collect())
 
 
+def test_excluded_folders_are_not_opened(spark, tmp_path):
+    for name in ("a/x.txt", "a/build/y.txt", "a/build/keep/z.md", "node_modules/p/q.js", "node_modules/keep.md", "c/.git/h", "c/d/e.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    rules = default_rules() + parse_rules("*.log\n!/a/build/keep/*.md")
+    every = list_tree(spark, str(tmp_path))
+    walked = list_tree(spark, str(tmp_path), rules)
+    assert {r.path for r in walked.collect()} == {"a/x.txt", "a/build/y.txt", "a/build/keep/z.md", "c/d/e.log"}
+    kept = lambda df: sorted(r.path for r in exclude_filter(df, rules).collect())
+    assert kept(walked) == kept(every) == ["a/build/keep/z.md", "a/x.txt"]
+    assert sorted(r.path for r in scan_tree(spark, str(tmp_path), rules).collect()) == kept(every)
+
+
 def test_several_sources(spark, tree, tmp_path):
     root, _ = tree
     single = tmp_path / "notes.log"
