@@ -365,6 +365,24 @@ ORACLE: dict[str, str] = {
     "scan_tree": _with(
         DOCS, select=f"SELECT path, strlen(text) AS length, md5(text) AS content_md5 FROM doc_files WHERE NOT {CUSTOM_HIT}"
     ),
+    "scan_given_sources": _with(
+        DOCS,
+        ("numbered", "SELECT bundle_id, CAST(row_number() OVER (ORDER BY bundle_id) AS INT) AS source_ord FROM (SELECT DISTINCT bundle_id FROM doc_files)"),
+        ("below", "SELECT source_ord, substr(path, len(bundle_id) + 2) AS path, text FROM doc_files JOIN numbered USING (bundle_id)"),
+        select=f"""SELECT source_ord, false AS direct, path, strlen(text) AS length, md5(text) AS content_md5 FROM below WHERE NOT ({default_hit("path")})
+        UNION ALL SELECT 0, true, {name_of("path")}, strlen(text), md5(text) FROM doc_files WHERE path = (SELECT min(path) FROM doc_files)""",
+    ),
+    "pack_given_tree": _with(
+        DOCS,
+        ("doc_rows", paragraphs_of("doc_files")),
+        select=f"""SELECT path, count(*) AS rows, CAST(sum(len(text)) AS BIGINT) AS chars FROM doc_rows WHERE NOT {CUSTOM_HIT} GROUP BY path""",
+    ),
+    "scan_rule_files": _with(
+        ("given", RULE_LINES),
+        ("rule_lines", "SELECT ruleset_id, CAST(row_number() OVER (PARTITION BY ruleset_id ORDER BY line_no, line) - 1 AS INT) AS line_no, line FROM given"),
+        PARSED,
+        select="SELECT * FROM parsed",
+    ),
     "scan_sources": _with(
         DOCS,
         PAGES,

@@ -14,7 +14,7 @@ from sheaf.functions import globs, paths, sniff, text
 from sheaf.functions.charsets import DEFAULT_ENCODINGS
 from sheaf.functions.globs import Rule, default_rules, parse_rules
 from sheaf.operators import classify, differences, duplicates, exclude, markup, names, paragraphs, segment, summary
-from sheaf.plans.pack import pack, pack_sources
+from sheaf.plans.pack import pack, pack_sources, pack_tree
 from sheaf.plans.unpack import unpack, unpack_report, unpack_stream
 from sheaf.sources import bundles, files, rules
 from sheaf.session import shared_dir
@@ -83,6 +83,52 @@ def scan_tree(spark, sf_dir):
     return spark.read.parquet(table)
 
 
+def _kept(df, root, label):
+    """What was read from a tree, as a table, and the tree removed."""
+    table = shared_dir(df.sparkSession, label)
+    df.write.parquet(table)
+    shutil.rmtree(root)
+    return df.sparkSession.read.parquet(table)
+
+
+def scan_given_sources(spark, sf_dir):
+    """A single file, then the folder of every source, read from a tree."""
+    root = _written_tree(spark, sf_dir)
+    docs = inputs.doc_files(spark, sf_dir)
+    single = docs.agg(F.min("path")).first()[0]
+    folders = sorted(r[0] for r in docs.select("bundle_id").distinct().collect())
+    found = files.scan_sources(spark, [os.path.join(root, x) for x in (single, *folders)], default_rules())
+    shown = exclude.exclude_filter(found, default_rules())
+    return _kept(shown.select("source_ord", "direct", "path", "length", F.md5("content").alias("content_md5")), root, "sources")
+
+
+def pack_given_tree(spark, sf_dir):
+    """Lines and characters of every file packed straight from a tree."""
+    root = _written_tree(spark, sf_dir)
+    rows = pack_tree(spark, root, default_rules() + parse_rules(CUSTOM_RULES)).paragraphs
+    counted = rows.groupBy("path").agg(F.count("*").alias("rows"), F.sum(F.char_length("text").cast("bigint")).alias("chars"))
+    return _kept(counted, root, "packed")
+
+
+def scan_rule_files(spark, sf_dir):
+    """The rules of every source, written as a file of lines and read from it."""
+    root = os.path.join(urlparse(shared_dir(spark, "rules")).path, "root")
+
+    def write(batches):
+        for batch in batches:
+            os.makedirs(root, exist_ok=True)
+            for name, body in zip(batch["ruleset_id"], batch["body"]):
+                with open(os.path.join(root, name), "wb") as f:
+                    f.write(body.encode())
+            yield batch[["ruleset_id"]]
+
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: F.concat(r["line"], F.lit("\n")))
+    sets = inputs.rule_lines(spark, sf_dir).groupBy("ruleset_id").agg(F.array_join(ordered, "").alias("body"))
+    sets.mapInPandas(write, "ruleset_id string").write.format("noop").mode("overwrite").save()
+    parsed = rules.parse_rule_lines(rules.scan_rules(spark, root))
+    return _kept(parsed.withColumn("ruleset_id", paths.base_name(F.col("ruleset_id"))), root, "rule-files")
+
+
 def scan_sources(spark, sf_dir):
     both = files.union_sources([_text_files(spark, sf_dir), _direct_pages(spark, sf_dir)])
     return exclude.exclude_filter(both, default_rules()).drop("content")
@@ -631,7 +677,7 @@ def duplicate_guard_stream(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        files_and_lines, scan_files, scan_tree, scan_sources, sniff_prefix, bundle_roundtrip,
+        files_and_lines, scan_files, scan_tree, scan_given_sources, pack_given_tree, scan_rule_files, scan_sources, sniff_prefix, bundle_roundtrip,
         rules_parsed, rules_literal, rules_added, ruleset_precedence, glob_cases,
         exclude_default, exclude_custom, exclude_join, exclusion_audit, pattern_list,
         sniff_bom, sniff_nul, sniff_utf16, sniff_utf32, meaningful_ratio, classify_files, text_filter,
