@@ -32,9 +32,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.llm.arrays import ALNUM, NOT_SPACE, Slice, Spans, counts_by_row, hashes, mix, prefix_hash, slices, span_hash, words
 from sheaf.llm.near import written
+from sheaf.llm.tables import add_by_text
 
 MAX_LABELS = 20_000
 MAX_TERMS = 2_000
@@ -310,8 +312,19 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns. ``__text`` must not be one of them."""
+    """The documents that are not predicted toxic, with their columns, whatever they are called. A text goes to the
+    worker once and comes back in slices, so memory does not grow with the size of a batch."""
     model = fit(docs, labels)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
-    kept = score(packed, model).filter(F.col("score") < THRESHOLD)
-    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    names = docs.columns
+    plain = docs.toDF(*[f"own{i}" for i in range(len(names))])
+    if model.trees is None:
+        scored = plain.withColumn("score", F.lit(model.share))
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, _word_list(SECOND_PERSON)))
+        added = [T.StructField(f"f_{x}", T.DoubleType(), False) for x in FEATURES]
+
+        def work(s: Slice) -> list[pa.Array]:
+            return [pa.array(x) for x in features(s, *shared.value).T.copy()]
+
+        scored = model.curve.transform(_raw(model.trees, _vector(add_by_text(plain, f"own{names.index('text')}", added, work))))
+    return scored.filter(F.col("score") < THRESHOLD).select(*plain.columns).toDF(*names)

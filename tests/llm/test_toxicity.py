@@ -83,6 +83,16 @@ def test_dropped_rows_keep_columns(spark):
     assert np.mean([truth[i] for i in got]) < 0.05 and len(got) > 0.6 * len(docs)
 
 
+def test_dropped_rows_keep_odd_columns(spark):
+    docs, labels = made(4, 300)
+    d, y = frames(spark, docs, labels)
+    d = d.selectExpr("1 AS `n w`", "doc_id", "named_struct('a b', 2) AS `x ``y`", "text", "3 AS `p.q`", "4 AS own1")
+    rows = toxicity.drop_toxic(d, y)
+    assert rows.columns == d.columns and 100 < rows.count() < 300
+    assert {tuple(r) for r in rows.collect()} <= {tuple(r) for r in d.collect()}
+    assert toxicity.drop_toxic(d.limit(0), y).collect() == []
+
+
 def test_obfuscation_is_undone():
     (s,) = slices(pa.array(["1d10t st.u.p-id looooser a.b 3.5 x", "", "é*é"]))
     clear = toxicity.undone(s.lower())
