@@ -11,9 +11,10 @@ text once, so copies of a page do not make its lines boilerplate. Lines above ``
 their host are removed; a text of which fewer than ``min_words`` words or less than ``min_share`` of its
 words are left is depleted and rejected.
 
-Only hashes move: per text its distinct lines, then the frequent lines, which go back to their texts by
-the line's hash. Counts are combined before the shuffle, so a line that every document holds is a few
-rows per task. Texts stay where they are.
+Only hashes move. First the rows that hold a line are counted, copies of a text included: counts are combined
+before the shuffle, so a line that every document holds is one row per task. Only a line with more rows than
+the limit can have more distinct texts, and only such lines, found again by a bitmap of their hashes and then
+exactly, move with the hash of their text, to be counted once a text. Texts stay where they are.
 
 Null and empty texts have no words and fail; a null host is a host of its own. Rows with one text and
 host share one verdict, so repeated rows all appear. Other columns are not read.
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm import near
 from sheaf.llm.arrays import NOT_SPACE, Slice, Spans, counts_by_row, grams, hashes, lines, powers, slices, span_hash, words
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -113,9 +115,9 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def line_rows(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def line_rows(docs: DataFrame, host_col: str = "source", text_col: str = "text", only: near.Filter | None = None) -> DataFrame:
     """Per row of ``docs`` its distinct normalised lines: host, 128-bit hashes of text and line, and
-    ``words``, the words in all its lines that read so."""
+    ``words``, the words in all its lines that read so. ``only`` leaves out lines whose first hash it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,12 +136,16 @@ def line_rows(docs: DataFrame, host_col: str = "source", text_col: str = "text")
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (l1[1:] != l1[:-1]) | (l2[1:] != l2[:-1])
                 at = np.flatnonzero(new)
+                total = np.add.reduceat(n, at) if len(at) else n
+                if only is not None:
+                    some = only(l1[at].view(np.int64))
+                    at, total = at[some], total[some]
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column("host").take(pa.array(row[at] + s.first)),
                             *(pa.array(x.view(np.int64)) for x in (t1[row[at]], t2[row[at]], l1[at], l2[at])),
-                            pa.array(np.add.reduceat(n, at)),
+                            pa.array(total),
                         ],
                         names=["host", "t1", "t2", "l1", "l2", "words"],
                     )
@@ -165,11 +171,18 @@ def _runs(h: np.ndarray, first: np.ndarray, last: np.ndarray, which: int) -> np.
 def lost_words(docs: DataFrame, host_col: str = "source", text_col: str = "text", line_limit: int = LINE_LIMIT) -> DataFrame:
     """Per host and text (``host, t1, t2``): ``lost``, the words in its lines that more than
     ``line_limit`` distinct texts of the host hold. Texts that lose nothing have no row."""
+    many = line_rows(docs, host_col, text_col).groupBy("host", "l1", "l2").agg(F.count("*").alias("rows")).filter(F.col("rows") > line_limit)
+    many = near.written(many.select("host", "l1", "l2"), "lines-of-many")
+
+    def same(x: str, y: str):
+        return F.col(f"{x}.host").eqNullSafe(F.col(f"{y}.host")) & (F.col(f"{x}.l1") == F.col(f"{y}.l1")) & (F.col(f"{x}.l2") == F.col(f"{y}.l2"))
+
+    some = line_rows(docs, host_col, text_col, near.Filter(many.select(F.col("l1").alias("a"))))
     # Copies of a text fold into one row per line, largely before the shuffle.
-    held = line_rows(docs, host_col, text_col).groupBy("host", "l1", "l2", "t1", "t2").agg(F.first("words").alias("words"))
+    held = some.alias("s").join(many.alias("m"), same("s", "m"), "left_semi").groupBy("host", "l1", "l2", "t1", "t2").agg(F.first("words").alias("words"))
+    held = near.written(held, "held-lines")
     frequent = held.groupBy("host", "l1", "l2").agg(F.count("*").alias("texts")).filter(F.col("texts") > line_limit)
-    same = F.col("h.host").eqNullSafe(F.col("f.host")) & (F.col("h.l1") == F.col("f.l1")) & (F.col("h.l2") == F.col("f.l2"))
-    gone = held.alias("h").join(frequent.alias("f"), same)
+    gone = held.alias("h").join(frequent.alias("f"), same("h", "f"))
     return gone.groupBy("h.host", "h.t1", "h.t2").agg(F.sum("h.words").alias("lost"))
 
 

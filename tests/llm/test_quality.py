@@ -56,6 +56,18 @@ def test_equal_to_plain_count(spark):
     assert ours(spark, rows, 10) == plain(rows, 10)
 
 
+def test_copies_do_not_make_lines_frequent(spark):
+    """Lines of more rows than the limit, some of them of few distinct texts; hosts count by themselves."""
+    shared, rows = "a line that several texts of the host hold today", []
+    for k in range(4):
+        body = "\n".join([f"own line {k} {j} with words of its own here" for j in range(3)] + [shared])
+        rows += [(100 * k + i, "a", body) for i in range(8)]
+    rows += [(900 + i, None, f"{shared}\nanother line number {i} of the host without a name") for i in range(7)]
+    assert ours(spark, rows, 3) == plain(rows, 3)
+    assert ours(spark, rows, 4) == plain(rows, 4)
+    assert ours(spark, rows, 7) == plain(rows, 7)
+
+
 def test_long_text(spark):
     text = "\n".join(f"line {i} of the text {i % 5000} and so on" for i in range(30_000))
     rows = [(1, "a", text), (2, "a", "ha " * 200_000)]
