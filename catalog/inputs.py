@@ -69,6 +69,10 @@ HEADINGS = """SELECT page_id AS id, CASE page_id % 17
     WHEN 15 THEN concat(replace(path, '/', '<|'), '?*', chr(34), '>:')
     ELSE concat('./', path, '//..x') END AS heading FROM page_files"""
 
+# Pages that arrive four at a time, a minute apart, under few paths, so that paths come again.
+ARRIVALS = """SELECT bundle_id, concat(bundle_id, '/', CAST(page_id % 12 AS STRING)) AS path,
+  CAST(page_id AS STRING) AS source, 1700000000 + 15 * (page_id - page_id % 4) AS arrived FROM page_files"""
+
 BYTE_FORMS = 9
 # Documents, and some empty files with numbers of their own.
 BYTE_DOCS = """SELECT bundle_id, doc_id, lang, text, path FROM doc_files UNION ALL
@@ -99,6 +103,10 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, PAGE_FILES, "pages")
 
 
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, ARRIVALS, page_files=page_files(spark, sf_dir))
+
+
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, HEADINGS, page_files=page_files(spark, sf_dir))
 

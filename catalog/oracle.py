@@ -7,6 +7,7 @@ bundles, lists and plain joins, none of which the Spark side relies on.
 from __future__ import annotations
 
 from catalog.inputs import (
+    ARRIVALS,
     BYTE_DOCS,
     DIRTY_FILES,
     DOC_FILES,
@@ -712,5 +713,18 @@ ORACLE: dict[str, str] = {
         select=f"""SELECT bundle_id, path, CAST(line_no AS INT) AS line_no, {STYLE} AS style, text FROM doc_rows
         WHERE NOT ({default_hit("path")})""",
     ),
+    # Windows of 20 minutes follow from one another; each begins with the next arrival after the last one's end.
+    "guard_sources_stream": "WITH RECURSIVE " + _with(
+        PAGES,
+        ("arrivals", ARRIVALS),
+        ("opened", """SELECT bundle_id, path, min(arrived) AS first_s FROM arrivals GROUP BY bundle_id, path
+        UNION ALL SELECT o.bundle_id, o.path, min(a.arrived) FROM opened o JOIN arrivals a
+          ON a.bundle_id = o.bundle_id AND a.path = o.path AND a.arrived >= o.first_s + 1200 GROUP BY o.bundle_id, o.path"""),
+        ("placed", """SELECT a.*, max(o.first_s) AS first_s FROM arrivals a JOIN opened o
+          ON a.bundle_id = o.bundle_id AND a.path = o.path AND o.first_s <= a.arrived GROUP BY ALL"""),
+        select="""SELECT bundle_id, path, source, CAST(arrived AS BIGINT) AS at_s, source = first_source AS kept, first_source,
+        CAST(first_s AS BIGINT) AS first_s FROM (SELECT *, first_value(source) OVER (
+          PARTITION BY bundle_id, path, first_s ORDER BY arrived, source) AS first_source FROM placed)""",
+    ).removeprefix("WITH "),
     "duplicate_guard_stream": _with(PAGES, select="SELECT DISTINCT bundle_id, path FROM page_files"),
 }

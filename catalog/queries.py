@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+from datetime import timedelta
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,6 +19,7 @@ from sheaf.plans.pack import pack, pack_sources, pack_tree
 from sheaf.plans.unpack import unpack, unpack_report, unpack_stream
 from sheaf.sources import bundles, files, rules
 from sheaf.session import shared_dir
+from sheaf.streaming.guard import guard_sources, rocks_state
 from sheaf.streaming.pack_stream import drain, guard_duplicates, pack_arrivals
 from sheaf.streaming.progress import observe_pack
 
@@ -674,6 +676,22 @@ def duplicate_guard_stream(spark, sf_dir):
     return drain(spark, guard_duplicates(timed, "arrived", "1 hour"), "guard").select("bundle_id", "path")
 
 
+def guard_sources_stream(spark, sf_dir):
+    """Arrivals in four slices of time, written one after the other; a path's rows of a slice share a file."""
+    rows = inputs.arrivals(spark, sf_dir)
+    start, end = rows.agg(F.coalesce(F.min("arrived"), F.lit(0)), F.coalesce(F.max("arrived"), F.lit(0))).first()
+    span = (end - start) // 4 + 1
+    where = shared_dir(spark, "arrivals")
+    timed = rows.select("bundle_id", "path", "source", F.timestamp_seconds("arrived").alias("at"), F.expr(f"(arrived - {start}) div {span}").alias("slice"))
+    for k in range(4):
+        timed.filter(F.col("slice") == k).drop("slice").repartition("bundle_id", "path").write.mode("append").parquet(where)
+    stream = spark.readStream.schema(timed.drop("slice").schema).option("maxFilesPerTrigger", 8).parquet(where)
+    with rocks_state(spark):
+        out = drain(spark, guard_sources(stream, timedelta(minutes=20), f"{span} seconds"), "guard-sources")
+    first_s = F.unix_seconds("first_at").alias("first_s")
+    return out.select("bundle_id", "path", "source", F.unix_seconds("at").alias("at_s"), "kept", "first_source", first_s)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -688,6 +706,6 @@ QUERIES = {
         validate_paths, unpack_strict, unpack_dedup, unpack_summary, unpack_outcome, unpack_batch,
         duplicate_paths, first_duplicate, reject_duplicates, pack_summary, common_parent, output_names,
         allocate_names, resolve_output_names, path_parts, pack_paragraphs, pack_many_sources, roundtrip_diff, roundtrip_reasons,
-        pack_progress, pack_stream, duplicate_guard_stream,
+        pack_progress, pack_stream, duplicate_guard_stream, guard_sources_stream,
     )
 }

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,6 +16,18 @@ from sheaf.session import ship_package
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started here keep their state in RocksDB; the session is left as it was."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class FirstArrival(StatefulProcessor):
     """Per path the arrival that opened its window. A timer drops it once the watermark has passed the window's end.
     Times are microseconds."""
@@ -67,7 +80,7 @@ def guard_sources(files: DataFrame, window: timedelta, lateness: str) -> DataFra
 
     State is one row a path whose window the watermark has not passed; a timer removes it then, so state
     is bounded by the paths of one window and the lateness. Only names move. The query needs the RocksDB state
-    store (``spark.sql.streaming.stateStore.providerClass`` = ``ROCKS``).
+    store: start it inside ``rocks_state``, or set the session so.
     """
     ship_package(files.sparkSession)
     named = files.select("bundle_id", "path", F.col("source").cast("string").alias("source"), "at", F.unix_micros("at").alias("micros"))

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from sheaf.streaming.guard import ROCKS, guard_sources
+from sheaf.streaming.guard import guard_sources, rocks_state
 from sheaf.streaming.pack_stream import start_append
 
 START, WINDOW = datetime(2024, 3, 1), timedelta(minutes=30)
@@ -14,11 +14,8 @@ IN = "bundle_id string, path string, source string, at timestamp, more string"
 
 @pytest.fixture
 def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKS)
-    yield spark
-    spark.conf.set(key, before)
+    with rocks_state(spark):
+        yield spark
 
 
 def plain(batches, window=WINDOW):
