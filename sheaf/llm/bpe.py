@@ -15,9 +15,12 @@ caller chooses. Memory: one Arrow batch and a bounded table of pieces already en
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
+import threading
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import regex
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 NONE = 1 << 62
 #: Pieces kept with their ids in each of two generations, and the longest that is kept.
 KEPT_PIECES, KEPT_CHARS = 300_000, 40
+#: After so many seconds without a task a worker lets its pieces go.
+IDLE_SECONDS = 2.0
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -110,6 +115,30 @@ class Encoder:
         self.ranks, self.find, self.find_ascii = ranks, split_pattern(pattern).findall, ascii_pattern(pattern).findall
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.users, self.turn, self.lock = 0, 0, threading.Lock()
+
+    @cached_property
+    def tokens(self) -> dict[int, bytes]:
+        return {i: t for t, i in self.ranks.items()}
+
+    def __enter__(self) -> Encoder:
+        with self.lock:
+            self.users += 1
+            self.turn += 1
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Pieces serve the next tasks of a worker, but one that idles gives them back to what runs then."""
+        with self.lock:
+            self.users -= 1
+            timer = threading.Timer(IDLE_SECONDS, self.rest, [self.turn])
+        timer.daemon = True
+        timer.start()
+
+    def rest(self, turn: int) -> None:
+        with self.lock:
+            if not self.users and turn == self.turn:
+                self.kept, self.older = {}, {}
 
     def piece(self, piece: str) -> bytes:
         packed = self.older.get(piece)
@@ -145,11 +174,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     kept = [f for f in docs.schema.fields if f.name != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for batch in batches:
-            ids = [encoder.encode(t) if t else b"" for t in (x.as_py() for x in batch.column(text_col))]
-            names = [f.name for f in kept]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.binary())], names=[*names, out_col])
+        with _encoder(shared) as encoder:
+            for batch in batches:
+                ids = [encoder.encode(t) if t else b"" for t in (x.as_py() for x in batch.column(text_col))]
+                names = [f.name for f in kept]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.binary())], names=[*names, out_col])
 
     return docs.mapInArrow(run, _schema(kept, f"`{out_col}` binary"))
 
@@ -188,11 +217,24 @@ def unpack_ids(packed):
 
 
 def token_report(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Per document: n_tokens, ids_sha256, and decoded_sha256 of what the ids decode to."""
-    ids = encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids")
-    return decode(ids, ranks).select(
-        "doc_id",
-        (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+    """Per document: n_tokens, ids_sha256, and decoded_sha256 of what the ids decode to. A text is encoded and its
+    ids are decoded by the same worker, so ids go nowhere."""
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    docs = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _encoder(shared) as encoder:
+            token = encoder.tokens.__getitem__
+            for batch in batches:
+                counts, ids_sha, bytes_sha = [], [], []
+                for text in batch.column("text"):
+                    ids = encoder.encode(text.as_py() or "")
+                    counts.append(len(ids) // 4)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    bytes_sha.append(hashlib.sha256(b"".join(map(token, memoryview(ids).cast("I")))).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    return docs.mapInArrow(run, _schema([docs.schema["doc_id"]], "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import public_tokenizers as P
 import pytest
@@ -45,3 +46,18 @@ def test_empty_table_and_nulls(spark):
     assert bpe.token_report(df, RANKS, P.PATTERN).count() == 0
     df = spark.createDataFrame([(None, None), (None, None)], "doc_id bigint, text string")
     assert [r.n_tokens for r in bpe.token_report(df, RANKS, P.PATTERN).collect()] == [0, 0]
+
+
+def test_an_idle_worker_lets_pieces_go(monkeypatch):
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.05)
+    encoder = bpe.Encoder(RANKS, P.PATTERN)
+    with encoder:
+        first = encoder.encode("some words")
+        time.sleep(0.2)
+        assert encoder.kept  # still at work
+    with encoder:
+        pass
+    time.sleep(0.3)
+    assert not encoder.kept
+    with encoder:
+        assert encoder.encode("some words") == first
