@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.arrays import NOT_SPACE, Slice, Spans, hashes, lines, mix, prefix_hash, slices, span_hash
+from sheaf.llm.arrays import NOT_SPACE, Slice, Spans, hashes, lines, mix, powers, prefix_hash, slices, span_hash
 from sheaf.llm.near import Filter, near_classes, one_of_equals, split_rows, written
 
 SHINGLE = 8
@@ -32,6 +32,11 @@ BANDS, ROWS = 9, 3
 THRESHOLD = 0.8
 #: Lines a task remembers so as not to send a signature again.
 SEEN = 500_000
+#: Bytes a slice holds, so that its arrays stay in a core's cache.
+SLICE = 1 << 18
+#: Lines whose sets are read at a time, and the bits of a shingle's hash beside their numbers.
+READ = 1 << 10
+_HASH_BITS = np.uint64(54)
 
 _R = np.random.default_rng(21)
 _TIMES = _R.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -51,14 +56,26 @@ def real_lines(s: Slice) -> tuple[Spans, np.ndarray]:
 
 def shingles(data: np.ndarray, spans: Spans, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of spans, and where the shingles of each span begin."""
-    chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    lo = np.searchsorted(chars, spans.start)
-    hi = np.searchsorted(chars, spans.end)
+    prefix, inverse = prefix_hash(data, 0), powers(0, True, len(data) + 1)
+    if (data < 0x80).all():
+        lo, hi = spans.start, spans.end
+    else:
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        lo = np.searchsorted(chars, spans.start)
+        hi = np.searchsorted(chars, spans.end)
+        inverse = inverse[chars]
+    sums = prefix if len(inverse) == len(prefix) else prefix[chars]
     count = np.maximum(hi - lo - size + 1, 1)
     begin = np.cumsum(count) - count
-    at = np.repeat(lo - begin, count) + np.arange(int(count.sum()))
-    end = np.minimum(at + size, np.repeat(hi, count))
-    return span_hash(prefix_hash(data, 0), chars[at], chars[end], 0), begin
+    h = np.zeros(int(count.sum()), np.uint64)
+    if len(sums) > size:
+        # Hashes of all windows lie side by side; those of a span are a stretch of them.
+        window = mix((sums[size:] - sums[:-size]) * inverse[:-size])
+        at = np.repeat(lo - begin, count) + np.arange(len(h))
+        h = window[np.minimum(at, len(window) - 1)]
+    short = np.flatnonzero(hi - lo < size)
+    h[begin[short]] = span_hash(prefix, spans.start[short], spans.end[short], 0)
+    return h, begin
 
 
 def signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -79,18 +96,21 @@ def signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def read_lines(contents: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The sets of lines."""
+    """The sets of lines, of ``_HASH_BITS`` bits a shingle."""
+    if len(contents) > READ:
+        return [s for at in range(0, len(contents), READ) for s in read_lines(contents[at : at + READ])]
     ends = np.cumsum([len(x) for x in contents])
     data = np.frombuffer(b"".join(contents), np.uint8)
     start = np.concatenate([[0], ends[:-1]])
     h, begin = shingles(data, Spans(np.arange(len(contents)), start, ends))
-    row = np.repeat(np.arange(len(contents)), np.diff(np.append(begin, len(h))))
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[new], row[new]
-    cuts = np.searchsorted(row, np.arange(len(contents) + 1))
+    row = np.repeat(np.arange(len(contents), dtype=np.uint64), np.diff(np.append(begin, len(h))))
+    # One sort of row and hash together: the hash keeps the bits that the number of the row leaves.
+    key = np.sort((row << _HASH_BITS) | (h >> (np.uint64(64) - _HASH_BITS)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    h, row = key & ((np.uint64(1) << _HASH_BITS) - np.uint64(1)), key >> _HASH_BITS
+    cuts = np.searchsorted(row, np.arange(len(contents) + 1, dtype=np.uint64))
     one = np.ones(int(np.diff(cuts).max()), np.float32)
     return [(h[lo:hi], one[: hi - lo]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -102,7 +122,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for s in slices(batch.column("text")):
+            for s in slices(batch.column("text"), SLICE):
                 s = s.lower()
                 spans, number = real_lines(s)
                 if not len(spans.row):
@@ -145,7 +165,7 @@ def line_contents(docs: DataFrame, wanted: Filter) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for s in slices(batch.column("text")):
+            for s in slices(batch.column("text"), SLICE):
                 s = s.lower()
                 spans, _ = real_lines(s)
                 a, b = (hashes(s.data, spans, w).view(np.int64) for w in (0, 1))

@@ -90,11 +90,12 @@ class Filter:
 
 def jaccard(x: Weighted, y: Weighted) -> float:
     """Weighted Jaccard similarity: sum of minima over sum of maxima."""
-    ids = np.concatenate([x[0], y[0]])
-    order = np.argsort(ids, kind="stable")
-    weight = np.concatenate([x[1], y[1]])[order]
-    both = np.flatnonzero(ids[order][1:] == ids[order][:-1])
-    least = float(np.minimum(weight[both], weight[both + 1]).sum())
+    if not len(x[0]) or not len(y[0]):
+        return 0.0
+    at = np.searchsorted(x[0], y[0])
+    at[at == len(x[0])] = 0
+    both = x[0][at] == y[0]
+    least = float(np.minimum(x[1][at[both]], y[1][both]).sum())
     total = float(x[1].sum()) + float(y[1].sum()) - least
     return least / total if total else 0.0
 
