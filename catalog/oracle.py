@@ -402,6 +402,22 @@ ORACLE: dict[str, str] = {
         select=f"""SELECT bundle_id, path, CAST(line_no AS INT) AS line_no, {STYLE} AS style, text FROM dirty_rows
         WHERE NOT ({default_hit("path")})""",
     ),
+    "replace_bundles": _with(
+        DIRTY,
+        DIRTY_ROWS,
+        ("ends", f"""SELECT min(bundle_id) AS x, max(bundle_id) AS y FROM dirty_rows WHERE NOT ({default_hit("path")})"""),
+        ("shifted", f"""SELECT r.*, bundle_id IN (x, y) AS anew FROM dirty_rows r, ends
+        WHERE NOT ({default_hit("path")}) AND NOT (bundle_id IN (x, y) AND path LIKE '%.md')"""),
+        select=f"""SELECT bundle_id, path, CAST(line_no + CASE WHEN anew AND line_no > 0 THEN 1 ELSE 0 END AS INT) AS line_no, {STYLE} AS style, text
+        FROM shifted UNION ALL SELECT bundle_id, path, 1, NULL, 'new' FROM shifted WHERE anew AND line_no = 0""",
+    ),
+    "replaced_bundle": _with(
+        DIRTY,
+        DIRTY_ROWS,
+        ("shown", f"""SELECT * FROM dirty_rows WHERE NOT ({default_hit("path")})"""),
+        select=f"""SELECT bundle_id, path, CAST(line_no AS INT) AS line_no, {STYLE} AS style, text FROM shown
+        WHERE bundle_id = (SELECT min(bundle_id) FROM shown)""",
+    ),
     "rules_parsed": _with(LINES, PARSED, select="SELECT * FROM parsed"),
     "rules_literal": _with(
         LINES,
@@ -670,6 +686,14 @@ ORACLE: dict[str, str] = {
         select="""SELECT bundle_id, path, len(lines) + 1 AS rows, CAST(len(path) + len(array_to_string(lines, '')) AS BIGINT) AS chars,
         CAST(len(lines) AS INT) AS last_line FROM kept""",
     ),
+    "pack_once": _with(
+        *SNIFFED, DECODED,
+        ("kept", f"""SELECT bundle_id, path, reason NOT IN ('nul', 'binary') AS t, {lines_of("out")} AS lines FROM decoded JOIN (SELECT doc_id, reason FROM reasons) r
+            USING (doc_id) WHERE NOT ({default_hit("path")})"""),
+        select="""SELECT bundle_id, count(*) FILTER (t) AS file_count, count(*) FILTER (NOT t) AS binary_skipped,
+        CAST(sum(len(lines) + 1) FILTER (t) AS BIGINT) AS rows, CAST(sum(len(path) + len(array_to_string(lines, ''))) FILTER (t) AS BIGINT) AS chars
+        FROM kept GROUP BY bundle_id""",
+    ),
     "pack_many_sources": _with(
         DOCS, PAGES,
         ("kept", f"""SELECT bundle_id, path, -1 AS source_ord FROM doc_files WHERE NOT ({default_hit("path")}) AND NOT contains(path, '/logs/')
@@ -728,3 +752,4 @@ ORACLE: dict[str, str] = {
     ).removeprefix("WITH "),
     "duplicate_guard_stream": _with(PAGES, select="SELECT DISTINCT bundle_id, path FROM page_files"),
 }
+ORACLE["watched_tree"] = ORACLE["pack_given_tree"]

@@ -15,10 +15,12 @@ from sheaf.functions import globs, paths, sniff, text
 from sheaf.functions.charsets import DEFAULT_ENCODINGS
 from sheaf.functions.globs import Rule, default_rules, parse_rules
 from sheaf.operators import classify, differences, duplicates, exclude, markup, names, paragraphs, segment, summary
+from sheaf.plans import pack as pack_plan
 from sheaf.plans.pack import pack, pack_sources, pack_tree
 from sheaf.plans.unpack import unpack, unpack_report, unpack_stream
-from sheaf.sources import bundles, files, rules
+from sheaf.sources import bundles, files, rules, slots
 from sheaf.session import shared_dir
+from sheaf.streaming.arrivals import WatchedTree
 from sheaf.streaming.guard import guard_sources, rocks_state
 from sheaf.streaming.pack_stream import drain, guard_duplicates, pack_arrivals
 from sheaf.streaming.progress import observe_pack
@@ -57,9 +59,9 @@ def scan_files(spark, sf_dir):
     )
 
 
-def _written_tree(spark, sf_dir):
-    """The documents as files below a new shared folder, written by the executors, and the folder."""
-    root = os.path.join(urlparse(shared_dir(spark, "tree")).path, "root")
+def _written_tree(spark, sf_dir, which="true", root=None):
+    """The documents as files below a new shared folder or ``root``, written by the executors, and the folder."""
+    root = root or os.path.join(urlparse(shared_dir(spark, "tree")).path, "root")
 
     def write(batches):
         for batch in batches:
@@ -70,7 +72,7 @@ def _written_tree(spark, sf_dir):
                     f.write(body.encode())
             yield batch[["path"]]
 
-    docs = inputs.doc_files(spark, sf_dir).select("path", "text")
+    docs = inputs.doc_files(spark, sf_dir).filter(which).select("path", "text")
     docs.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
     return root
 
@@ -149,6 +151,26 @@ def bundle_roundtrip(spark, sf_dir):
     return bundles.read_bundle(spark, table).drop("source_ord")
 
 
+def replace_bundles(spark, sf_dir):
+    """Two of the bundles are packed anew, with fewer files and other texts; one of them is written for the first time then."""
+    table = shared_dir(spark, "slots")
+    texts = pack(inputs.utf8_files(spark, sf_dir, dirty=True)).texts
+    ends = texts.agg(F.min("bundle_id"), F.max("bundle_id")).first()
+    slots.write_slots(texts.filter(F.col("bundle_id") != ends[1]), table)
+    anew = texts.filter(F.col("bundle_id").isin(*ends) & ~F.col("path").endswith(".md"))
+    slots.replace_bundles(anew.withColumn("text", F.concat(F.lit("new\n"), "text")), table)
+    return slots.read_slots(spark, table).drop("source_ord")
+
+
+def replaced_bundle(spark, sf_dir):
+    """One bundle read back from a table of slots."""
+    table = shared_dir(spark, "slots")
+    texts = pack(inputs.utf8_files(spark, sf_dir, dirty=True)).texts
+    slots.write_slots(texts, table)
+    first = texts.agg(F.min("bundle_id")).first()[0]
+    return slots.read_slots(spark, table, [first]).drop("source_ord")
+
+
 # ---- rules ----------------------------------------------------------------------------------
 
 
@@ -594,6 +616,13 @@ def pack_paragraphs(spark, sf_dir):
     )
 
 
+def pack_once(spark, sf_dir):
+    """Counts of bundles and of their rows, both from one table."""
+    packed = pack_plan.pack_once(inputs.byte_files(spark, sf_dir))
+    rows = packed.paragraphs.groupBy("bundle_id").agg(F.count("*").alias("rows"), F.sum(F.char_length("text").cast("bigint")).alias("chars"))
+    return packed.bundles.join(rows, "bundle_id", "left").select("bundle_id", "file_count", "binary_skipped", "rows", "chars")
+
+
 def pack_many_sources(spark, sf_dir):
     pages = _page_sources(spark, sf_dir)
     as_files = lambda df: files.files_from_text(
@@ -670,6 +699,19 @@ def pack_stream(spark, sf_dir):
     return out.select("bundle_id", "path", "line_no", "style", "text")
 
 
+def watched_tree(spark, sf_dir):
+    """Documents that arrive in a tree in two parts, taken in after each, and once more."""
+    root, store = _written_tree(spark, sf_dir, "doc_id % 3 = 0"), shared_dir(spark, "watched")
+    tree = WatchedTree(spark, root, store, default_rules() + parse_rules(CUSTOM_RULES))
+    tree.take()
+    _written_tree(spark, sf_dir, "doc_id % 3 <> 0", root)
+    tree.take()
+    tree.take()
+    shutil.rmtree(root)
+    rows = tree.paragraphs()
+    return rows.groupBy("path").agg(F.count("*").alias("rows"), F.sum(F.char_length("text").cast("bigint")).alias("chars"))
+
+
 def duplicate_guard_stream(spark, sf_dir):
     pages = spark.sql(inputs.PAGE_FILES.replace("FROM pages", "FROM {p}"), p=_arriving(spark, sf_dir, "pages"))
     timed = pages.select("bundle_id", "path", F.timestamp_seconds(F.lit(1_700_000_000)).alias("arrived"))
@@ -695,7 +737,7 @@ def guard_sources_stream(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        files_and_lines, scan_files, scan_tree, scan_given_sources, pack_given_tree, scan_rule_files, scan_sources, sniff_prefix, bundle_roundtrip,
+        files_and_lines, scan_files, scan_tree, scan_given_sources, pack_given_tree, scan_rule_files, scan_sources, sniff_prefix, bundle_roundtrip, replace_bundles, replaced_bundle,
         rules_parsed, rules_literal, rules_added, ruleset_precedence, glob_cases,
         exclude_default, exclude_custom, exclude_join, exclusion_audit, pattern_list,
         sniff_bom, sniff_nul, sniff_utf16, sniff_utf32, meaningful_ratio, classify_files, text_filter,
@@ -705,7 +747,7 @@ QUERIES = {
         segment_turns, segment_docs, unpack_files, unpack_seq, unpack_sparse, unpack_compat, unpack_edge,
         validate_paths, unpack_strict, unpack_dedup, unpack_summary, unpack_outcome, unpack_batch,
         duplicate_paths, first_duplicate, reject_duplicates, pack_summary, common_parent, output_names,
-        allocate_names, resolve_output_names, path_parts, pack_paragraphs, pack_many_sources, roundtrip_diff, roundtrip_reasons,
-        pack_progress, pack_stream, duplicate_guard_stream, guard_sources_stream,
+        allocate_names, resolve_output_names, path_parts, pack_paragraphs, pack_once, pack_many_sources, roundtrip_diff, roundtrip_reasons,
+        pack_progress, pack_stream, watched_tree, duplicate_guard_stream, guard_sources_stream,
     )
 }

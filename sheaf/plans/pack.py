@@ -16,6 +16,7 @@ from sheaf.operators.duplicates import duplicate_paths, first_duplicate
 from sheaf.operators.exclude import exclude_filter
 from sheaf.operators.paragraphs import build_paragraphs
 from sheaf.operators.summary import bundle_table
+from sheaf.session import shared_dir
 from sheaf.sources.files import read_contents, sniff_tree, union_sources
 
 
@@ -45,6 +46,36 @@ def pack(
     return Packed(texts, build_paragraphs(texts), bundle_table(classified))
 
 
+def pack_once(
+    files: DataFrame,
+    rules: Sequence[Rule] | None = None,
+    encodings: Sequence[str] = DEFAULT_ENCODINGS,
+    detect_wide: bool = False,
+) -> Packed:
+    """``pack`` and ``pack_sources`` over one table in the shared folder, for whoever needs several of the results.
+
+    Every file is read, sniffed and decoded once; texts, paragraphs, counts and repeated paths follow from what was
+    written. A bundle in which two sources bring a text file of one path fails. Repeats are looked for among names, so
+    no text moves for them. The table holds each text once and no bytes of binaries.
+    """
+    spark = files.sparkSession
+    kept = exclude_filter(files, default_rules() if rules is None else rules)
+    classified = classify_text(kept, encodings).withColumn("content", F.when(F.col("is_text"), F.col("content")))
+    known = decode_text(classified, encodings, detect_wide)
+    where = shared_dir(spark, "packed")
+    known.withColumn("text", F.when(F.col("is_text"), F.col("text"))).write.parquet(where)
+    staged = spark.read.schema(known.schema).parquet(where)
+    failed = first_duplicate(staged.filter("is_text"))
+    failed = failed.selectExpr("bundle_id", "concat('duplicate path: ', path) AS error")
+    where = shared_dir(spark, "failed")
+    failed.write.parquet(where)
+    failed = spark.read.schema(failed.schema).parquet(where)
+    if failed.limit(BROADCAST_BUNDLES + 1).count() <= BROADCAST_BUNDLES:
+        failed = F.broadcast(failed)
+    texts = staged.filter("is_text").join(failed, "bundle_id", "left_anti")
+    return Packed(texts, build_paragraphs(texts), bundle_table(staged, errors=failed))
+
+
 def pack_tree(
     spark: SparkSession,
     root: str,
