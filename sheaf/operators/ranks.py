@@ -38,7 +38,7 @@ class Ranked:
             return F.lit(0)
         fields = {f.name: f.dataType for f in self.rows.schema.fields}
         kind = T.StructType([T.StructField("b", fields["bundle_id"]), T.StructField("s", fields["seq"])])
-        as_json = json.dumps([{"b": b, "s": s} for b, s in self.bounds])
+        as_json = json.dumps([{"b": b, "s": s} for b, s in self.bounds], default=str)  # decimals go as text
         known = F.from_json(F.lit(as_json), T.ArrayType(kind))  # constant, so it is read once
         steps = F.sequence(F.lit(1), F.lit(len(self.bounds).bit_length()))
 

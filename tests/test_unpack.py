@@ -3,10 +3,14 @@
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from catalog import queries
+from catalog.oracle import ORACLE
 from sheaf.functions.paths import extension, file_identity, parent, stem, validate_heading
 from sheaf.functions.globs import Rule
 from sheaf.operators.segment import (
@@ -25,6 +29,7 @@ from sheaf.plans.pack import pack, pack_sources
 from sheaf.plans.unpack import unpack, unpack_report, unpack_stream
 from sheaf.schemas import FILES
 from sheaf.sources.bundles import read_bundle, write_bundle, write_unpacked
+from tests.compare import mismatch
 
 H = "Heading1"
 STREAM = "bundle_id string, seq bigint, style string, text string"
@@ -148,6 +153,23 @@ def test_positions_far_apart(spark, span, size):
     assert wide.filter("count > 1").isEmpty() == (span > 10)
 
 
+@pytest.mark.parametrize("span,size", [(1 << 17, 1 << 26), (3, 1 << 26)])
+def test_positions_beyond_a_long(spark, span, size):
+    """Positions may be decimals, also where blocks are cut."""
+    df = random_stream(spark)
+    beyond = df.withColumn("seq", F.expr("CAST(seq AS DECIMAL(19, 0)) * 10000000000000000000BD - 5").cast("decimal(38, 0)"))
+    files = lambda rows: sorted(tuple(r) for r in unpack_stream(rows, on_error="skip", span=span, part_bytes=size).drop("heading").collect())
+    assert files(beyond) == files(df) and len(files(df)) > 10
+
+
+def test_sparse_positions_of_large_numbers(spark, tmp_path):
+    """Numbers of documents whose sparse positions are no longs, and a file of more than 10,000 lines."""
+    long = "\n".join(f"line {i}" for i in range(10_020))
+    rows = [(n, "src1", "en", text) for n, text in ((6, long), (7, "x"), (11, "a\nb"), (100_001, "c"), (2**62 + 1, "d"), (-100_003, "e"))]
+    pq.write_table(pa.table(dict(zip(("doc_id", "source", "lang", "text"), map(list, zip(*rows))))), tmp_path / "documents.parquet")
+    assert mismatch(queries.unpack_sparse(spark, str(tmp_path)), str(tmp_path), ORACLE["unpack_sparse"]) is None
+
+
 @pytest.mark.parametrize("part,size", [(1, 1 << 26), (2, 1 << 26), (5, 1 << 26), (1 << 17, 1), (4, 3), (1 << 17, 1 << 26)])
 def test_parts_join_to_the_whole(spark, part, size):
     df = segment_by_heading(random_stream(spark))
