@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +17,11 @@ from sheaf.operators.exclude import exclude_filter
 from sheaf.schemas import FILES
 from sheaf.session import shared_dir
 
-# Bytes of file content a reading task hands over at a time.
-READ_BATCH_BYTES = 32 * 1024 * 1024
+# Bytes of file content a reading task hands over at a time. A worker holds such a batch several times over, and
+# an executor keeps workers of earlier stages, so the batch is small.
+READ_BATCH_BYTES = 2 * 1024 * 1024
 # Entries of a folder handed over at a time.
-LIST_ROWS = 50_000
+LIST_ROWS = 5_000
 
 
 def list_tree(spark: SparkSession, root: str, rules: Sequence[Rule] = ()) -> DataFrame:
@@ -76,6 +77,27 @@ def list_tree(spark: SparkSession, root: str, rules: Sequence[Rule] = ()) -> Dat
     return spark.read.schema(schema).parquet(*tables).filter("NOT is_dir").select("path", "length", "raw")
 
 
+def parts_read(root: str, column: str, limit: int) -> Callable[[pd.DataFrame], Iterator[pd.DataFrame]]:
+    """What gives the rows of a listing with their bytes, in parts that end once they hold ``READ_BATCH_BYTES``."""
+
+    def parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        start, held, data = 0, 0, []
+        for i, path in enumerate(batch["raw" if "raw" in batch else "path"]):
+            try:
+                with open(os.path.join(os.fsencode(root), os.fsencode(path)), "rb") as f:
+                    data.append(f.read(limit))
+            except OSError:
+                data.append(None)
+            held += len(data[-1] or b"")
+            if held >= READ_BATCH_BYTES:
+                yield batch.iloc[start : i + 1].assign(**{column: data})
+                start, held, data = i + 1, 0, []
+        if data:
+            yield batch.iloc[start:].assign(**{column: data})
+
+    return parts
+
+
 def read_contents(
     listing: DataFrame, root: str, column: str = "content", limit: int = -1
 ) -> DataFrame:
@@ -86,21 +108,11 @@ def read_contents(
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listing.schema.fields)
 
+    parts = parts_read(root, column, limit)
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            start, held, data = 0, 0, []
-            for i, path in enumerate(batch["raw" if "raw" in batch else "path"]):
-                try:
-                    with open(os.path.join(os.fsencode(root), os.fsencode(path)), "rb") as f:
-                        data.append(f.read(limit))
-                except OSError:
-                    data.append(None)
-                held += len(data[-1] or b"")
-                if held >= READ_BATCH_BYTES:
-                    yield batch.iloc[start : i + 1].assign(**{column: data})
-                    start, held, data = i + 1, 0, []
-            if data:
-                yield batch.iloc[start:].assign(**{column: data})
+            yield from parts(batch)
 
     return listing.repartition("path").mapInPandas(read, f"{fields}, {column} binary")
 

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from sheaf.functions.globs import Rule, default_rules, parse_rules
 from sheaf.operators.exclude import exclude_filter
 from sheaf.plans.pack import pack, pack_sources, pack_tree
-from sheaf.session import shared_dir
+from sheaf.session import arrow_batches, shared_dir
+from sheaf.sources import files
 from sheaf.sources.files import list_tree, read_files, scan_sources, scan_tree, union_sources
 from sheaf.sources.bundles import read_bundle, write_bundle
 from sheaf.streaming.pack_stream import drain, guard_duplicates, pack_arrivals, start_append
@@ -39,6 +41,30 @@ def test_tree_scan_keeps_empty_and_marked_names(spark, tree):
     assert all(r.length == len(files[r.path]) for r in ruled.collect())
 
 
+def test_workers_hold_little(spark, monkeypatch, tmp_path):
+    """Written and read in small batches, whatever the number of rows; a row is never cut."""
+    texts = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    with arrow_batches(spark, 100_000):
+        small = [r.n for r in texts.mapInPandas(sizes, "n int").collect()]
+    assert sum(small) == 300 and max(small) <= 12
+    assert [r.n for r in texts.mapInPandas(sizes, "n int").collect()] == [300]  # the setting is as it was
+    seen = []
+    monkeypatch.setattr(files, "READ_BATCH_BYTES", 4_000)
+    (tmp_path / "big").write_bytes(b"y" * 9_000)
+    for i in range(20):
+        (tmp_path / str(i)).write_bytes(bytes([i]) * 900)
+    batch = pd.DataFrame({"path": ["big", *map(str, range(20)), "gone"]})
+    for part in files.parts_read(str(tmp_path), "content", -1)(batch):
+        seen += part.values.tolist()
+        assert sum(len(x or b"") for x in part["content"]) < 4_900 or part["path"].tolist() == ["big"]
+    assert seen == [["big", b"y" * 9_000], *([str(i), bytes([i]) * 900] for i in range(20)), ["gone", None]]
+
+
 def test_excluded_folders_are_not_opened(spark, tmp_path):
     for name in ("a/x.txt", "a/build/y.txt", "a/build/keep/z.md", "node_modules/p/q.js", "node_modules/keep.md", "c/.git/h", "c/d/e.log"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
