@@ -54,9 +54,10 @@ def real_lines(s: Slice) -> tuple[Spans, np.ndarray]:
     return Spans(every.row[full], solid[lo[full]], solid[hi[full] - 1] + 1), number[full]
 
 
-def shingles(data: np.ndarray, spans: Spans, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of spans, and where the shingles of each span begin."""
-    prefix, inverse = prefix_hash(data, 0), powers(0, True, len(data) + 1)
+def shingles(data: np.ndarray, spans: Spans, size: int = SHINGLE, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character shingles of spans, and where the shingles of each span begin. ``prefix`` is the
+    prefix hash of the data where it is at hand."""
+    prefix, inverse = prefix_hash(data, 0) if prefix is None else prefix, powers(0, True, len(data) + 1)
     if (data < 0x80).all():
         lo, hi = spans.start, spans.end
     else:
@@ -127,7 +128,9 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 spans, number = real_lines(s)
                 if not len(spans.row):
                     continue
-                a, b = (hashes(s.data, spans, w).view(np.int64) for w in (0, 1))
+                prefix = prefix_hash(s.data, 0)
+                a = span_hash(prefix, spans.start, spans.end, 0).view(np.int64)
+                b = hashes(s.data, spans, 1).view(np.int64)
                 if len(seen) > SEEN:
                     seen.clear()
                 new = np.zeros(len(a), bool)
@@ -136,7 +139,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                         seen.add(name)
                         new[i] = True
                 fresh = Spans(spans.row[new], spans.start[new], spans.end[new])
-                bands = signatures(*shingles(s.data, fresh)).view(np.int64)
+                bands = signatures(*shingles(s.data, fresh, prefix=prefix)).view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.where(new, BANDS, 0))]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()), mask=pa.array(~new))
                 where = pa.array(spans.row + s.first)
@@ -168,15 +171,20 @@ def line_contents(docs: DataFrame, wanted: Filter) -> DataFrame:
             for s in slices(batch.column("text"), SLICE):
                 s = s.lower()
                 spans, _ = real_lines(s)
-                a, b = (hashes(s.data, spans, w).view(np.int64) for w in (0, 1))
+                a = hashes(s.data, spans, 0).view(np.int64)
+                own = np.flatnonzero(wanted(a))
+                a, start, end = a[own], spans.start[own], spans.end[own]
+                # The second half of the names is worked out for the bytes of these lines alone.
+                stop = np.cumsum(end - start)
+                data = s.data[np.repeat(end - stop, end - start) + np.arange(int((end - start).sum()))]
+                b = hashes(data, Spans(spans.row[own], stop - (end - start), stop), 1).view(np.int64)
                 out: list[tuple[int, int, bytes]] = []
                 if len(seen) > SEEN:
                     seen.clear()
-                for i in np.flatnonzero(wanted(a)).tolist():
-                    name = (int(a[i]), int(b[i]))
+                for i, name in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
                     if name not in seen:
                         seen.add(name)
-                        out.append((*name, s.data[spans.start[i] : spans.end[i]].tobytes()))
+                        out.append((*name, s.data[start[i] : end[i]].tobytes()))
                 x, y, z = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.binary())], names=["a", "b", "content"])
 

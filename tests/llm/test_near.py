@@ -193,3 +193,32 @@ def test_blocks_find_what_hubs_leave(spark):
 
     got = near.near_classes(spark, nodes, lambda wanted: content, read, 0.8, block=2)
     assert sorted((r.a, r.la) for r in got.collect()) == [(2, 2), (3, 2), (4, 4), (5, 4)]
+
+
+def test_stars_take_one_round(spark, monkeypatch):
+    """Labels found before are stars; no round is spent on seeing that they do not change."""
+    tables, plain = [], near.written
+    monkeypatch.setattr(near, "written", lambda df, label: tables.append(label) or plain(df, label))
+    links = [(i, 0, 7 * (i // 10), 0) for i in range(1000, 1100) if i % 10] + [(700, 0, 700, 0)]
+    got = near.components(spark.createDataFrame(links, "a bigint, b bigint, pa bigint, pb bigint")).collect()
+    assert tables.count("stars") == 2
+    assert {(r.a, r.la) for r in got} == {(a, p) for a, _, p, _ in links[:-1]} | {(p, p) for _, _, p, _ in links[:-1]}
+
+
+def test_small_groups_are_read_together():
+    import pyarrow as pa
+
+    calls = []
+
+    def read(contents):
+        calls.append(len(contents))
+        return lines.read_lines(contents)
+
+    group = pa.RecordBatch.from_pydict({"la": [1, 2], "lb": [0, 0], "own": [0, 0], "content": [b"a line of text", b"a line of text!"]})
+    same = pa.RecordBatch.from_pydict({"la": [1, 1], "lb": [0, 0], "own": [0, 0], "content": [b"x", b"y"]})
+    found = list(near._read_groups(iter([group, same] * 300), read))
+    assert len(calls) == 1 and len(found) == 300
+    assert all(near._links(g, sets, 0.8) == ([0], [1]) for g, sets in found)
+    calls.clear()
+    large = pa.RecordBatch.from_pydict({"la": [1, 2], "lb": [0, 0], "own": [0, 0], "content": [b"z" * near.READ_BYTES] * 2})
+    assert len(list(near._read_groups(iter([large] * 3), read))) == 3 and calls == [2, 2, 2]
