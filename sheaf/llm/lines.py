@@ -34,6 +34,8 @@ THRESHOLD = 0.8
 SEEN = 500_000
 #: Bytes a slice holds, so that its arrays stay in a core's cache.
 SLICE = 1 << 18
+#: Shingles whose minima are taken at a time, for the same end.
+STRETCH = 1 << 16
 #: Lines whose sets are read at a time, and the bits of a shingle's hash beside their numbers.
 READ = 1 << 10
 _HASH_BITS = np.uint64(54)
@@ -81,6 +83,10 @@ def shingles(data: np.ndarray, spans: Spans, size: int = SHINGLE, prefix: np.nda
 
 def signatures(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Band hashes, one row a line."""
+    if len(h) > STRETCH and len(begin) > 1:
+        mid = min(max(int(np.searchsorted(begin, len(h) // 2)), 1), len(begin) - 1)
+        cut = begin[mid]
+        return np.concatenate([signatures(h[:cut], begin[:mid]), signatures(h[cut:], begin[mid:] - cut)])
     out = np.zeros((len(begin), BANDS), np.uint64)
     if not len(begin):
         return out

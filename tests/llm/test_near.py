@@ -222,3 +222,15 @@ def test_small_groups_are_read_together():
     calls.clear()
     large = pa.RecordBatch.from_pydict({"la": [1, 2], "lb": [0, 0], "own": [0, 0], "content": [b"z" * near.READ_BYTES] * 2})
     assert len(list(near._read_groups(iter([large] * 3), read))) == 3 and calls == [2, 2, 2]
+
+
+def test_signatures_do_not_hang_on_stretches(monkeypatch):
+    import numpy as np
+
+    h = np.random.default_rng(3).integers(0, 1 << 62, 5_000, dtype=np.uint64)
+    begin = np.array([0, 1, 2, 1_500, 1_501, 4_900, 4_999])
+    whole, sizes, plain = lines.signatures(h, begin), [], np.empty_like
+    monkeypatch.setattr(lines, "STRETCH", 1_000)
+    monkeypatch.setattr(lines.np, "empty_like", lambda x, **k: sizes.append(len(x)) or plain(x, **k))
+    assert (lines.signatures(h, begin) == whole).all() and max(sizes) == 3_399  # a line is not cut
+    assert lines.signatures(h[:0], begin[:0]).shape == (0, lines.BANDS)
