@@ -232,3 +232,110 @@ def test_tables_of_powers_do_not_grow_with_a_block(monkeypatch):
     out = mixing._scored(group, none, model, 60_002)
     assert out.column("n_tokens").to_pylist() == [30_001] * 3
     assert max(len(x) for x in arrays._powers.values()) < arrays.SLICE_BYTES + 1000
+
+
+def across_model(texts):
+    """``model_of`` with counts across words, and the pieces of ``texts`` in order."""
+    model = model_of(texts)
+    held = np.zeros(2 * (mixing.SLOTS + mixing.ACROSS), np.int64)
+    held[: 2 * mixing.SLOTS] = np.stack([model.zeros, model.ones], axis=1).ravel()
+    mixing.all_pieces(pa.array(texts), each=lambda *x: mixing._count_across(held[2 * mixing.SLOTS :], *x, model.code))
+    out = mixing.Mixer.of(model.code, held)
+    out.weights, out.refined = model.weights, model.refined
+    return out
+
+
+def in_order(texts):
+    (s,) = slices(pa.array(texts))
+    p, row = mixing.pieces(s)
+    own, back = mixing.distinct(p, True)
+    return own, back, row
+
+
+def moved_plainly(model, p, piece, row):
+    """Bit by bit over one text after another."""
+    b = mixing.coded(p, model.code)
+    x, gate = model.inputs(b)
+    x, mixed = x.astype(float), model.mix(x, gate)
+    tail, out = mixing.tails(p), []
+    for text in np.unique(row):
+        w, a, slopes, n, before = np.array([1.0, 0, 0, 0]), mixing.START_ACROSS, [], 0, np.uint32(0)
+        for k in piece[row == text]:
+            cost = 0.0
+            for i in np.flatnonzero(b.piece == k):
+                slot = mixing.SLOTS + int(mixing.across_slots(b.name[i : i + 1], np.array([before]))[0])
+                ones, zeros = float(model.ones[slot]), float(model.zeros[slot])
+                say = (ones + zeros) / (ones + zeros + mixing.DOUBT)
+                y = say * (math.log(ones + 0.15) - math.log(zeros + 0.15) - mixed[i])
+                z = min(max(np.dot(w, [mixed[i], *x[i]]) + a * y, -12), 12)
+                q = 1 / (1 + math.exp(-z))
+                cost -= math.log2(q if b.bit[i] else 1 - q)
+                slopes.append((b.bit[i] - q) * np.array([mixed[i], *x[i], y]))
+                n += 1
+                if n % mixing.MOVE == 0:
+                    step = mixing.RATE * sum(slopes)
+                    w, a, slopes = w + step[:4], a + step[4], []
+            out.append(cost)
+            before = tail[k]
+    return out
+
+
+TEXTS = ["the cat sat on the mat the cat", "", "on the mat sat the cat\n on the mat", "x", "thecatsatonthematthecatsatonthemat " * 3, "the the the the cat cat cat the the the"]
+
+
+@pytest.mark.parametrize(("lanes", "window"), [(512, 1 << 18), (2, 1), (3, 100)])
+def test_weights_move_along_each_text_as_in_a_plain_loop(monkeypatch, lanes, window):
+    """Whatever the texts side by side and the stretch in memory."""
+    monkeypatch.setattr(mixing, "LANES", lanes)
+    monkeypatch.setattr(mixing, "WINDOW_BITS", window)
+    model = across_model(["the cat sat on the mat", "a cat on a mat", "thecatsat sat"])
+    p, piece, row = in_order(TEXTS)
+    got, costs = mixing.moving_bits(model, p, piece, row, len(TEXTS))
+    assert got == pytest.approx(moved_plainly(model, p, piece, row), rel=1e-4, abs=1e-4)
+    assert costs == pytest.approx(model.bits_of(p))
+
+
+def test_order_of_words_counts(spark):
+    """The same words in an order that training texts have are likelier than in another."""
+    r = random.Random(3)
+    pairs = [("red", "apple"), ("green", "pear"), ("blue", "plum"), ("black", "grape")]
+    made_ = lambda: " ".join(w for _ in range(40) for w in r.choice(pairs))
+    ids = [i for i in range(400) if held(i)][:2]
+    words = made_().split(" ")
+    other = words[:]
+    r.shuffle(other)
+    rows = [(ids[0], " ".join(words) + " "), (ids[1], " ".join(other) + " "), *((i, made_()) for i in range(1000, 1100))]
+    got = {x.doc_id: x for x in mixing.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    a, b = got[ids[0]], got[ids[1]]
+    assert a.held_out and b.held_out and a.base_score == pytest.approx(b.base_score) and a.score > b.score + 5
+
+
+def test_moving_predictions_are_a_distribution():
+    """After one beginning, what all 257 next symbols are given adds up to one, weights having moved."""
+    model = across_model(["ab ba ab", "b", "", "aab", "abab ab ab ab"])
+    begin = np.array([97, 98, 32] * 30, np.int16)
+    symbols = np.concatenate([begin[:3], np.arange(257, dtype=np.int16)])
+    h = np.arange(258, dtype=np.uint64)
+    p = mixing.Pieces(symbols, np.append(0, np.arange(257) + 3), h, h, np.ones(258, np.int64))
+    piece = np.concatenate([[*[0] * 30, 1 + k] for k in range(257)])
+    row = np.repeat(np.arange(257), 31)
+    got, _ = mixing.moving_bits(model, p, piece, row, 257)
+    assert np.exp2(-got[30::31]).sum() == pytest.approx(1, abs=1e-3)
+    first = got[:31]
+    assert first[1] != pytest.approx(first[29])  # the weights moved
+
+
+def test_every_bit_of_training_texts_is_counted_across_words(spark):
+    rows = [(i, f"a bc{i % 3} def ghi\t" * (i % 4)) for i in range(30)] + [(99, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).select("doc_id", "text", (mixing.remainder(7) != 2).alias("train"))
+    code = mixing.huffman(mixing.code_counts(docs)[0])
+    counts, _ = mixing.slot_counts(docs, code)
+    taught = [t or "" for d, t in rows if not held(d)]
+    want = np.zeros(2 * mixing.ACROSS, np.int64)
+    p, piece, row = in_order(taught)
+    b, tail = mixing.coded(p, code), mixing.tails(p)
+    for j, k in enumerate(piece):
+        of = np.flatnonzero(b.piece == k)
+        before = tail[piece[j - 1]] if j and row[j] == row[j - 1] else np.uint32(0)
+        np.add.at(want, 2 * mixing.across_slots(b.name[of], np.full(len(of), before)) + b.bit[of], 1)
+    assert np.array_equal(counts[2 * mixing.SLOTS :], want) and want.sum() == mixing.bit_counts(p, code)[piece].sum()
